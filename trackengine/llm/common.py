@@ -71,6 +71,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one struct named doc_id beside its text: operators that carry an id through then carry the row,
+    whatever its columns are called. ``select("doc_id.*")`` unfolds it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), "text")
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """A text column as UTF-8 bytes, not decoded."""
     return batch.column(name).cast(pa.binary()).to_pylist()
@@ -90,6 +96,11 @@ def space_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def lower_words(text: bytes | None) -> list[bytes]:
+    """``space_words`` with A-Z in lower case."""
+    return text.lower().split() if text else []
+
+
 def alnum_words(text: bytes | None) -> list[bytes]:
     return text.lower().translate(_ALNUM_TABLE).split() if text else []
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import Workspace, alnum_words, map_batches, texts
+from trackengine.llm.common import Workspace, alnum_words, map_batches, texts, whole_rows
 
 WINDOW, SHINGLE = 10, 3
 #: Words of the largest benchmark whose index is broadcast (some 100 bytes a word).
@@ -160,6 +160,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     return map_batches(docs, make, f"doc_id {kind}, n_words long, spans {OUT}, items array<string>")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The documents without any hit word; their columns stay as they are."""
+    return find_hits(whole_rows(docs), benchmark, window, broadcast_words).filter(F.size("items") == 0).select("doc_id.*")
+
+
 def join_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The same result by shuffle joins, for a benchmark of any size.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import crc_mod, hash_fraction, map_batches, slices
+from trackengine.llm.common import crc_mod, hash_fraction, map_batches, slices, whole_rows
 
 BUCKET_BITS = 14
 ORDERS = (1, 2, 3)
@@ -124,21 +124,20 @@ def _score(texts: list[str | None], model: Model) -> tuple[list[str], list[float
     return lang, score
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (posterior of the prediction) to the columns ``keep``; reads text alone."""
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, ``lang_pred`` and ``score`` (posterior of the prediction); reads text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def each(batch: pa.RecordBatch):
             for piece in slices(batch, most=2_000_000):
                 lang, score = _score(piece.column("text").to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
         return each
 
-    source = docs.select(*dict.fromkeys([*keep, "text"]))
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(source, make, f"{kinds}, lang_pred string, score double")
+    source = docs.select("doc_id", "text")
+    return map_batches(source, make, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -154,7 +153,5 @@ def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     The model learns from every row with a lang; where no row has one, nothing can be learned and every document with
     a letter stays."""
     model = fit(docs)
-    keep = tuple(docs.columns)
-    scored = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model, tuple({"lang_pred": "_lang_pred", "score": "_score"}.get(c, c) for c in keep))
-    good = (F.col("lang_pred") != "und") & (F.col("score") >= min_score) if model.languages else F.col("text").rlike(r"\p{L}")
-    return scored.filter(good).drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*keep)
+    good = (F.col("lang_pred") != "und") & (F.col("score") >= min_score) if model.languages else F.col("doc_id.text").rlike(r"\p{L}")
+    return predict(whole_rows(docs), model).filter(good).select("doc_id.*")

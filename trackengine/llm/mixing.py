@@ -3,10 +3,11 @@
 Every document gets a hash-random key. The key space of each source is cut into equal ranges (keys are uniform, so the
 ranges are even), each range is sorted by a window, and range totals give the offset of each range: a distributed
 prefix sum of sizes. A source's budget takes whole epochs first, then documents in key order, and is cut exactly: the
-last document gives the words that are still missing.
+last document gives the words that are still missing. Only ids and sizes are sorted; texts stay where they are.
 
 Edge cases: a null or empty text has size 0 and gives nothing. A null source is a source of its own and sorts last.
-Ties of keys (repeated rows) go by doc_id and then by size; equal rows are interchangeable. An empty table gives no row. A source of
+Ties of keys go by doc_id and then by size; equal rows
+at the cut share what is missing evenly, rounded down. An empty table gives no row. A source of
 size 0 has target 0. Columns with clashing names are not read.
 """
 
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import SPACE_WORD
+from trackengine.llm.common import SPACE_WORD, Workspace
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -48,30 +49,69 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) ->
     return out
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how much of each document the mix takes, repeats counted.
+def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
+    """Per source: its size, target, whole epochs, and the place in key order where its budget ends.
 
-    ``size`` counts a document's tokens (words by default). The sources' sizes, one row a source, reach the driver."""
-    size = n_words(F.col("text")) if size is None else size
-    rows = docs.select("doc_id", "source", size.alias("size"))
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    ``sizes`` has doc_id, source and size. One row a source reaches the driver."""
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     # UTF-8 order is code point order
     per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [r["source_size"] for r in per_source]
-    goal = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))], most)
-    plan = [(k, r["source"], r["source_size"], goal[k], max(LEAST_RANGES, math.ceil(r["n"] / RANGE_ROWS))) for k, r in enumerate(per_source)]
-    plan_df = docs.sparkSession.createDataFrame(plan, "sid int, p_source string, source_size long, target double, ranges long")
+    total = [r["source_size"] for r in per_source]
+    goal = targets(total, [weights[k % len(weights)] for k in range(len(total))], most)
+    plan = []
+    for k, r in enumerate(per_source):
+        epochs, rest = divmod(round(goal[k]), r["source_size"]) if r["source_size"] else (0, 0)
+        plan.append((k, r["source"], r["source_size"], goal[k], epochs, rest, max(LEAST_RANGES, math.ceil(r["n"] / RANGE_ROWS))))
+    spark = sizes.sparkSession
+    of = spark.createDataFrame(plan, "sid int, p_source string, source_size long, target double, epochs long, rest long, ranges long")
     # Nothing bounds the number of sources, so Spark picks the join by the plan's size.
-    rows = rows.join(plan_df, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    rows = rows.withColumn("key", F.xxhash64(F.lit(20), "doc_id", "size"))
+    rows = _keyed(sizes).join(of.select("sid", "p_source", "rest", "ranges"), F.col("source").eqNullSafe(F.col("p_source")))
     rows = rows.withColumn("range", F.floor((F.col("key") / 2.0**64 + 0.5) * F.col("ranges")).cast("long"))
-    by_range = rows.groupBy("sid", "range").agg(F.sum("size").alias("range_size"))
+    rows = rows.groupBy("sid", "rest", "range", "key", "doc_id", "size").agg(F.count("*").alias("alike"))
+    amount = F.col("size") * F.col("alike")
+    by_range = rows.groupBy("sid", "range").agg(F.sum(amount).alias("range_size"))
     before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_range.select("sid", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("sid", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.withColumn("prefix", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["sid", "range"])
-    budget = F.rint("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("prefix")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + partial).cast("long").alias("taken"))
+    placed = rows.withColumn("prefix", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(offsets, ["sid", "range"])
+    start = F.col("offset") + F.col("prefix")
+    last = placed.filter((start < F.col("rest")) & (start + amount >= F.col("rest")))
+    # equal rows at the cut share what is missing evenly
+    last = last.select("sid", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), F.floor((F.col("rest") - start) / F.col("alike")).alias("cut_taken"))
+    found = {r["sid"]: r for r in last.collect()}
+    id_kind = sizes.schema["doc_id"].dataType.simpleString()
+    rows_of = [(*p[1:5], *((r["cut_key"], r["cut_id"], r["cut_size"], r["cut_taken"]) if (r := found.get(p[0])) else (None, None, None, None))) for p in plan]
+    return spark.createDataFrame(rows_of, f"p_source string, source_size long, target double, epochs long, cut_key long, cut_id {id_kind}, cut_size long, cut_taken long")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.xxhash64(F.lit(20), "doc_id", "size"))
+
+
+def apply_cuts(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """Adds source_size, target and taken to ``docs``, which has doc_id, source and size; no document is shuffled
+    while the sources are few enough for Spark to broadcast."""
+    rows = _keyed(docs).join(cut, F.col("source").eqNullSafe(F.col("p_source")))
+    # nulls come first in the windows of cuts(); so do they here
+    place = lambda key, id_, size: F.struct(key.alias("k"), id_.isNotNull().alias("some"), id_.alias("id"), size.alias("s"))
+    here, end = place(F.col("key"), F.col("doc_id"), F.col("size")), place(F.col("cut_key"), F.col("cut_id"), F.col("cut_size"))
+    part = F.when(F.col("cut_key").isNull(), 0).when(here < end, F.col("size")).when(here.eqNullSafe(end), F.col("cut_taken")).otherwise(0)
+    rows = rows.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
+    return rows.drop("key", "p_source", "epochs", "cut_key", "cut_id", "cut_size", "cut_taken")
+
+
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: how much of each document the mix takes, repeats counted.
+
+    ``size`` counts a document's tokens (words by default); texts are read once."""
+    size = n_words(F.col("text")) if size is None else size
+    sizes = Workspace(docs.sparkSession, "mixing").write(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    return apply_cuts(sizes, cuts(sizes, weights, most)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
+    """The documents that the mix takes, with their columns, ``mix_size`` (words) and ``mix_taken`` (words taken, repeats counted)."""
+    sizes = Workspace(docs.sparkSession, "mixing").write(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    out = apply_cuts(whole, cuts(sizes, weights, most)).filter("taken > 0")
+    return out.select("row.*", F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))

@@ -12,12 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackengine.llm import chat_format, decontaminate, language_id, mixing, quality_fm, quality_rules, secret_scan, token_counts
-from trackengine.llm.common import map_batches, table
+from trackengine.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_fm, quality_rules, secret_scan, substring_dedup, token_counts
+from trackengine.llm.common import lower_words, map_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), lower_words, shingle=3, percent=85)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +47,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -95,10 +103,45 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named: list[Query] = [op2_source_mix, op3_token_counts, op4_benchmark_hits, op5_quality_rules, op7_language_id, op8_quality_classifier, op9_secret_scan, op10_chat_format]
+    named: list[Query] = [op1_near_duplicates, op2_source_mix, op3_token_counts, op4_benchmark_hits, op5_quality_rules, op6_substring_dedup, op7_language_id, op8_quality_classifier, op9_secret_scan, op10_chat_format]
     return {f.__name__: f for f in named}
 
 
+_OP1 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 2), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS k FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS least FROM words UNION SELECT l.b, r.least FROM reach r JOIN both_ways l ON l.a = r.node
+), least AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) JOIN least ON node = doc_id
+"""
+
+_OP6 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, k, md5(array_to_string(list_slice(w, k, k + 34), ' ')) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM docs WHERE len(w) >= 35)
+), again AS (
+  SELECT r, k FROM windows WHERE win IN (SELECT win FROM windows GROUP BY win HAVING count(*) > 1)
+), gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS p FROM again
+), words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
 _OP4 = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -139,4 +182,4 @@ FROM sized GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_hits": _OP4, "op10_chat_format": _OP10}
+    return {"op1_near_duplicates": _OP1, "op4_benchmark_hits": _OP4, "op6_substring_dedup": _OP6, "op10_chat_format": _OP10}
