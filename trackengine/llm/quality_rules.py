@@ -24,7 +24,7 @@ from trackengine.llm.common import Workspace, hash_fraction
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bound of the labelled rows that rules are learned from: about so many, picked by a hash of doc_id.
-MAX_TRAIN_ROWS = 50_000
+MAX_TRAIN_ROWS = 20_000
 MAX_RULES, MAX_CONDITIONS, THRESHOLDS = 8, 3, 16
 LEAST_PRECISION, LEAST_COVER = 0.9, 5
 #: Statistics that conditions may use: ratios to words or characters and a few sizes.
@@ -37,7 +37,8 @@ def _let(value: Column, body) -> Column:
 
 
 def _chars(text: Column, which: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, which, ""))
+    """Characters of a class in a text."""
+    return F.length(F.regexp_replace(text, f"[^{which}]+", "")).cast("long")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -45,47 +46,40 @@ def _repeat_words(words: Column) -> Column:
 
     Windows are sorted with their place, so that equal ones are neighbours; the places of those that repeat are sorted
     again, and each covers three words or as many as there are to the next."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    windows = lambda w: F.zip_with(F.slice(pairs, 1, F.size(w) - 2), F.slice(w, 3, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
-    placed = F.array_sort(F.transform(windows(words), lambda w, k: F.struct(w.alias("w"), k.alias("k"))))
-    none = F.lit(None).cast("struct<w:string,k:int>")
-
-    def places(s: Column) -> Column:
-        same_before = F.zip_with(s, F.concat(F.array(none), F.slice(s, 1, F.size(s) - 1)), lambda a, b: F.struct(a["k"].alias("k"), F.coalesce(a["w"] == b["w"], F.lit(False)).alias("same")))
-        return _let(
-            same_before,
-            lambda x: F.zip_with(x, F.concat(F.slice(x, 2, F.size(x)), F.array(F.lit(None).cast("struct<k:int,same:boolean>"))), lambda a, b: F.when(a["same"] | F.coalesce(b["same"], F.lit(False)), a["k"])),
-        )
-
-    covered = lambda p: F.aggregate(
-        F.array_sort(F.filter(p, lambda k: k.isNotNull())),
+    n = F.size(words) - 2
+    windows = F.sort_array(F.arrays_zip(F.slice(words, 1, n), F.slice(words, 2, n), F.slice(words, 3, n), F.sequence(F.lit(0), n - 1)))
+    same = lambda x, y: (x["2"] == y["2"]) & (x["1"] == y["1"]) & (x["0"] == y["0"])
+    places = lambda s: F.sort_array(
+        F.array_distinct(F.flatten(F.array_compact(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(same(x, y), F.array(x["3"], y["3"]))))))
+    )
+    covered = F.aggregate(
+        _let(windows, places),
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda done, k: F.struct((done["n"] + F.least(F.lit(3), k - done["last"])).alias("n"), k.alias("last")),
         lambda done: done["n"],
     )
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(_let(placed, lambda s: covered(places(s)))).cast("long")
+    return F.when(F.size(words) < 3, 0).otherwise(covered).cast("long")
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
     """The given columns and the statistics of ``text``, all long; the words' array lives inside one projection only."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != "")
     counted = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct")))
     line_counts = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    upper = "".join(map(chr, range(65, 91))) + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
     return docs.withColumn("_w", counted).withColumn("_l", line_counts).withColumns(
         {
             "n_words": F.col("_w.n_words"),
-            "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-            "n_symbols": _chars(text, "#*$%&|<>").cast("long"),
+            "word_chars": F.length(text) - _chars(text, r"\x20\x09-\x0D"),
+            "n_symbols": _chars(text, r"#*$%&|<>"),
             "n_dup_lines": F.col("_l.n_dup_lines"),
             "n_repeat_words": F.col("_w.n_repeat_words"),
             "n_distinct": F.col("_w.n_distinct"),
             "n_lines": F.col("_l.n_lines"),
-            "n_upper": _chars(text, upper).cast("long"),
-            "n_punctuation": _chars(text, ".,;:!?").cast("long"),
-            "n_digits": _chars(text, "0123456789").cast("long"),
+            "n_upper": _chars(text, r"A-Z"),
+            "n_punctuation": _chars(text, r".,;:!?"),
+            "n_digits": _chars(text, r"0-9"),
         }
     ).drop("_w", "_l")
 
@@ -207,15 +201,18 @@ def base_failed() -> Column:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Statistics, ``y`` and ``fold`` of about ``max_rows`` labelled documents that pass the base rule, written down once."""
+    """Statistics, ``y`` and ``fold`` of about ``max_rows`` labelled documents that pass the base rule, written down once.
+
+    Statistics are taken before the join, so that numbers are shuffled and not texts."""
     marked = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id"), F.col("quality").alias("y"))
     total = marked.count()
     docs = docs.select("doc_id", "text")
     if total > max_rows:
         few = hash_fraction(F.col("doc_id"), max_rows / total, 5)
         marked, docs = marked.filter(few), docs.filter(few)
-    rows = base_statistics(docs.join(marked, "doc_id")).filter(~base_failed())
-    return Workspace(docs.sparkSession, "quality-rules").write(rows.select("y", F.pmod(F.xxhash64(F.lit(55), "doc_id"), F.lit(3)).alias("fold"), *(c.alias(n) for n, c in ratios().items())), "labelled")
+    rows = base_statistics(docs).drop("text").join(marked, "doc_id").withColumn("base_failed", base_failed())
+    fold = F.pmod(F.xxhash64(F.lit(55), "doc_id"), F.lit(3)).alias("fold")
+    return Workspace(docs.sparkSession, "quality-rules").write(rows.select("y", fold, "base_failed", *(c.alias(n) for n, c in ratios().items())), "labelled").filter(~F.col("base_failed"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
