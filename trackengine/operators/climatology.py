@@ -38,6 +38,6 @@ def decade_classes(tracks: DataFrame, years: DataFrame, classes: tuple[int, ...]
     """Counts of each class in a decade divided by its complete years (1 at least), a column a class."""
     exposure = years.groupBy((F.floor(F.col("year") / 10) * 10).alias("decade")).agg(F.greatest(F.count("*"), F.lit(1)).alias("years"))
     inside = tracks.join(years, tracks["start_year"] == years["year"], "left_semi")
-    counts = inside.groupBy((F.floor(F.col("start_year") / 10) * 10).alias("decade")).pivot("category", list(classes)).agg(F.count("*"))
+    counts = inside.groupBy((F.floor(F.col("start_year") / 10) * 10).alias("decade")).pivot("category", list(classes)).agg(F.count(F.lit(1)))
     out = exposure.join(counts, "decade", "left")
     return out.select("decade", *((F.coalesce(F.col(str(c)), F.lit(0)) / F.col("years")).alias(f"class_{c}") for c in classes))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.operators import kinematics, ranks, summary
-from trackengine.plans import fixtures, match_queries, track_queries  # noqa: F401
+from trackengine.plans import fixtures, match_queries, release_queries, system_queries, track_queries  # noqa: F401
 from trackengine.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "strongest_tracks"]
