@@ -8,11 +8,13 @@
    bands of 6 registers that a pair at the threshold is missed with a probability of 1e-6 (30 bands at Jaccard 0.85).
 4. Shingles that no other document of any bucket has can't be shared: n less their number bounds every intersection.
    The bound removes most pairs of a large group whose members differ each in their own way, without forming them.
-5. In each bucket every member meets one centre, the member with the smallest share of such shingles. Pairs that pass the length and
+5. In each bucket every member meets one centre, the member that others share most with. Pairs that pass the length and
    intersection bounds get a joint maximum-likelihood estimate from both sketches; pairs estimated far below the
    threshold go, all others are verified on the full sets. Components of the verified links are found.
-6. Only members of one bucket that are in different components and have not met are paired then, and go the same way:
-   all pairs of a bucket are decided, while a group of copies costs a number of pairs in proportion to its members.
+6. Only members of one bucket that are in different components and have not met can still be linked. Two sets share at
+   most the smaller of their intersections with the centre, and the smaller of what else they share with anything: this
+   bound leaves few pairs even where a group's similarities lie on both sides of the threshold. They go the same way.
+   So every pair of a bucket is decided, while a group of copies costs a number of pairs in proportion to its members.
 
 Edge cases: a null, empty or wordless text has an empty set and is linked with nothing. Fewer words than a shingle are
 one shingle. Rows with the same doc_id count as one document and are linked. A null doc_id is linked with nothing, its
@@ -27,7 +29,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackengine.llm.common import Workspace, finish, map_batches, shingle_set, texts
@@ -140,14 +142,34 @@ def _sets(docs: DataFrame, words: Callable[[bytes | None], list[bytes]], shingle
     return map_batches(docs.select("doc_id", "text"), make, f"doc_id {_kind(docs)}, n long, regs binary, shingles array<long>")
 
 
-def _possible(n_a: Column, n_b: Column, c_a: Column, c_b: Column, percent: int) -> Column:
-    """Whether sets of n elements, of which c are shared with anything at all, can reach the similarity."""
-    most = F.least(c_a, c_b)
+def _possible(n_a: Column, n_b: Column, most: Column, percent: int) -> Column:
+    """Whether sets of n elements that share ``most`` at best can reach the similarity."""
     return 100 * most >= percent * (n_a + n_b - most)
 
 
+def _reachable(work: Workspace, members: DataFrame, percent: int) -> DataFrame:
+    """Leaves out members that can't be linked with any other component of their bucket, whatever the partner.
+
+    A member that shares ``common`` at best reaches partners of up to common * (100 + percent) / percent - n elements.
+    Each bucket keeps the smallest size and the furthest reach of its components and of the next best one, so that a
+    member is held against other components only."""
+    reach = F.floor(F.col("common") * (100 + percent) / percent).cast("long") - F.col("n")
+    members = members.withColumn("reach", reach)
+    per = members.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("reach").alias("high"))
+    w = Window.partitionBy("key")
+    ranked = per.withColumns({"by_low": F.row_number().over(w.orderBy("low", "component")), "by_high": F.row_number().over(w.orderBy(F.desc("high"), "component"))})
+    at = lambda rank, k, c: F.max(F.when(F.col(rank) == k, F.col(c)))
+    two = ranked.filter("by_low <= 2 or by_high <= 2").groupBy("key").agg(
+        at("by_low", 1, "component").alias("c_low"), at("by_low", 1, "low").alias("low1"), at("by_low", 2, "low").alias("low2"), at("by_high", 1, "component").alias("c_high"), at("by_high", 1, "high").alias("high1"), at("by_high", 2, "high").alias("high2")
+    )
+    both = members.join(work.write(two, "reach"), "key")
+    low = F.when(F.col("component") == F.col("c_low"), F.col("low2")).otherwise(F.col("low1"))
+    high = F.when(F.col("component") == F.col("c_high"), F.col("high2")).otherwise(F.col("high1"))
+    return both.filter((low <= F.col("reach")) & (F.col("n") <= high)).select("key", "doc_id", "n", "common", "component", "core", "extra", "known")
+
+
 def _verify(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int, bands: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. Estimates come first and spare most set comparisons."""
+    """a, b, shared (size of the intersection) and linked, by the full sets, of the pairs that are not estimated far below the similarity."""
     least = percent / 100 - DEVIATIONS * math.sqrt(0.25 / (bands * ROWS_IN_BAND))
 
     def make():
@@ -168,7 +190,7 @@ def _verify(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int, ba
     both = near.join(full("a"), "a").join(full("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return work.write(both.filter(100 * shared >= percent * union).select("a", "b"), f"{name}-links")
+    return work.write(both.select("a", "b", shared.alias("shared"), (100 * shared >= percent * union).alias("linked")), f"{name}-verified")
 
 
 def near_duplicates(docs: DataFrame, words: Callable[[bytes | None], list[bytes]], shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -195,22 +217,32 @@ def near_duplicates(docs: DataFrame, words: Callable[[bytes | None], list[bytes]
     open_ = members.join(bound, "doc_id").filter(100 * F.col("common") >= percent * F.col("n"))
     open_ = work.write(open_, "open-members")
 
-    centre = open_.groupBy("key").agg(F.min(F.struct((-F.col("common") / F.col("n")).alias("share"), "doc_id", "n", "common")).alias("c"), F.count("*").alias("members"))
-    centre = work.write(centre.filter("members > 1").select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("n_a"), F.col("c.common").alias("common_a")), "centres")
-    first = open_.join(centre, "key").filter(F.col("doc_id") != F.col("a")).filter(_possible(F.col("n"), F.col("n_a"), F.col("common"), F.col("common_a"), percent))
-    first = work.write(first.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "first-pairs")
-    links = _verify(work, first, sets, percent, bands, "first")
+    # the centre holds the most that others have, less what only it has
+    best = F.min(F.struct((F.col("n") - 2 * F.col("common")).alias("rank"), "doc_id", "n", "common")).alias("c")
+    centre = open_.groupBy("key").agg(best, F.count("*").alias("members")).filter("members > 1")
+    centre = work.write(centre.select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("n_c"), F.col("c.common").alias("common_c")), "centres")
+    first = open_.join(centre, "key").filter(F.col("doc_id") != F.col("centre")).filter(_possible(F.col("n"), F.col("n_c"), F.least("common", "common_c"), percent))
+    first = work.write(first.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct(), "first-pairs")
+    met = _verify(work, first, sets, percent, bands, "first")
+    links = met.filter("linked").select("a", "b")
 
     group = components(work, links, "first-components")
-    labelled = work.write(open_.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+    labelled = open_.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = work.write(labelled, "labelled")
     split = work.write(labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key"), "split-keys")
-    left = labelled.join(split, "key")
-    left = work.write(left, "left")
+    left = labelled.join(split, "key").join(centre.select("key", "centre"), "key", "left").filter("doc_id <> centre")
+    # what a member shares with its bucket's centre, and what else others may share with it
+    left = left.withColumns({"a": F.least("centre", "doc_id"), "b": F.greatest("centre", "doc_id")}).join(met.select("a", "b", "shared"), ["a", "b"], "left")
+    left = left.select("key", "doc_id", "n", "common", "component", F.least(F.coalesce("shared", "common"), "common").alias("core"), F.greatest(F.lit(0), F.col("common") - F.coalesce("shared", "common")).alias("extra"), F.col("shared").isNotNull().alias("known"))
+    left = _reachable(work, work.write(left, "left"), percent)
     x, y = left.alias("x"), left.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-    rest = x.join(y, apart & _possible(F.col("x.n"), F.col("y.n"), F.col("x.common"), F.col("y.common"), percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    known = F.least("x.core", "y.core") + F.least("x.extra", "y.extra")
+    # where one side's share with the centre isn't known, only the sum of both parts bounds
+    most = F.when(F.col("x.known") & F.col("y.known"), known).otherwise(F.least("x.common", "y.common"))
+    rest = x.join(y, apart & _possible(F.col("x.n"), F.col("y.n"), most, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     rest = work.write(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
-    links = links.unionByName(_verify(work, rest, sets, percent, bands, "rest"))
+    links = links.unionByName(_verify(work, rest, sets, percent, bands, "rest").filter("linked").select("a", "b"))
     # one document may have several texts: its classes belong together
     ids = some.select("doc_id", "h1", "h2").distinct()
     reps = classes.select("h1", "h2", "rep")
