@@ -234,13 +234,15 @@ def near_duplicates(docs: DataFrame, words: Callable[[bytes | None], list[bytes]
     # what a member shares with its bucket's centre, and what else others may share with it
     left = left.withColumns({"a": F.least("centre", "doc_id"), "b": F.greatest("centre", "doc_id")}).join(met.select("a", "b", "shared"), ["a", "b"], "left")
     left = left.select("key", "doc_id", "n", "common", "component", F.least(F.coalesce("shared", "common"), "common").alias("core"), F.greatest(F.lit(0), F.col("common") - F.coalesce("shared", "common")).alias("extra"), F.col("shared").isNotNull().alias("known"))
-    left = _reachable(work, work.write(left, "left"), percent)
+    left = _reachable(work, work.write(left, "left"), percent).join(classes.select(F.col("rep").alias("doc_id"), "bands"), "doc_id")
+    left = work.write(left.withColumn("earlier", F.slice("bands", 1, (F.array_position("bands", F.col("key")) - 1).cast("int"))), "reachable")
     x, y = left.alias("x"), left.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    apart &= ~F.arrays_overlap("x.earlier", "y.earlier")  # a pair is formed in the first bucket that both are in
     known = F.least("x.core", "y.core") + F.least("x.extra", "y.extra")
     # where one side's share with the centre isn't known, only the sum of both parts bounds
     most = F.when(F.col("x.known") & F.col("y.known"), known).otherwise(F.least("x.common", "y.common"))
-    rest = x.join(y, apart & _possible(F.col("x.n"), F.col("y.n"), most, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    rest = x.join(y, apart & _possible(F.col("x.n"), F.col("y.n"), most, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     rest = work.write(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
     links = links.unionByName(_verify(work, rest, sets, percent, bands, "rest").filter("linked").select("a", "b"))
     # one document may have several texts: its classes belong together
