@@ -16,11 +16,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java and RE2 form of a word between ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Entries that a worker's word-to-hash cache may hold before it starts afresh.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
+#: Bytes of text that numpy works on at a time.
+SLICE = 500_000
 _SEPARATORS = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
 _ALNUM_TABLE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -60,7 +63,7 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
     """Runs ``make()`` once a task and what it returns on each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +74,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows for which ``make()``'s function, called with batches of bounded size, gives true; no other copy is made."""
+
+    def filtered():
+        keep = make()
+        return lambda batch: (piece.filter(pa.array(keep(piece), pa.bool_())) for piece in slices(batch, most=SLICE))
+
+    return map_batches(df, filtered, df.schema)
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """Each row as one struct named doc_id beside its text: operators that carry an id through then carry the row,
     whatever its columns are called. ``select("doc_id.*")`` unfolds it."""
@@ -82,7 +95,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, name: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that a piece holds about ``most`` bytes of text, or one row: numpy memory stays bounded."""
     sizes = np.cumsum([len(x) if x is not None else 0 for x in texts(batch, name)])
     begin = 0

@@ -20,10 +20,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import Workspace, alnum_words, map_batches, texts, whole_rows
+from trackengine.llm.common import Workspace, alnum_words, filter_batches, map_batches, slices, texts, whole_rows
 
 WINDOW, SHINGLE = 10, 3
 #: Words of the largest benchmark whose index is broadcast (some 100 bytes a word).
@@ -137,19 +138,20 @@ def _word_count(items: DataFrame) -> int:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, n_words, ``spans`` (ranges of hit words, end exclusive) and ``items`` (ids, as strings, whose windows occur)."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    docs = docs.select("doc_id", "text")
-    if _word_count(items) > broadcast_words:
+    docs, items = docs.select("doc_id", "text"), _items(benchmark)
+    shared = _shared_index(docs, items, window, broadcast_words)
+    if shared is None:
         return join_windows(docs, items, window)
-    index = Index([(r["item_id"], alnum_words(r["text"].encode() if r["text"] else None)) for r in items.collect()], window)
-    index.order(_frequencies(docs, index))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
         def each(batch: pa.RecordBatch):
+            for piece in slices(batch):
+                yield hits_of(piece)
+
+        def hits_of(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = [alnum_words(t) for t in texts(batch)]
             found = [shared.value.hits(w) for w in words]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([s for s, _ in found], _SPANS), pa.array([i for _, i in found], pa.list_(pa.string()))],
                 ["doc_id", "n_words", "spans", "items"],
             )
@@ -160,9 +162,30 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     return map_batches(docs, make, f"doc_id {kind}, n_words long, spans {OUT}, items array<string>")
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+
+
+def _shared_index(docs: DataFrame, items: DataFrame, window: int, broadcast_words: int) -> Broadcast | None:
+    """The benchmark's index on every executor, or None if it has too many words for that."""
+    if _word_count(items) > broadcast_words:
+        return None
+    index = Index([(r["item_id"], alnum_words(r["text"].encode() if r["text"] else None)) for r in items.collect()], window)
+    index.order(_frequencies(docs, index))
+    return docs.sparkSession.sparkContext.broadcast(index)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """The documents without any hit word; their columns stay as they are."""
-    return find_hits(whole_rows(docs), benchmark, window, broadcast_words).filter(F.size("items") == 0).select("doc_id.*")
+    items = _items(benchmark)
+    shared = _shared_index(docs, items, window, broadcast_words)
+    if shared is None:
+        return join_windows(whole_rows(docs), items, window).filter(F.size("items") == 0).select("doc_id.*")
+
+    def make():
+        return lambda batch: [not shared.value.hits(alnum_words(t))[1] for t in texts(batch)]
+
+    return filter_batches(docs, make)
 
 
 def join_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

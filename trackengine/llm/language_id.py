@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import crc_mod, hash_fraction, map_batches, slices, whole_rows
+from trackengine.llm.common import crc_mod, filter_batches, hash_fraction, map_batches, slices
 
 BUCKET_BITS = 14
 ORDERS = (1, 2, 3)
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            for piece in slices(batch, most=2_000_000):
+            for piece in slices(batch):
                 lang, score = _score(piece.column("text").to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -153,5 +153,15 @@ def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     The model learns from every row with a lang; where no row has one, nothing can be learned and every document with
     a letter stays."""
     model = fit(docs)
-    good = (F.col("lang_pred") != "und") & (F.col("score") >= min_score) if model.languages else F.col("doc_id.text").rlike(r"\p{L}")
-    return predict(whole_rows(docs), model).filter(good).select("doc_id.*")
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def keep(batch: pa.RecordBatch) -> list[bool]:
+            lang, score = _score(batch.column("text").to_pylist(), shared.value)
+            return [x != "und" and s >= min_score for x, s in zip(lang, score, strict=True)]
+
+        return keep
+
+    return filter_batches(docs, make)

@@ -109,10 +109,13 @@ def find_fingerprints(docs: DataFrame, window: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+            return map(prints_of, slices(batch))
+
+        def prints_of(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = [space_words(t) for t in texts(batch)]
             found = [fingerprints(HASHES.of(w), window) for w in words]
             digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.string())]
                 + [pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))],
                 ["row", "doc_id", "n_words", "words_sha256", "places", "hashes"],
@@ -139,7 +142,7 @@ def find_windows(marked: DataFrame, window: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            for piece in slices(batch, most=2_000_000):
+            for piece in slices(batch):
                 out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
                 for row, text, places in zip(piece.column("row").to_pylist(), texts(piece), piece.column("places").to_pylist(), strict=True):
                     _, hashes, starts = _candidates(text, places, window)
