@@ -8,8 +8,8 @@ labelled statistics, and only its candidates' counts reach the driver. The list
 first rule that holds decides, and a document that no rule covers is kept.
 
 Edge cases: a null text has no words and all statistics 0, and so fails the base rule. Without labels of both kinds no
-rule is learned and the base rule decides alone. Thresholds are quantiles, and ties go to the earlier statistic and the
-lower threshold, so that reruns agree. Repeated label rows count each. Labels without a document teach nothing.
+rule is learned and the base rule decides alone. Thresholds are quantiles and middles between them; ties go to the
+earlier statistic and its middle threshold, so that reruns agree. Repeated label rows count each. Labels without a document teach nothing.
 """
 
 from __future__ import annotations
@@ -156,10 +156,30 @@ def _candidate_counts(rows: DataFrame, spots: dict[str, list[float]]) -> dict[Co
     return out
 
 
+def _thresholds(labelled: DataFrame) -> dict[str, list[float]]:
+    """Quantiles of each statistic over all, bad and good rows, and the middles between neighbours of them."""
+    at = [k / THRESHOLDS for k in range(THRESHOLDS + 1)]
+    rows = {"all": F.lit(True), "bad": F.col("y") == 0, "good": F.col("y") == 1}
+    found = labelled.agg(*(F.percentile(F.when(w, F.col(s)), at).alias(f"{s}_{n}") for s in STATISTICS for n, w in rows.items())).first()
+    out = {}
+    for s in STATISTICS:
+        values = sorted({v for n in rows for v in found[f"{s}_{n}"] or []})
+        out[s] = sorted({*values, *((a + b) / 2 for a, b in zip(values, values[1:], strict=False))})
+    return out
+
+
+def _middle_best(gains: dict[Condition, float]) -> Condition | None:
+    """The condition of highest gain; of equal ones on one statistic the middle threshold, which lies between the kinds."""
+    best = max(gains, key=lambda c: gains[c], default=None)
+    if best is None:
+        return None
+    alike = [c for c in gains if gains[c] == gains[best] and (c.statistic, c.above) == (best.statistic, best.above)]
+    return sorted(alike, key=lambda c: c.threshold)[len(alike) // 2]
+
+
 def learn(labelled: DataFrame) -> list[Rule]:
     """Rules for bad rows from ``STATISTICS`` columns, ``y`` (1 good, 0 bad) and ``fold`` (0: prune, else grow)."""
-    found = labelled.agg(*(F.percentile(s, [k / THRESHOLDS for k in range(1, THRESHOLDS)]).alias(s) for s in STATISTICS)).first()
-    spots = {s: sorted(set(found[s] or [])) for s in STATISTICS}
+    spots = _thresholds(labelled)
     rules: list[Rule] = []
     while len(rules) < MAX_RULES:
         rest = F.lit(True)
@@ -171,7 +191,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
         while bad >= LEAST_COVER and good and len(rule) < MAX_CONDITIONS:
             counts = _candidate_counts(growing.filter(_all(rule)), spots)
             gains = {c: _gain(*n, bad, good) for c, n in counts.items() if n[0] >= LEAST_COVER}
-            best = max(gains, key=lambda c: gains[c], default=None)  # the first of equal ones
+            best = _middle_best(gains)
             if best is None or gains[best] <= 0:
                 break
             rule, (bad, good) = (*rule, best), counts[best]
