@@ -98,7 +98,7 @@ def r06_q02_release_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     docs = nation.select(
         F.lit("release/1").alias("schema"),
-        F.lit("5.4.2").alias("version"),
+        F.lit("1.2.3").alias("version"),
         F.when(F.col("n_regionkey") == 1, "open").otherwise("pass").alias("status"),
         F.struct(F.lit(True).alias("complete_hourly_spans"), F.when(F.col("n_regionkey") == 2, 1).otherwise(0).alias("non_hourly_steps")).alias("continuity"),
         F.lit(False).alias("scientific_change"),
@@ -108,7 +108,7 @@ def r06_q02_release_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.repartition("k").write.json(path)
     schema = "schema string, version string, status string, continuity struct<complete_hourly_spans:boolean,non_hourly_steps:int>, scientific_change boolean"
     read = spark.read.schema(schema).json(path)
-    return gates.document_gate(read, "release/1", "5.4.2")
+    return gates.document_gate(read, "release/1", "1.2.3")
 
 
 def q01_file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,10 +330,10 @@ def e10_query_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.query_recipe(few, {"classes": [5]}, "00")
 
 
-@query("select n_nationkey, case when n_nationkey % 2 = 0 then 'v5.' || n_nationkey || '.1' end as version from nation")
+@query("select n_nationkey, case when n_nationkey % 2 = 0 then 'v1.' || n_nationkey || '.1' end as version from nation")
 def e11_catalogue_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    name = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "lps_v5.").otherwise("lps_5."), "n_nationkey", F.lit(".1_core.parquet"))
+    name = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "lps_v1.").otherwise("lps_1."), "n_nationkey", F.lit(".1_core.parquet"))
     return nation.select("n_nationkey", export.catalogue_version(name).alias("version"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.functions import columns as fc
-from trackengine.operators import climatology, cohort, composites, kinematics, ranks, regions, spatial
+from trackengine.operators import climatology, cohort, composites, kinematics, ranks, regions, spatial, summary
 from trackengine.plans import fixtures
 from trackengine.plans.registry import query
 from trackengine.plans.track_queries import FIX, SYS, pct_sql, r, stepped, steps_sql, systems
@@ -87,8 +87,6 @@ def s08_s09_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {FIX} select track_id, arg_min(lat, h) as genesis_lat, arg_min(lon, h) as genesis_lon, arg_max(lat, h) as lysis_lat, arg_max(lon, h) as lysis_lon from fixes group by 1")
 def s10_end_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trackengine.operators import summary
-
     return summary.endpoints(fixtures.fixes(spark, sf_dir)).select("track_id", "genesis_lat", "genesis_lon", "lysis_lat", "lysis_lon")
 
 
