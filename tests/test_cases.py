@@ -35,7 +35,7 @@ def test_haversine(spark):
 
 
 @pytest.mark.parametrize(
-    ("name", "want"), [("UNNAMED", ""), ("kyaar", "Kyarr"), ("FANI:FANI-GU", "Fani"), ("A:UNNAMED:B", "A / B"), (None, ""), (" x-ray ", "X-Ray"), ("new york:NEW YORK", "New York")]
+    ("name", "want"), [("UNNAMED", ""), ("invest", ""), ("kyaar", "Kyarr"), ("FANI:FANI-GU", "Fani"), ("A:UNNAMED:B", "A / B"), (None, ""), (" x-ray ", "X-Ray"), ("new york:NEW YORK", "New York")]
 )
 def test_display_name(spark, name, want):
     assert value(spark, fc.display_name(F.lit(name).cast("string"))) == want
@@ -191,9 +191,12 @@ def test_nearest_track_is_strictly_inside(spark):
     assert got == {2: (1, 0.5)}
 
 
-def test_months_and_search():
-    assert cohort._YEAR.fullmatch("1939") is None and cohort._YEAR.fullmatch("2025")
-    assert cohort._ID.fullmatch("parent event #12")[1] == "12" and cohort._ID.fullmatch("id 7")[1] == "7" and not cohort._ID.fullmatch("id7x")
+def test_smart_search(spark):
+    rows = spark.createDataFrame([(1939, 1990, 175320, 175330, "CS 1990 01", "S1"), (12, 1939, 0, 9, "D 1939 01", None)], "id long, start_year long, start_hour long, end_hour long, label string, sid string")
+    found = lambda text: sorted(r["id"] for r in rows.filter(cohort.smart_search(text)).collect())
+    assert found("1939") == [1939] and found("1990") == [1939]  # too early for a year: an id
+    assert found("parent event #12") == found("event12") == found(" ID 12 ") == [12] and found("") == [12, 1939]
+    assert found("1990-01-01") == [1939] and found("1990-13-45") == [] and found("cs 1990") == [1939] and found("lps 12") == [12]
 
 
 def test_complete_years(spark):

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 # --- fixed values
 EARTH_RADIUS_KM = 6371.0088
-PLACEHOLDER_NAMES = ("", "NOT_NAMED", "UNNAMED", "NAMELESS", "NONE", "NAN", "UNKNOWN")
+PLACEHOLDER_NAMES = ("", "UNNAMED", "NOT_NAMED", "UNKNOWN", "NAN", "INVEST")
 SPELLINGS = {"KYAAR": "KYARR"}
 CLASS_CODES = {1: "L", 2: "D", 3: "DD", 4: "CS", 5: "SCS", 6: "VSCS"}
-CLASS_LABELS = {1: "Low", 2: "Depression", 3: "Deep depression", 4: "Cyclonic storm", 5: "Severe cyclonic storm", 6: "Very severe cyclonic storm or stronger"}
-SEASONS = {"winter": (1, 2), "pre-monsoon": (3, 4, 5), "monsoon": (6, 7, 8, 9), "post-monsoon": (10, 11, 12)}
+CLASS_SHORT = {1: "L", 2: "D", 3: "DD", 4: "CS", 5: "SCS", 6: "VSCS+"}
+CLASS_LABELS = {1: "Low", 2: "Depression", 3: "Deep Depression", 4: "Cyclonic Storm", 5: "Severe Cyclonic Storm", 6: "Very Severe Cyclonic Storm or stronger"}
+SEASONS = {"jjas": (6, 7, 8, 9), "mam": (3, 4, 5), "ond": (10, 11, 12), "djf": (12, 1, 2)}
 GRADES = {1: ("L", "LOW"), 2: ("D", "DEP"), 3: ("DD",), 4: ("CS",), 5: ("SCS",), 6: ("VSCS", "ESCS", "SUCS")}
 # ---
 
@@ -69,7 +70,7 @@ def display_name(name: Column) -> Column:
     """Readable storm name: parts at ':', placeholders and repeats dropped, spellings unified, title case, joined by ' / '."""
     parts = F.split(F.upper(F.trim(F.coalesce(name, F.lit("")))), ":")
     known = F.create_map(*(F.lit(x) for pair in SPELLINGS.items() for x in pair))
-    parts = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), "-GU$", ""))
+    parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "-GU$", "")))
     parts = F.transform(parts, lambda p: F.coalesce(known[p], p))
     parts = F.array_distinct(F.filter(parts, lambda p: ~p.isin(*PLACEHOLDER_NAMES)))
     title = lambda p: F.array_join(F.transform(F.split(p, "(?<=[^A-Z])(?=[A-Z])"), lambda x: F.initcap(F.lower(x))), "")
@@ -90,8 +91,9 @@ def lookup(value: Column, table: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[value]
 
 
-def season(month: Column) -> Column:
-    return lookup(month, {m: s for s, months in SEASONS.items() for m in months})
+def seasons(month: Column) -> Column:
+    """Names of the seasons that a month belongs to; December is in two."""
+    return F.array_compact(F.array(*(F.when(month.isin(*months), name) for name, months in SEASONS.items())))
 
 
 def grade_class(grade: Column) -> Column:

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def alias_map(slugs: DataFrame, metadata: DataFrame, special: dict[str, list[str]]) -> DataFrame:
+# --- fixed values: slugs whose series have other names
+SPECIAL_SERIES = {
+    "dadra_and_nagar_haveli": ["dadra-and-nagar-haveli-and-daman-and-diu"],
+    "daman_and_diu": ["dadra-and-nagar-haveli-and-daman-and-diu"],
+    "nct_of_delhi": ["delhi"],
+    "jammu_and_kashmir": ["jammu-and-kashmir", "ladakh"],
+}
+# ---
+
+def alias_map(slugs: DataFrame, metadata: DataFrame, special: dict[str, list[str]] = SPECIAL_SERIES) -> DataFrame:
     """(slug, series): special slugs map to given series, others to their name with '-' for '_'; unknown series are ignored."""
     named = slugs.sparkSession.createDataFrame([(s, x) for s, ids in special.items() for x in ids], "slug string, series string")
     plain = slugs.join(named, "slug", "left_anti").select("slug", F.translate("slug", "_", "-").alias("series"))

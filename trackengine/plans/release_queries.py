@@ -292,10 +292,15 @@ def e01_e02_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {SYS} select id, category, case category when 1 then 'L' when 2 then 'D' when 3 then 'DD' when 4 then 'CS' when 5 then 'SCS' else 'VSCS' end as code, case when month(start_date) <= 2 then 'winter' when month(start_date) <= 5 then 'pre-monsoon' when month(start_date) <= 9 then 'monsoon' else 'post-monsoon' end as season from systems"
+    f"""with {SYS}, m as (select *, month(start_date) as m from systems) select id, category, case category when 1 then 'L' when 2 then 'D' when 3 then 'DD' when 4 then 'CS' when 5 then 'SCS' else 'VSCS' end as code,
+case category when 1 then 'Low' when 2 then 'Depression' when 3 then 'Deep Depression' when 4 then 'Cyclonic Storm' else 'Severe Cyclonic Storm' end as label,
+case when m = 12 then 'ond,djf' when m <= 2 then 'djf' when m <= 5 then 'mam' when m <= 9 then 'jjas' else 'ond' end as seasons from m"""
 )
 def e06_class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return systems(spark, sf_dir).select("id", "category", fc.lookup(F.col("category"), fc.CLASS_CODES).alias("code"), fc.season(F.month("start_date")).alias("season"))
+    category = F.col("category")
+    return systems(spark, sf_dir).select(
+        "id", "category", fc.lookup(category, fc.CLASS_CODES).alias("code"), fc.lookup(category, fc.CLASS_LABELS).alias("label"), F.array_join(fc.seasons(F.month("start_date")), ",").alias("seasons")
+    )
 
 
 @query(f"with {SYS} select cast(id as varchar) as id, cast(category as varchar) as category, cast(start_hour as varchar) as start_hour from systems where category in (2, 5)")
