@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
         each = make()
         for batch in batches:
             yield from each(batch)
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     return df.mapInArrow(run, schema)
 
@@ -97,7 +99,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that a piece holds about ``most`` bytes of text, or one row: numpy memory stays bounded."""
-    sizes = np.cumsum([len(x) if x is not None else 0 for x in texts(batch, name)])
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
     while begin < batch.num_rows:
         end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + most, "right")))

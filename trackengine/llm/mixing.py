@@ -25,6 +25,8 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Rows of a key range, and the least number of ranges a source has.
 RANGE_ROWS, LEAST_RANGES = 50_000, 256
+#: Sources whose table, some 100 bytes each, is broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -64,8 +66,7 @@ def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
         plan.append((k, r["source"], r["source_size"], goal[k], epochs, rest, max(LEAST_RANGES, math.ceil(r["n"] / RANGE_ROWS))))
     spark = sizes.sparkSession
     of = spark.createDataFrame(plan, "sid int, p_source string, source_size long, target double, epochs long, rest long, ranges long")
-    # Nothing bounds the number of sources, so Spark picks the join by the plan's size.
-    rows = _keyed(sizes).join(of.select("sid", "p_source", "rest", "ranges"), F.col("source").eqNullSafe(F.col("p_source")))
+    rows = _keyed(sizes).join(_small(of, len(plan)).select("sid", "p_source", "rest", "ranges"), F.col("source").eqNullSafe(F.col("p_source")))
     rows = rows.withColumn("range", F.floor((F.col("key") / 2.0**64 + 0.5) * F.col("ranges")).cast("long"))
     rows = rows.groupBy("sid", "rest", "range", "key", "doc_id", "size").agg(F.count("*").alias("alike"))
     amount = F.col("size") * F.col("alike")
@@ -81,7 +82,12 @@ def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     found = {r["sid"]: r for r in last.collect()}
     id_kind = sizes.schema["doc_id"].dataType.simpleString()
     rows_of = [(*p[1:5], *((r["cut_key"], r["cut_id"], r["cut_size"], r["cut_taken"]) if (r := found.get(p[0])) else (None, None, None, None))) for p in plan]
-    return spark.createDataFrame(rows_of, f"p_source string, source_size long, target double, epochs long, cut_key long, cut_id {id_kind}, cut_size long, cut_taken long")
+    return _small(spark.createDataFrame(rows_of, f"p_source string, source_size long, target double, epochs long, cut_key long, cut_id {id_kind}, cut_size long, cut_taken long"), len(plan))
+
+
+def _small(of: DataFrame, rows: int) -> DataFrame:
+    """Broadcasts a table of sources while they are few; else Spark joins by shuffle."""
+    return F.broadcast(of) if rows <= BROADCAST_SOURCES else of
 
 
 def _keyed(rows: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import Workspace, finish, map_batches, shingle_set, texts
+from trackengine.llm.common import Workspace, finish, map_batches, shingle_set, slices, texts
 from trackengine.llm.components import components
 
 BASE, Q, _RATE = 1.001, 2**16 - 2, 20.0
@@ -110,10 +110,13 @@ def sketch(docs: DataFrame, words: Callable[[bytes | None], list[bytes]], shingl
 
     def make():
         def each(batch: pa.RecordBatch):
+            return map(sketch_of, slices(batch))
+
+        def sketch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(words(t), shingle) for t in texts(batch)]
             keys = [band_keys(registers(s, bands * ROWS_IN_BAND), bands).view(np.int64) if len(s) else None for s in sets]
             whole = [[int(finish(s * f).sum(dtype=np.uint64).view(np.int64)) for s in sets] for f in (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xAEF17502108EF2D9))]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(h, pa.int64()) for h in whole), pa.array(keys, _LIST)], ["doc_id", "n", "h1", "h2", "bands"]
             )
 
@@ -131,9 +134,12 @@ def _sets(docs: DataFrame, words: Callable[[bytes | None], list[bytes]], shingle
 
     def make():
         def each(batch: pa.RecordBatch):
+            return map(sets_of, slices(batch))
+
+        def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(words(t), shingle) for t in texts(batch)]
             regs = [registers(s, bands * ROWS_IN_BAND).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array([s.view(np.int64) for s in sets], _LIST)], ["doc_id", "n", "regs", "shingles"]
             )
 

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackengine.llm.common import map_batches
+from trackengine.llm.common import map_batches, slices
 
 # --- fixed values: what counts as a secret
 KINDS = ("assign", "access", "hex", "decoded")
@@ -220,12 +220,15 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
+            return map(masked, slices(batch))
+
+        def masked(batch: pa.RecordBatch) -> pa.RecordBatch:
             new = [redact(t, scan(t)) for t in batch.column("text").to_pylist()]
             columns = {n: batch.column(n) for n in batch.schema.names} | {"text": pa.array(new, pa.string())}
             if "n_chars" in columns:
                 changed = [len(b) if a != b else n for a, b, n in zip(batch.column("text").to_pylist(), new, columns["n_chars"].to_pylist(), strict=True)]
                 columns["n_chars"] = pa.array(changed, columns["n_chars"].type)
-            yield pa.RecordBatch.from_pydict(columns)
+            return pa.RecordBatch.from_pydict(columns)
 
         return each
 
