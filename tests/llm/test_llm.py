@@ -431,6 +431,22 @@ def test_secrets_in_layers():
     assert secret_scan.scan("%25" * 50) == [] and secret_scan.scan("%ff%fe%zz") == []
 
 
+def test_secrets_partly_escaped():
+    for text, start, end in [
+        (r"to\u006ben=abcdefgh12", 0, 21),
+        (r"x AK\x49A1234567890ABCD y", 2, 23),
+        (r'{"\u0070assword":"abcdefgh12"}', 2, 28),
+        ('é password%3D"abcdefgh12" %20', 2, 24),
+        ("%41 to%256ben=abcdefgh12", 4, 24),
+        ("pass%77ord: '%e6%bc%a2' s%65cret=%61bcdefgh", 24, 43),
+    ]:
+        assert secret_scan.scan(text) == [("decoded", start, end)], text
+    # what stands unescaped in the text is no decoded secret
+    assert secret_scan.scan("token=abcdefgh12 %20") == [("assign", 0, 16)]
+    b64 = base64.b64encode(b"some words token=abcdefgh12").decode()
+    assert secret_scan.scan(f"%20 {b64} %20") == [(k, a + 1, b + 1) for k, a, b in secret_scan.scan(f"%2 {b64}")]
+
+
 def test_secret_columns(spark, docs):
     assert secret_scan.find_secrets(docs).count() == len(TEXTS)
     out = secret_scan.redacted(docs)

@@ -1,13 +1,13 @@
 """Secret scans: a worklist that unwraps nested encodings and scans every layer.
 
-The base patterns run over the text itself. The text is then searched for encoded runs (percent escapes, Unicode
-escapes, base64, and compressed data inside base64); each decoded layer goes on a worklist, is scanned and searched in
-turn, until nothing new decodes. A layer whose content was seen before on its path is not opened again (cycle
-detection). Every character of a layer maps to the span of the source text it came from, so a secret found three
+The base patterns run over the text itself. The text is then decoded: as a whole with its percent and Unicode escapes
+resolved, and each run of base64 with compressed data inside it; each decoded layer goes on a worklist, is scanned and
+searched in turn, until nothing new decodes. A layer whose content was seen before on its path is not opened again (cycle
+detection). Every character of a layer, escaped or not, maps to the span of the source text it came from, so a secret found three
 layers down is reported as a span of the original text.
 
 Kinds, in order: ``assign``, ``access`` and ``hex`` in the text itself, then ``decoded`` for spans of the source whose
-decoded content holds one of them.
+decoded content holds one of them; what stands unescaped in the text is not given again as ``decoded``.
 
 Edge cases: a null text counts as empty and has no span. Equal spans of one kind are reported once. Bytes that are not
 UTF-8 end a base64 layer and stand as replacement marks in an escaped one. A compressed layer that is cut short gives what could be read. Only ``doc_id`` and ``text`` are read.
@@ -20,8 +20,10 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,10 +38,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 # ---
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
-_PERCENT = re.compile(r"(?:[A-Za-z0-9_.~+/=:-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9_.~+/=:-]*")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:[A-Za-z0-9_.+/=: -]|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-_ESCAPE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|%[0-9A-Fa-f]{2}|.", re.DOTALL)
+_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 #: Bytes that one compressed layer may grow to; a safeguard against bombs, far above any text's need.
 MAX_LAYER = 64 * 1024 * 1024
 
@@ -62,53 +62,61 @@ def base_spans(text: str) -> Iterator[Span]:
 
 
 class Layer:
-    """Decoded text; ``starts[i]`` to ``ends[i]`` is the source span of character i (None: the source itself)."""
+    """Decoded text; ``place`` maps a span of it to the span of the ``parent`` layer that it came from (None: the source itself)."""
 
-    def __init__(self, text: str, starts: list[int] | None, ends: list[int] | None, path: frozenset[bytes]):
-        self.text, self.starts, self.ends, self.path = text, starts, ends, path
+    def __init__(self, text: str, parent: Layer | None, place: Callable[[int, int], tuple[int, int]] | None, path: frozenset[bytes], unescaped: bool = False):
+        self.text, self.parent, self.place, self.path, self.unescaped = text, parent, place, path, unescaped
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.starts is None else (min(self.starts[start:end]), max(self.ends[start:end]))
-
-
-def _unescape(run: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """Percent and backslash escapes of a run; bytes of consecutive percent escapes join to UTF-8."""
-    out, spans, held, held_spans = [], [], bytearray(), []
-
-    def release() -> None:
-        """The held bytes as UTF-8; a byte that fits no character stands for itself as a replacement mark."""
-        at = 0
-        while at < len(held):
-            n = next((n for n in (1, 2, 3, 4) if _is_character(held[at : at + n], n)), 0)
-            out.append(held[at : at + n].decode() if n else "\ufffd")
-            spans.append((held_spans[at][0], held_spans[at + max(n, 1) - 1][1]))
-            at += max(n, 1)
-        held.clear()
-        held_spans.clear()
-
-    for m in _ESCAPE.finditer(run):
-        piece = m[0]
-        if piece[0] == "%" and len(piece) == 3:
-            held.append(int(piece[1:], 16))
-            held_spans.append(m.span())
-            continue
-        release()
-        if len(piece) == 12:
-            piece = chr(0x10000 + ((int(piece[2:6], 16) & 0x3FF) << 10) + (int(piece[8:], 16) & 0x3FF))
-        elif piece[0] == "\\" and len(piece) > 1:
+        layer = self
+        while layer.parent is not None:
+            start, end = layer.place(start, end)
+            layer = layer.parent
+        return start, end
+
+
+def _unescape(text: str) -> tuple[str, Callable[[int, int], tuple[int, int]]] | None:
+    """The whole text with its percent and backslash escapes decoded; bytes of consecutive percent escapes join to UTF-8,
+    a byte that fits no character stands for itself as a replacement mark. None if there is no escape."""
+    out, last, size = [], 0, 0
+    places, starts, ends = array("q"), array("q"), array("q")  # of the characters that were escaped
+
+    def add(char: str, start: int, end: int) -> None:
+        nonlocal size
+        places.append(size)
+        starts.append(start)
+        ends.append(end)
+        out.append(char)
+        size += 1
+
+    for m in _ESCAPE.finditer(text):
+        piece, at = m[0], m.start()
+        out.append(text[last:at])
+        size += at - last
+        last = m.end()
+        if piece[0] == "%":
+            for char in bytes.fromhex(piece.replace("%", "")).decode("utf-8", "surrogateescape"):
+                known = not 0xDC80 <= ord(char) <= 0xDCFF
+                end = at + 3 * (len(char.encode()) if known else 1)
+                add(char if known else "\ufffd", at, end)
+                at = end
+        elif len(piece) == 12:
+            add(chr(0x10000 + ((int(piece[2:6], 16) & 0x3FF) << 10) + (int(piece[8:], 16) & 0x3FF)), at, last)
+        else:
             code = int(piece[2:], 16)
-            piece = "\ufffd" if 0xD800 <= code < 0xE000 else chr(code)
-        out.append(piece)
-        spans.append(m.span())
-    release()
-    return "".join(out), spans
+            add("\ufffd" if 0xD800 <= code < 0xE000 else chr(code), at, last)
+    if not places:
+        return None
+    out.append(text[last:])
 
+    def one(at: int) -> tuple[int, int]:
+        k = bisect_right(places, at) - 1
+        if k >= 0 and places[k] == at:
+            return starts[k], ends[k]
+        begin = at if k < 0 else ends[k] + at - places[k] - 1
+        return begin, begin + 1
 
-def _is_character(data: bytes, n: int) -> bool:
-    try:
-        return len(data) == n and len(data.decode("utf-8")) == 1
-    except UnicodeDecodeError:
-        return False
+    return "".join(out), lambda start, end: (one(start)[0], one(end - 1)[1])
 
 
 def _inflate(data: bytes) -> bytes | None:
@@ -152,19 +160,25 @@ def _unbase64(run: str) -> tuple[str, list[tuple[int, int]]] | None:
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
+    def opened(text: str, place: Callable[[int, int], tuple[int, int]], unescaped: bool = False) -> Iterator[Layer]:
+        digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+        if digest not in layer.path:
+            yield Layer(text, layer, place, layer.path | {digest}, unescaped)
+
     text = layer.text
-    for has, pattern, decode in (("%", _PERCENT, _unescape), ("\\", _UNICODE, _unescape), ("", _BASE64, _unbase64)):
-        if has not in text:
-            continue
-        for m in pattern.finditer(text):
-            found = decode(m[0])
-            if not found or found[0] == m[0]:
-                continue
-            digest = hashlib.sha256(found[0].encode("utf-8", "surrogatepass")).digest()
-            if digest in layer.path:
-                continue
-            at = [layer.source(m.start() + a, m.start() + b) for a, b in found[1]]
-            yield Layer(found[0], [a for a, _ in at], [b for _, b in at], layer.path | {digest})
+    if "%" in text or "\\" in text:
+        found = _unescape(text)
+        if found:
+            yield from opened(*found, True)
+    for m in _BASE64.finditer(text):
+        if layer.unescaped:
+            start, end = layer.place(*m.span())
+            if layer.parent.text[start:end] == m[0]:
+                continue  # no escape in it: opened from the parent
+        found = _unbase64(m[0])
+        if found and found[0] != m[0]:
+            spans, base = found[1], m.start()
+            yield from opened(found[0], lambda start, end, spans=spans, base=base: (base + spans[start][0], base + spans[end - 1][1]))
 
 
 def scan(text: str | None) -> list[Span]:
@@ -175,8 +189,10 @@ def scan(text: str | None) -> list[Span]:
     work = deque(_decoded(Layer(text, None, None, frozenset([hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()]))))
     while work:
         layer = work.popleft()
-        for _, start, end in base_spans(layer.text):
-            found.add(("decoded", *layer.source(start, end)))
+        for kind, start, end in base_spans(layer.text):
+            span = layer.source(start, end)
+            if (kind, *span) not in found:  # else it stands unescaped in the text itself
+                found.add(("decoded", *span))
         work.extend(_decoded(layer))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
