@@ -447,6 +447,21 @@ def test_secrets_partly_escaped():
     assert secret_scan.scan(f"%20 {b64} %20") == [(k, a + 1, b + 1) for k, a, b in secret_scan.scan(f"%2 {b64}")]
 
 
+def test_secrets_beside_other_bytes():
+    secret = "token=abcdefgh12"
+    for mark in ("\xa0", "\u3000", "\u200b", "\ufeff", "\x1b[31m", "\0", "\f"):
+        for layer in (f"{mark} {secret} {mark}", f"{mark} {base64.b64encode(secret.encode()).decode()} {mark}"):
+            for data in (layer.encode(), gzip.compress(layer.encode())):
+                text = base64.b64encode(data).decode()
+                assert [s[0] for s in secret_scan.scan(text)] == ["decoded"], layer
+    # bytes that are not UTF-8, before and after; the span is that of the secret
+    text = base64.b64encode(b"\xff\xfe\xe6 " + secret.encode() + b" \x80 and more").decode()
+    ((_, start, end),) = secret_scan.scan(text)
+    assert (start, end) == (4 * 8 // 6, -(-20 * 8 // 6))
+    assert secret_scan.scan(base64.b64encode(gzip.compress(b"\xff " + secret.encode())).decode())
+    assert secret_scan.scan(base64.b64encode(bytes(range(256)) * 9).decode()) == []
+
+
 def test_secret_columns(spark, docs):
     assert secret_scan.find_secrets(docs).count() == len(TEXTS)
     out = secret_scan.redacted(docs)

@@ -10,7 +10,7 @@ Kinds, in order: ``assign``, ``access`` and ``hex`` in the text itself, then ``d
 decoded content holds one of them; what stands unescaped in the text is not given again as ``decoded``.
 
 Edge cases: a null text counts as empty and has no span. Equal spans of one kind are reported once. Bytes that are not
-UTF-8 end a base64 layer and stand as replacement marks in an escaped one. A compressed layer that is cut short gives what could be read. Only ``doc_id`` and ``text`` are read.
+UTF-8 stand as lone surrogates in a base64 layer and as replacement marks in an escaped one; every layer that decodes is scanned. A compressed layer that is cut short gives what could be read. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -129,12 +129,8 @@ def _inflate(data: bytes) -> bytes | None:
     return None
 
 
-def _printable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\r\n\t" for c in text)
-
-
 def _unbase64(run: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """Base64 (either alphabet), and what it compresses; None unless printable UTF-8 comes out."""
+    """Base64 (either alphabet), and what it compresses; a byte that is not UTF-8 stands for itself as a lone surrogate."""
     body = run.rstrip("=")
     if len(body) % 4 == 1:
         return None
@@ -143,17 +139,12 @@ def _unbase64(run: str) -> tuple[str, list[tuple[int, int]]] | None:
     except (binascii.Error, ValueError):
         return None
     inner = _inflate(data)
-    try:
-        text = (data if inner is None else inner).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not _printable(text):
-        return None
+    text = (data if inner is None else inner).decode("utf-8", "surrogateescape")
     if inner is not None:
         return text, [(0, len(run))] * len(text)
     spans, at = [], 0
     for ch in text:
-        n = len(ch.encode())
+        n = len(ch.encode("utf-8", "surrogateescape"))
         spans.append((at * 8 // 6, min(len(run), -(-(at + n) * 8 // 6))))
         at += n
     return text, spans
