@@ -462,6 +462,33 @@ def test_secrets_beside_other_bytes():
     assert secret_scan.scan(base64.b64encode(bytes(range(256)) * 9).decode()) == []
 
 
+def test_secrets_in_short_wrapped_and_prefixed_base64():
+    short = base64.b64encode(b"token=12345678").decode()
+    assert len(short.rstrip("=")) == 19
+    for text in (short, short.rstrip("=")):
+        ((kind, start, end),) = secret_scan.scan(f"x {text} y")
+        assert (kind, start, end) == ("decoded", 2, 21)
+    filler = b"".join(hashlib.sha256(bytes([k])).hexdigest()[:30].encode() + b"; " for k in range(9))
+    for at in range(40, 120, 7):
+        plain = filler[:at] + b" token=abcdefgh12 " + filler
+        for data in (plain, gzip.compress(plain)):
+            for width, end in ((76, "\n"), (64, "\r\n"), (10, "\n    ")):
+                coded = base64.b64encode(data).decode()
+                lines = end.join(coded[k : k + width] for k in range(0, len(coded), width))
+                text = f"é key:\n{lines}\nafter"
+                found = secret_scan.scan(text)
+                assert [s[0] for s in found] == ["decoded"], (at, width)
+                assert not secret_scan.scan(secret_scan.redact(text, found))
+                if data is plain:
+                    part = re.sub(r"\s+", "", text[found[0][1] : found[0][2]])
+                    first = coded.index(part)
+                    assert (first, len(part)) == ((at + 1) * 8 // 6, -(-(at + 17) * 8 // 6) - (at + 1) * 8 // 6)
+    for before in ("/cb/", "key-", "a/bc/", "a_key_", "x/", "/", "abcdefghijklmnopqrstuvwxyz/"):
+        for coded in (short, base64.b64encode(b"some words, token=abcdefgh12").decode(), base64.urlsafe_b64encode("ÿ>? token=abcdefgh12".encode()).decode()):
+            found = secret_scan.scan(before + coded)
+            assert [s[0] for s in found] == ["decoded"] and found[0][1] >= len(before) and found[0][2] <= len(before + coded), before
+
+
 def test_secret_columns(spark, docs):
     assert secret_scan.find_secrets(docs).count() == len(TEXTS)
     out = secret_scan.redacted(docs)

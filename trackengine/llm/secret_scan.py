@@ -1,7 +1,7 @@
 """Secret scans: a worklist that unwraps nested encodings and scans every layer.
 
 The base patterns run over the text itself. The text is then decoded: as a whole with its percent and Unicode escapes
-resolved, and each run of base64 with compressed data inside it; each decoded layer goes on a worklist, is scanned and
+resolved, and each run of base64 (from its four offsets, over line breaks) with compressed data inside it; each decoded layer goes on a worklist, is scanned and
 searched in turn, until nothing new decodes. A layer whose content was seen before on its path is not opened again (cycle
 detection). Every character of a layer, escaped or not, maps to the span of the source text it came from, so a secret found three
 layers down is reported as a span of the original text.
@@ -16,7 +16,6 @@ UTF-8 stand as lone surrogates in a base64 layer and as replacement marks in an
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -38,7 +37,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 # ---
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Characters of the shortest secret in base64: a keyword of five letters, a sign and a value.
+LEAST_BASE64 = -(-(len("token=") + LEAST_VALUE) * 8 // 6)
+#: A run of either alphabet; lines that follow each other directly, indented or not, are one run.
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+|[A-Za-z0-9+/_-]{{{LEAST_BASE64},}}+)")
+_BREAK = re.compile(r"\r?\n[ \t]*")
+_STANDARD = str.maketrans("-_", "+/")
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 #: Bytes that one compressed layer may grow to; a safeguard against bombs, far above any text's need.
 MAX_LAYER = 64 * 1024 * 1024
@@ -129,25 +133,57 @@ def _inflate(data: bytes) -> bytes | None:
     return None
 
 
-def _unbase64(run: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """Base64 (either alphabet), and what it compresses; a byte that is not UTF-8 stands for itself as a lone surrogate."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body.translate(str.maketrans("-_", "+/")) + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    inner = _inflate(data)
-    text = (data if inner is None else inner).decode("utf-8", "surrogateescape")
-    if inner is not None:
-        return text, [(0, len(run))] * len(text)
-    spans, at = [], 0
-    for ch in text:
-        n = len(ch.encode("utf-8", "surrogateescape"))
-        spans.append((at * 8 // 6, min(len(run), -(-(at + n) * 8 // 6))))
-        at += n
-    return text, spans
+#: Characters from one known byte offset of a decoded layer to the next.
+_STRIDE = 4096
+
+
+def _byte_offsets(text: str) -> Callable[[int], int]:
+    """From a character of decoded text to its byte."""
+    if text.isascii():
+        return lambda at: at
+    known = array("q", [0])
+    for k in range(0, len(text), _STRIDE):
+        known.append(known[-1] + len(text[k : k + _STRIDE].encode("utf-8", "surrogateescape")))
+    return lambda at: known[at // _STRIDE] + len(text[at - at % _STRIDE : at].encode("utf-8", "surrogateescape"))
+
+
+def _unbase64(run: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+    """What a run gives from each of its four offsets, since a path or key before base64 reads like a part of it; and what
+    that compresses. A byte that is not UTF-8 stands for itself as a lone surrogate."""
+    body, joints, shifts = run, array("q"), array("q")  # joints: body offsets where a line begins; shifts: break characters up to there
+    if "\n" in run:
+        lines, at, last, shift = [], 0, 0, 0
+        for m in _BREAK.finditer(run):
+            lines.append(run[last : m.start()])
+            at += m.start() - last
+            last = m.end()
+            shift += last - m.start()
+            joints.append(at)
+            shifts.append(shift)
+        body = "".join([*lines, run[last:]])
+    if len(body) < LEAST_BASE64:
+        return
+    body = body.translate(_STANDARD)
+
+    def in_run(at: int) -> int:
+        k = bisect_right(joints, at) - 1
+        return at if k < 0 else at + shifts[k]
+
+    for offset in range(4):
+        coded = body[offset:] if (len(body) - offset) % 4 != 1 else body[offset:-1]
+        data = base64.b64decode(coded + "=" * (-len(coded) % 4))
+        inner = _inflate(data)
+        if inner is not None:
+            yield inner.decode("utf-8", "surrogateescape"), lambda start, end: (0, len(run))
+            continue
+        text = data.decode("utf-8", "surrogateescape")
+        byte_of = _byte_offsets(text)
+
+        def place(start: int, end: int, offset: int = offset, byte_of: Callable[[int], int] = byte_of) -> tuple[int, int]:
+            first, last = offset + byte_of(start) * 8 // 6, min(len(body), offset - (-byte_of(end) * 8 // 6)) - 1
+            return in_run(first), in_run(last) + 1
+
+        yield text, place
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
@@ -166,10 +202,8 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
             start, end = layer.place(*m.span())
             if layer.parent.text[start:end] == m[0]:
                 continue  # no escape in it: opened from the parent
-        found = _unbase64(m[0])
-        if found and found[0] != m[0]:
-            spans, base = found[1], m.start()
-            yield from opened(found[0], lambda start, end, spans=spans, base=base: (base + spans[start][0], base + spans[end - 1][1]))
+        for found, place in _unbase64(m[0]):
+            yield from opened(found, lambda start, end, place=place, base=m.start(): tuple(base + at for at in place(start, end)))
 
 
 def scan(text: str | None) -> list[Span]:
