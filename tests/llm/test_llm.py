@@ -1,9 +1,13 @@
 """Each training-data operator against a brute-force version, on the smallest tables and on rows with edge cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -489,6 +493,39 @@ def test_secrets_in_short_wrapped_and_prefixed_base64():
             assert [s[0] for s in found] == ["decoded"] and found[0][1] >= len(before) and found[0][2] <= len(before + coded), before
 
 
+def test_secrets_in_compressed_layers(monkeypatch):
+    secret = b"token=abcdefgh12"
+
+    def kinds(data, before=""):
+        return sorted({s[0] for s in secret_scan.scan(before + base64.b64encode(data).decode())})
+
+    # members, other formats, nested, damaged, cut short, after a key
+    members = gzip.compress(b"a") + gzip.compress(b"x tok") + gzip.compress(b"en=abcdefgh12 y")
+    for data in (members, bz2.compress(secret), lzma.compress(secret), lzma.compress(secret, lzma.FORMAT_ALONE), zlib.compress(secret), bz2.compress(gzip.compress(secret))):
+        assert kinds(data) == ["decoded"]
+        for before in ("key-", "/a/bc/", "xy_"):
+            assert kinds(data, before) == ["decoded"]
+    long = secret + b" " + random.Random(1).randbytes(300_000)
+    assert kinds(gzip.compress(secret)[:-8] + bytes(8)) == kinds(gzip.compress(long)[:200_000]) == ["decoded"]
+    # the span is that of the compressed data
+    inner = gzip.compress(secret)
+    coded = base64.b64encode(b"xyz" * 20 + inner + b"z" * 60).decode()
+    assert secret_scan.scan(coded) == [("decoded", 80, -(-(60 + len(inner)) * 8 // 6))]
+    # pieces: a secret, a character or base64 at any place of a cut
+    monkeypatch.setattr(secret_scan, "CHUNK", 7)
+    monkeypatch.setattr(secret_scan, "PIECE", 32)
+    for shift in range(40):
+        for middle in (secret, base64.b64encode(secret), gzip.compress(secret), base64.b64encode(gzip.compress(secret * 5))):
+            if middle[:1] != b"\x1f":
+                assert kinds(gzip.compress("é漢, ".encode() * 20 + b"," * shift + b" " + middle + b" , " + b"b, " * 50)) == ["decoded"]
+
+
+def test_secret_behind_64_mb():
+    packed = zlib.compressobj(1)
+    data = b"".join(packed.compress("漢字, some words\n".encode() * 60_000) for _ in range(60)) + packed.compress(b" token=abcdefgh12") + packed.flush()
+    assert [s[0] for s in secret_scan.scan(base64.b64encode(data).decode())] == ["decoded"]
+
+
 def test_secret_columns(spark, docs):
     assert secret_scan.find_secrets(docs).count() == len(TEXTS)
     out = secret_scan.redacted(docs)

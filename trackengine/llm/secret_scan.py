@@ -1,28 +1,34 @@
 """Secret scans: a worklist that unwraps nested encodings and scans every layer.
 
 The base patterns run over the text itself. The text is then decoded: as a whole with its percent and Unicode escapes
-resolved, and each run of base64 (from its four offsets, over line breaks) with compressed data inside it; each decoded layer goes on a worklist, is scanned and
-searched in turn, until nothing new decodes. A layer whose content was seen before on its path is not opened again (cycle
-detection). Every character of a layer, escaped or not, maps to the span of the source text it came from, so a secret found three
-layers down is reported as a span of the original text.
+resolved, and each run of base64 (from its four offsets, over line breaks) with compressed data (gzip, zlib, bzip2, xz,
+lzma) anywhere inside it; each decoded layer goes on a worklist, is scanned and searched in turn, until nothing new
+decodes. A layer whose content was seen before on its path is not opened again (cycle detection). Every character of a
+layer, escaped or not, maps to the span of the source text it came from, so a secret found three layers down is reported
+as a span of the original text; what was compressed maps to all of its compressed data. Inflated text is scanned in
+pieces, however long it is.
 
 Kinds, in order: ``assign``, ``access`` and ``hex`` in the text itself, then ``decoded`` for spans of the source whose
 decoded content holds one of them; what stands unescaped in the text is not given again as ``decoded``.
 
 Edge cases: a null text counts as empty and has no span. Equal spans of one kind are reported once. Bytes that are not
-UTF-8 stand as lone surrogates in a base64 layer and as replacement marks in an escaped one; every layer that decodes is scanned. A compressed layer that is cut short gives what could be read. Only ``doc_id`` and ``text`` are read.
+UTF-8 stand as lone surrogates in a base64 or compressed layer and as replacement marks in an escaped one; every layer
+that decodes is scanned. A compressed layer that is cut short or damaged gives what could be read. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import base64
+import bz2
+import codecs
 import hashlib
+import lzma
 import re
 import zlib
 from array import array
 from bisect import bisect_right
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +50,16 @@ _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A
 _BREAK = re.compile(r"\r?\n[ \t]*")
 _STANDARD = str.maketrans("-_", "+/")
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-#: Bytes that one compressed layer may grow to; a safeguard against bombs, far above any text's need.
-MAX_LAYER = 64 * 1024 * 1024
+#: Heads of gzip, zlib, bzip2, xz and lzma streams.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\]\x00\x00..(?:\xff{8}|.{5}\x00{3})", re.DOTALL)
+#: Bytes that are inflated at a time, and compressed bytes that are fed at a time.
+CHUNK, FED = 1 << 20, 1 << 16
+#: Characters of inflated text that are scanned at a time; a piece ends at a character that no pattern, escape or base64
+#: has. A text without one is held up to LONGEST characters, and then cut with an overlap.
+PIECE, LONGEST, OVERLAP = 4 << 20, 32 << 20, 1 << 20
+_TO_SEPARATOR = re.compile(r""".*[^A-Za-z0-9+/_.=~:%\\"' \t\r\n-]""", re.DOTALL)
+#: Memory that an xz or lzma stream may ask for; the strongest preset takes 65 MB.
+LZMA_MEMORY = 256 << 20
 
 Span = tuple[str, int, int]
 
@@ -123,14 +137,100 @@ def _unescape(text: str) -> tuple[str, Callable[[int, int], tuple[int, int]]] |
     return "".join(out), lambda start, end: (one(start)[0], one(end - 1)[1])
 
 
-def _inflate(data: bytes) -> bytes | None:
-    for bits in ({b"\x1f\x8b": 31}.get(data[:2], 0), 15 if data[:1] == b"\x78" else 0):
-        if bits:
+def _decompressor(head: bytes):
+    if head[:1] in b"\x1fx":
+        return zlib.decompressobj(31 if head[:1] == b"\x1f" else 15)
+    return bz2.BZ2Decompressor() if head[:1] == b"B" else lzma.LZMADecompressor(lzma.FORMAT_AUTO, LZMA_MEMORY)
+
+
+def _fed(stream, piece: bytes) -> Iterator[bytes]:
+    """All that a decompressor gives for a piece, in chunks."""
+    while True:
+        out = stream.decompress(piece, CHUNK)
+        if out:
+            yield out
+        piece = getattr(stream, "unconsumed_tail", b"")
+        if stream.eof or (not piece and len(out) < CHUNK and getattr(stream, "needs_input", True)):
+            return
+
+
+class _Inflated:
+    """Iterates over what the compressed data at ``at`` gives, members that follow each other as one; ``end`` is then the
+    byte after the last whole member. Data that is cut short or damaged gives what could be read, and is ``broken``."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.end, self.broken = data, at, at, False
+
+    def extent(self) -> int:
+        """Where the data ends, that of a broken member taken as the rest; reads it all."""
+        whole = _Inflated(self.data, self.at)
+        for _ in whole:
+            pass
+        return len(self.data) if whole.broken else whole.end
+
+    def __iter__(self) -> Iterator[bytes]:
+        while (m := _MAGIC.match(self.data, self.end)) and (self.end == self.at or m[0][:1] == self.data[self.at : self.at + 1]):
+            yield from self._member(m[0])
+            if self.broken:
+                return
+
+    def _member(self, head: bytes) -> Iterator[bytes]:
+        stream, begin, at, given = _decompressor(head), self.end, self.end, 0
+        while at < len(self.data) and not stream.eof:
+            before = given
             try:
-                return zlib.decompressobj(bits).decompress(data, MAX_LAYER)
-            except zlib.error:
-                continue
-    return None
+                for out in _fed(stream, self.data[at : at + FED]):
+                    given += len(out)
+                    yield out
+            except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+                self.broken = True
+                yield from self._up_to_damage(head, begin, at, given - before)
+                return
+            at = min(at + FED, len(self.data))
+        self.broken = not stream.eof
+        if stream.eof:
+            self.end = at - len(stream.unused_data)
+
+    def _up_to_damage(self, head: bytes, begin: int, at: int, skip: int) -> Iterator[bytes]:
+        """Byte by byte from ``at``: a call that fails gives nothing of what it had read. ``skip`` bytes were given before."""
+        stream = _decompressor(head)
+        try:
+            for fed in range(begin, at, FED):
+                for _ in _fed(stream, self.data[fed : min(fed + FED, at)]):
+                    pass
+            while at < len(self.data):
+                for out in _fed(stream, self.data[at : at + 1]):
+                    if len(out) > skip:
+                        yield out[skip:]
+                    skip = max(0, skip - len(out))
+                at += 1
+        except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+            pass
+
+
+def _pieces(chunks: Iterable[bytes]) -> Iterator[str]:
+    """Decoded text in pieces between which nothing is split that a pattern or a decoder looks for."""
+    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    held, size, wanted = [], 0, PIECE
+    for chunk in chunks:
+        held.append(decoder.decode(chunk))
+        size += len(held[-1])
+        if size < wanted:
+            continue
+        text = "".join(held)
+        cut = _TO_SEPARATOR.match(text)
+        if cut:
+            yield cut[0]
+            text, wanted = text[cut.end() :], PIECE
+        elif size >= LONGEST:
+            yield text
+            text, wanted = text[-OVERLAP:], PIECE
+        held, size = [text], len(text)
+        while wanted <= size:
+            wanted *= 2
+    text = "".join([*held, decoder.decode(b"", True)])
+    if text:
+        yield text
 
 
 #: Characters from one known byte offset of a decoded layer to the next.
@@ -148,8 +248,7 @@ def _byte_offsets(text: str) -> Callable[[int], int]:
 
 
 def _unbase64(run: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
-    """What a run gives from each of its four offsets, since a path or key before base64 reads like a part of it; and what
-    that compresses. A byte that is not UTF-8 stands for itself as a lone surrogate."""
+    """What a run gives from each of its four offsets, since a path or key before base64 reads like a part of it. A byte that is not UTF-8 stands for itself as a lone surrogate."""
     body, joints, shifts = run, array("q"), array("q")  # joints: body offsets where a line begins; shifts: break characters up to there
     if "\n" in run:
         lines, at, last, shift = [], 0, 0, 0
@@ -172,10 +271,6 @@ def _unbase64(run: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, i
     for offset in range(4):
         coded = body[offset:] if (len(body) - offset) % 4 != 1 else body[offset:-1]
         data = base64.b64decode(coded + "=" * (-len(coded) % 4))
-        inner = _inflate(data)
-        if inner is not None:
-            yield inner.decode("utf-8", "surrogateescape"), lambda start, end: (0, len(run))
-            continue
         text = data.decode("utf-8", "surrogateescape")
         byte_of = _byte_offsets(text)
 
@@ -186,6 +281,21 @@ def _unbase64(run: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, i
         yield text, place
 
 
+def _uncompressed(layer: Layer) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+    """What compressed data anywhere in a decoded layer gives, in pieces; each stands for the whole of that data."""
+    data, at = layer.text.encode("utf-8", "surrogateescape"), 0
+
+    def character(byte: int) -> int:
+        return len(data[:byte].decode("utf-8", "surrogateescape"))
+
+    while m := _MAGIC.search(data, at):
+        inflated = _Inflated(data, m.start())
+        whole = cache(lambda inflated=inflated: (character(inflated.at), character(inflated.extent())))
+        for text in _pieces(inflated):
+            yield text, lambda start, end, whole=whole: whole()
+        at = m.start() + 1 if inflated.broken else inflated.end
+
+
 def _decoded(layer: Layer) -> Iterator[Layer]:
     def opened(text: str, place: Callable[[int, int], tuple[int, int]], unescaped: bool = False) -> Iterator[Layer]:
         digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
@@ -197,6 +307,9 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
         found = _unescape(text)
         if found:
             yield from opened(*found, True)
+    if layer.parent is not None:
+        for found, place in _uncompressed(layer):
+            yield from opened(found, place)
     for m in _BASE64.finditer(text):
         if layer.unescaped:
             start, end = layer.place(*m.span())
@@ -211,14 +324,17 @@ def scan(text: str | None) -> list[Span]:
     if not text:
         return []
     found = set(base_spans(text))
-    work = deque(_decoded(Layer(text, None, None, frozenset([hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()]))))
+    work = [_decoded(Layer(text, None, None, frozenset([hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()])))]
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         for kind, start, end in base_spans(layer.text):
             span = layer.source(start, end)
             if (kind, *span) not in found:  # else it stands unescaped in the text itself
                 found.add(("decoded", *span))
-        work.extend(_decoded(layer))
+        work.append(_decoded(layer))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
