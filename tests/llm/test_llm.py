@@ -560,6 +560,27 @@ def test_chat_loss_and_rewriting(spark):
     assert chat_format.render(frame.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    turns = [(r, f"t{k} <|im_end|>") for k, r in enumerate(["user", "assistant"] * 150)]
+    frame = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+
+    def first_is_special(turns):
+        return "<s>" + chat_format.marked(turns)
+
+    def numbered(turns):
+        return f"{len(turns)} turns\n" + chat_format.marked(turns)
+
+    def forgets_the_first(turns):  # rewrites once, long after any window has passed the first turn
+        return chat_format.marked(turns if len(turns) < 280 else turns[1:])
+
+    (got,) = chat_format.render(frame, first_is_special).collect()
+    assert not got["rewrites"] and got["formatted"] == first_is_special(turns)
+    assert [chat_format.unescape(got["formatted"][s["start"] : s["end"]]) for s in got["loss"]] == [t for r, t in turns if r == "assistant"]
+    for template in (numbered, forgets_the_first):
+        (got,) = chat_format.render(frame, template).collect()
+        assert got["rewrites"] and got["loss"] == [] and got["formatted"] == template(turns)
+
+
 # --- the pipeline
 def test_pipeline_stages(spark, real):
     docs = real

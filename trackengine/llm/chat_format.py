@@ -6,9 +6,9 @@ output does not begin with the one before, the template rewrites history; such a
 loss mask. Inside an assistant turn's span the text is found by rendering the turn once more with a probe character as
 its text: what stands before and after the probe is mark-up, what lies between in the real output is the (escaped) text.
 
-Rows are sorted by turn inside a Spark partition and streamed, so memory holds the render window and the output of one conversation. Prefixes would
-cost the square of a conversation's length; a conversation of more than ``WINDOW`` turns is therefore rendered in
-windows that overlap by one turn. The shared turn must render alike in both, else the conversation is flagged too.
+Rows are sorted by turn inside a Spark partition and streamed, so memory holds one conversation and its output. Every
+prefix is rendered whole, whatever the template does with it, so the time for one conversation grows with the square of
+its length. Once a conversation is known to be rewritten, only its whole is rendered: that is its ``formatted``.
 
 Edge cases: a null role or text counts as empty. Equal turn numbers go by role, then text; repeated rows stay. Null
 turns come first. Rows without a conversation id form one conversation. Other columns are not read.
@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 128
 OUT = "formatted string, loss array<struct<start:long,`end`:long>>, rewrites boolean"
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -70,44 +69,38 @@ def _probe(span: str) -> str:
 class Renderer:
     """Renders one conversation turn by turn."""
 
-    def __init__(self, template: Template, window: int, trained: str):
-        self.template, self.window, self.trained = template, window, trained
+    def __init__(self, template: Template, trained: str):
+        self.template, self.trained = template, trained
         self.turns: list[Turn] = []
-        self.last = ""  # the window's output so far
-        self.parts: list[str] = []
-        self.size, self.n, self.rewrites = 0, 0, False
+        self.last = ""  # the output so far
+        self.rewrites = False
         self.loss: list[dict[str, int]] = []
 
     def add(self, role: str, text: str) -> None:
-        if len(self.turns) >= self.window:
-            before = self.template(self.turns[:-1])
-            kept, self.turns = self.last[len(before) :], self.turns[-1:]
-            self.last = self.template(self.turns)
-            self.rewrites |= self.last != kept
         self.turns.append((role, text))
+        if self.rewrites:
+            return
         out = self.template(self.turns)
         if not out.startswith(self.last):
             self.rewrites = True
-            self.parts = [out]  # of a template that rewrites, the newest output stands
-            self.size = len(out)
-        else:
-            span = out[len(self.last) :]
-            if role == self.trained and not self.rewrites:
-                mark = _probe(span)
-                head, found, tail = self.template([*self.turns[:-1], (role, mark)])[len(self.last) :].partition(mark)
-                if found and span.startswith(head) and span.endswith(tail) and len(head) + len(tail) <= len(span):
-                    self.loss.append({"start": self.size + len(head), "end": self.size + len(span) - len(tail)})
-                else:
-                    self.rewrites = True
-            self.parts.append(span)
-            self.size += len(span)
-        self.last, self.n = out, self.n + 1
+            return
+        if role == self.trained:
+            start = len(self.last)
+            span = out[start:]
+            mark = _probe(span)
+            probed = self.template([*self.turns[:-1], (role, mark)])
+            head, found, tail = probed[start:].partition(mark)
+            if probed.startswith(self.last) and found and span.startswith(head) and span.endswith(tail) and len(head) + len(tail) <= len(span):
+                self.loss.append({"start": start + len(head), "end": len(out) - len(tail)})
+            else:
+                self.rewrites = True
+        self.last = out
 
     def row(self) -> tuple[str, list[dict[str, int]], bool]:
-        return "".join(self.parts), [] if self.rewrites else self.loss, self.rewrites
+        return (self.template(self.turns), [], True) if self.rewrites else (self.last, self.loss, False)
 
 
-def render(conversations: DataFrame, template: Template = marked, trained: str = "assistant", window: int = WINDOW) -> DataFrame:
+def render(conversations: DataFrame, template: Template = marked, trained: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss (spans of trained text in ``formatted``, end exclusive) and rewrites, one row a conversation."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -129,11 +122,11 @@ def render(conversations: DataFrame, template: Template = marked, trained: str =
                 if now is None or conv != at:
                     if now is not None:
                         done.append((at, *now.row()))
-                        held += now.size
+                        held += len(done[-1][1])
                         if held > 4_000_000:
                             yield batch_of()
                             done, held = [], 0
-                    now, at = Renderer(template, window, trained), conv
+                    now, at = Renderer(template, trained), conv
                 now.add(role, text)
         if now is not None:
             done.append((at, *now.row()))
