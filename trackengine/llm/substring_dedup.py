@@ -5,8 +5,8 @@ one with the least hash is taken, so two equal windows always hold an equal fing
 2 in 25 positions are stored (Schleimer et al., 2003).
 
 ``FingerprintIndex`` keeps immutable sorted runs of (hash, count) in a folder. A new batch becomes a new run; more than
-``MAX_RUNS`` runs are compacted into one. ``repeated`` merge-joins a batch's fingerprints with the runs. So a batch
-costs its own size plus one sorted pass over the runs, not a pass over historical texts.
+``MAX_RUNS`` runs are compacted into one. ``repeated`` unites the runs and groups them by hash. The runs belong to one
+call: a later delivery can't open them and is deduplicated together with all historical texts.
 
 A repeated fingerprint only marks candidates. Verification hashes the whole windows (128 bits) around them, and a window
 counts as repeated if another place has it. Windows whose own fingerprint occurs once can't repeat and are never
