@@ -9,13 +9,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from contextlib import contextmanager
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trackengine.llm import chat_format, common, decontaminate, language_id, mixing, near_dedup, quality_fm, quality_rules, queries, secret_scan, substring_dedup, token_counts
+from trackengine.llm import chat_format, common, decontaminate, language_id, mixing, near_dedup, quality_fm, quality_rules, queries, secret_scan, sorted_runs, substring_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,6 +53,15 @@ def real(spark):
     return common.table(spark, SF, "documents")
 
 
+@contextmanager
+def no_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
 def words(text):
     return WORD.findall(text or "")
 
@@ -329,13 +339,54 @@ def test_substring_dedup_with_shared_passages(spark, batches):
     assert got == sorted((i, *x) for (i, _), x in zip(rows, brute_removed([t for _, t in rows]), strict=True))
 
 
-def test_index_runs_are_sorted_and_compacted(spark):
-    work = common.Workspace(spark, "index")
-    index = substring_dedup.FingerprintIndex(work, max_runs=2)
-    for k in range(4):
-        index.add(spark.range(5 + k).select((F.col("id") * 7 % 11).alias("hash")))
-    assert len(index.runs) <= 2
-    assert sorted(r["hash"] for r in index.repeated().collect()) == sorted({k * 7 % 11 for k in range(7)})
+def shared_passages(n, seed=4):
+    draw = random.Random(seed)
+    passage = [f"p{k}" for k in range(90)]
+    out = []
+    for k in range(n):
+        own = [f"o{draw.randrange(60)}" for _ in range(draw.randrange(10, 90))]
+        a = draw.randrange(0, 60)
+        out.append((k, " ".join(own[:20] + (passage[a : a + draw.randrange(30, 60)] if k % 2 else []) + own[20:])))
+    return out
+
+
+def test_index_is_opened_again_for_further_deliveries(spark, tmp_path):
+    """Deliveries in separate sessions give what one brute-force pass over everything gives; early documents are judged anew."""
+    rows = shared_passages(50)
+    parts = [rows[:20], rows[20:21], [*rows[21:], (99, rows[1][1]), (98, rows[0][1])]]
+    path = f"file://{tmp_path}/index"
+    substring_dedup.FingerprintIndex.create(spark, path, "bigint", buckets=3)
+    done = []
+    for part in parts:
+        index = substring_dedup.FingerprintIndex.open(spark.newSession(), path)
+        index.deliver(index.spark.createDataFrame(part, "doc_id long, text string"))
+        done += part
+        got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in index.result().collect())
+        assert got == sorted((i, *x) for (i, _), x in zip(done, brute_removed([t for _, t in done]), strict=True))
+    last = substring_dedup.FingerprintIndex.open(spark, path)
+    assert sorted(r["doc_id"] for r in last.result([2]).collect()) == sorted(i for i, _ in parts[2])
+    assert len(last.prints.runs) <= 3 and len(common.names_in(spark, f"{path}/prints")) == len(last.prints.runs)
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex.open(spark, f"file://{tmp_path}/nothing")
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark, tmp_path):
+    runs = sorted_runs.SortedRuns(spark, f"file://{tmp_path}/runs", {"hash": "long"}, {"row": "long"}, 4)
+    for k in range(3):
+        last = runs.add(spark.range(40 + k).select((F.col("id") * 7 % (11 + 10 * k)).alias("hash"), (F.col("id") + 1000 * k).alias("row")))
+    with sorted_runs.sorted_scans(spark), no_broadcast(spark):
+        met = runs.met(last)
+        rows = {r["hash"]: r for r in met.collect()}
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan
+    assert {h: (r["n"], r["seen"]) for h, r in rows.items()} == {h: (sum(k * 7 % 31 == h for k in range(42)), sum(k * 7 % 11 == h for k in range(40)) + sum(k * 7 % 21 == h for k in range(41))) for h in range(31)}
+    runs.compact(1000)
+    runs.clean()
+    assert len(runs.runs) == 1 == len(common.names_in(spark, f"file://{tmp_path}/runs"))
+    assert sorted(r["hash"] for r in runs.totals().filter("n > 1").collect()) == [h for h in range(31) if rows[h]["n"] + rows[h]["seen"] > 1]
+    runs.add(spark.createDataFrame([(100, 5), (3, 6)], "hash long, row long"))
+    totals = {r["hash"]: (r["n"], r["row"]) for r in runs.totals().collect()}
+    assert len(totals) == 32 and totals[100] == (1, 5) and totals[3][0] == rows[3]["n"] + rows[3]["seen"] + 1
 
 
 def test_ngrams_depend_on_order_and_width():

@@ -7,6 +7,7 @@ a separator, so splitting bytes equals splitting code points, and ``bytes.lower`
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -36,14 +37,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; only where none is set, as in tests, a new local one."""
+    """The cluster's shared scratch folder; only where none is set and Spark runs in one process, as in tests, a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if it does not exist."""
+    at, files = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
 class Workspace:
     """A new folder below the shared scratch folder for the tables that one job writes to cut its lineage."""
 
@@ -59,9 +78,7 @@ class Workspace:
 
     def remove(self, name: str) -> None:
         """Deletes a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, f"{self.path}/{name}")
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
@@ -123,18 +140,22 @@ def alnum_words(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept while a worker sees the same words again."""
 
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: Lives as long as the Python worker, over many tasks.
-HASHES = WordHashes()
+#: Live as long as the Python worker, over many tasks; the second is independent of the first.
+HASHES, SECOND_HASHES = WordHashes(), WordHashes(0x5EED)
 
 
 def finish(values: np.ndarray) -> np.ndarray:

@@ -4,32 +4,41 @@ Fingerprints are hashes of ``SEED``-word windows, winnowed: of the seeds inside
 one with the least hash is taken, so two equal windows always hold an equal fingerprint at the same place, and about
 2 in 25 positions are stored (Schleimer et al., 2003).
 
-``FingerprintIndex`` keeps immutable sorted runs of (hash, count) in a folder. A new batch becomes a new run; more than
-``MAX_RUNS`` runs are compacted into one. ``repeated`` unites the runs and groups them by hash. The runs belong to one
-call: a later delivery can't open them and is deduplicated together with all historical texts.
+``FingerprintIndex`` is a folder that can be opened again. It keeps three sets of sorted immutable runs
+(``sorted_runs``): of documents' digests, of fingerprints, and of the hashes of opened windows, beside the delivered
+documents, bucketed by row. ``deliver`` takes a batch:
 
-A repeated fingerprint only marks candidates. Verification hashes the whole windows (128 bits) around them, and a window
-counts as repeated if another place has it. Windows whose own fingerprint occurs once can't repeat and are never
-formed. Then the covered words go.
+1. The batch's fingerprints become a run, which is merge-joined with the earlier runs. A fingerprint that occurs twice in
+   the batch or once before is repeated. Where history holds it once, the run names that one document, which is opened
+   too; where history holds it more often, its documents were opened before.
+2. Verification: each window whose own fingerprint, its least seed, is repeated is hashed as a whole with 128 bits (two
+   independent hashes of its words' bytes) and goes into the runs of windows. A window is formed once, in the delivery
+   that repeats its fingerprint. Windows whose own fingerprint occurs once can't repeat and are never formed.
+3. Runs of similar size are merged; the new state is written last, so a delivery that fails leaves the index as it was.
+
+No delivery reads historical texts but those of the documents that it opens, and no historical run is shuffled.
+``result`` removes the words that repeated windows cover, for all that was delivered.
 
 Edge cases: null, empty and wordless texts, and texts of fewer words than a window, keep all they have. Repeated rows
-repeat each other. Windows never reach across documents. A null doc_id is an id like any other: rows are told apart by
-a row key made of the id and the text, and equal rows get equal results. Only ``doc_id`` and ``text`` are read.
+repeat each other. Windows never reach across documents. A null doc_id is an id like any other: rows are told apart by a
+number made when they are written down. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import HASHES, Workspace, map_batches, ngrams, slices, space_words, texts
+from trackengine.llm.common import HASHES, SECOND_HASHES, Workspace, delete_path, map_batches, names_in, ngrams, slices, space_words, texts
+from trackengine.llm.sorted_runs import SortedRuns, read_bucketed, sorted_scans, write_bucketed
 
-WINDOW, SEED, MAX_RUNS = 35, 12, 2
+WINDOW, SEED = 35, 12
 _SECOND = 0xC2B2AE3D27D4EB4F
 
 
@@ -51,61 +60,22 @@ def winnow(seeds: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(_slide(padded, span, np.maximum) == seeds)
 
 
-def fingerprints(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of a text's fingerprints, from its word hashes."""
+def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of a text's fingerprints, one an occurrence, from its word hashes."""
     if len(hashes) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     seeds = ngrams(hashes, min(SEED, window))
-    at = winnow(seeds, window - min(SEED, window) + 1)
-    return at, seeds[at]
+    return seeds[winnow(seeds, window - min(SEED, window) + 1)]
 
 
-def candidate_windows(hashes: np.ndarray, window: int, places: np.ndarray) -> np.ndarray:
-    """Starts of the windows whose own fingerprint, their least seed, is among the repeated ones at ``places``."""
+def candidate_windows(hashes: np.ndarray, window: int, repeated: np.ndarray) -> np.ndarray:
+    """Starts of the windows whose own fingerprint, their least seed, is among ``repeated``."""
     size = min(SEED, window)
-    seeds = ngrams(hashes, size)
-    return np.flatnonzero(np.isin(_slide(seeds, window - size + 1, np.minimum), seeds[places]))
-
-
-class FingerprintIndex:
-    """Sorted immutable runs of (hash, occurrences) in a folder of the shared file system."""
-
-    def __init__(self, work: Workspace, max_runs: int = MAX_RUNS):
-        self.work, self.max_runs, self.runs, self.made = work, max_runs, [], 0
-
-    def _write(self, rows: DataFrame) -> str:
-        name, self.made = f"run-{self.made}", self.made + 1
-        self.work.write(rows.repartitionByRange("hash").sortWithinPartitions("hash"), name)
-        return name
-
-    def _union(self) -> DataFrame | None:
-        out = None
-        for name in self.runs:
-            run = self.work.read(name)
-            out = run if out is None else out.unionByName(run)
-        return out
-
-    def add(self, batch: DataFrame) -> None:
-        """Stores a batch of fingerprints (column ``hash``, one row an occurrence) as a new run."""
-        self.runs.append(self._write(batch.groupBy("hash").agg(F.count("*").alias("n"))))
-        if len(self.runs) > self.max_runs:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merges all runs into one; the old ones go only after the new one stands."""
-        old = self.runs
-        if len(old) > 1:
-            self.runs = [self._write(self._union().groupBy("hash").agg(F.sum("n").alias("n")))]
-            for name in old:
-                self.work.remove(name)
-
-    def repeated(self) -> DataFrame:
-        """Hashes that occur twice or more in all that was added."""
-        return self._union().groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
+    return np.flatnonzero(np.isin(_slide(ngrams(hashes, size), window - size + 1, np.minimum), repeated))
 
 
 def find_fingerprints(docs: DataFrame, window: int) -> DataFrame:
-    """row, doc_id, n_words, a digest of the words, and places and hashes of the fingerprints, one row a document."""
+    """doc_id, text, n_words, a digest of the words, and the fingerprints' hashes, one row a document."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
@@ -113,106 +83,184 @@ def find_fingerprints(docs: DataFrame, window: int) -> DataFrame:
 
         def prints_of(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = [space_words(t) for t in texts(batch)]
-            found = [fingerprints(HASHES.of(w), window) for w in words]
+            found = [fingerprints(HASHES.of(w), window).view(np.int64) for w in words]
             digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
             return pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.string())]
-                + [pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))],
-                ["row", "doc_id", "n_words", "words_sha256", "places", "hashes"],
+                [batch.column("doc_id"), batch.column("text"), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.string()), pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", "text", "n_words", "words_sha256", "hashes"],
             )
 
         return each
 
-    return map_batches(docs.select("row", "doc_id", "text"), make, f"row long, doc_id {_kind(docs)}, n_words long, words_sha256 string, places array<int>, hashes array<long>")
-
-
-def _kind(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
-
-
-def _candidates(text: bytes | None, places: list[int], window: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, their hashes and the starts of candidate windows of a text with these repeated fingerprints."""
-    words = space_words(text)
-    hashes = HASHES.of(words)
-    return words, hashes, candidate_windows(hashes, window, np.array(places, np.int64))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {kind}, text string, n_words long, words_sha256 string, hashes array<long>")
 
 
-def find_windows(marked: DataFrame, window: int) -> DataFrame:
-    """row, start and a 128-bit hash of each candidate window; ``places`` are a text's repeated fingerprints."""
+def find_windows(opened: DataFrame, window: int) -> DataFrame:
+    """w1, w2 (a 128-bit hash), row and start of each candidate window; ``marks`` are a text's repeated fingerprints."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             for piece in slices(batch):
-                out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
-                for row, text, places in zip(piece.column("row").to_pylist(), texts(piece), piece.column("places").to_pylist(), strict=True):
-                    _, hashes, starts = _candidates(text, places, window)
-                    out[0].append(np.full(len(starts), row, np.int64))
-                    out[1].append(starts.astype(np.int32))
-                    out[2].append(ngrams(hashes, window)[starts].view(np.int64))
-                    out[3].append(ngrams(hashes, window, _SECOND)[starts].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["row", "start", "w1", "w2"])
+                out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]]
+                for row, text, marks in zip(piece.column("row").to_pylist(), texts(piece), piece.column("marks").to_pylist(), strict=True):
+                    words = space_words(text)
+                    hashes = HASHES.of(words)
+                    starts = candidate_windows(hashes, window, np.array(marks, np.int64).view(np.uint64))
+                    out[0].append(ngrams(hashes, window)[starts].view(np.int64))
+                    out[1].append(ngrams(SECOND_HASHES.of(words), window, _SECOND)[starts].view(np.int64))
+                    out[2].append(np.full(len(starts), row, np.int64))
+                    out[3].append(starts.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["w1", "w2", "row", "start"])
 
         return each
 
-    return map_batches(marked.select("row", "text", "places"), make, "row long, start int, w1 long, w2 long")
+    return map_batches(opened.select("row", "text", "marks"), make, "w1 long, w2 long, row long, start int")
 
 
 def _remove(marked: DataFrame, window: int) -> DataFrame:
-    """row, n_removed and the kept words joined by one space; ``unique`` are the candidates that don't repeat, or null."""
+    """doc_id, n_words, n_removed and the kept words joined by one space; ``single`` are the candidates that don't repeat, or null."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             for piece in slices(batch):
                 gone, kept = [], []
-                for text, places, unique in zip(texts(piece), piece.column("places").to_pylist(), piece.column("unique").to_pylist(), strict=True):
-                    words, _, starts = _candidates(text, places, window)
-                    starts = starts[~np.isin(starts, np.array(unique or [], np.int64))]
+                for text, marks, single in zip(texts(piece), piece.column("marks").to_pylist(), piece.column("single").to_pylist(), strict=True):
+                    words = space_words(text)
+                    starts = candidate_windows(HASHES.of(words), window, np.array(marks, np.int64).view(np.uint64))
+                    starts = starts[~np.isin(starts, np.array(single or [], np.int64))]
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
                     left = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                     gone.append(len(words) - len(left))
                     kept.append(b" ".join([words[k] for k in left]))
-                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_removed", "kept_text"])
+                digests = [hashlib.sha256(t).hexdigest() for t in kept]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), piece.column("n_words"), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                )
 
         return each
 
-    return map_batches(marked.select("row", "text", "places", "unique"), make, "row long, n_removed long, kept_text string")
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    return map_batches(marked.select("doc_id", "n_words", "text", "marks", "single"), make, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+class FingerprintIndex:
+    """Historical fingerprints, windows and documents in a folder of the shared file system."""
+
+    def __init__(self, spark: SparkSession, path: str, state: dict):
+        self.spark, self.path, self.state = spark, path, state
+        self.window, self.buckets = state["window"], state["buckets"]
+        place = {"delivery": "int", "row": "long"}
+        runs = lambda name, keys, places: SortedRuns(spark, f"{path}/{name}", keys, places, self.buckets, [tuple(r) for r in state["runs"].get(name, [])])
+        self.copies = runs("copies", {"words_sha256": "string"}, place)
+        self.prints = runs("prints", {"hash": "long"}, place)
+        self.windows = runs("windows", {"w1": "long", "w2": "long"}, place | {"start": "int"})
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, id_kind: str, window: int = WINDOW, buckets: int | None = None) -> FingerprintIndex:
+        """A new index. Buckets, the session's shuffle partitions unless given, should fit the history to come: they can't be changed."""
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        index = cls(spark, path, {"window": window, "buckets": buckets, "id_kind": id_kind, "deliveries": 0, "runs": {}})
+        index._store()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index as its last finished delivery left it."""
+        done = [s for s in names_in(spark, path) if s.startswith("state-") and "_SUCCESS" in names_in(spark, f"{path}/{s}")]
+        if not done:
+            raise ValueError(f"no index in {path}")
+        return cls(spark, path, json.loads(spark.read.text(f"{path}/{max(done)}").first()[0]))
+
+    def _store(self) -> None:
+        self.state["runs"] = {name: getattr(self, name).runs for name in ("copies", "prints", "windows")}
+        text = self.spark.createDataFrame([(json.dumps(self.state),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{self.path}/state-{self.state['deliveries']:09d}")
+
+    def documents(self, delivery: int) -> DataFrame:
+        """row, doc_id, text, n_words, words_sha256 and hashes of a delivery, bucketed and sorted by row."""
+        schema = f"`row` long, doc_id {self.state['id_kind']}, text string, n_words long, words_sha256 string, hashes array<long>"
+        return read_bucketed(self.spark, f"{self.path}/documents-{delivery}", schema, ["row"], self.buckets)
+
+    def deliver(self, docs: DataFrame) -> int:
+        """Adds a batch (doc_id, text) and returns its number."""
+        k, work = self.state["deliveries"], Workspace(self.spark, "substring-dedup")
+        with sorted_scans(self.spark):
+            rows = find_fingerprints(docs, self.window).withColumn("row", F.monotonically_increasing_id())
+            rows = rows.select("row", "doc_id", "text", "n_words", "words_sha256", "hashes").repartition(self.buckets, "row")
+            write_bucketed(rows, f"{self.path}/documents-{k}", ["row"], self.buckets)
+            own, here = self.documents(k), F.lit(k).alias("delivery")
+
+            # Documents of the same words repeat as a whole; the first one stands for all from here on.
+            long = own.filter(F.col("n_words") >= self.window).select("words_sha256", here, "row")
+            met = self.copies.met(self.copies.add(long)).filter("n > 1 or seen > 0")
+            again = work.write(met.select("words_sha256", F.when(F.col("seen") == 0, F.col("row")).alias("rep")), "copies")
+            others = own.select("row", "words_sha256").join(again, "words_sha256").filter("rep is null or rep <> row").select("row")
+
+            spots = own.select(F.explode("hashes").alias("hash"), here, "row")
+            met = self.prints.met(self.prints.add(spots)).filter("n > 1 or seen > 0")
+            met = work.write(met.select("hash", "seen", "old_delivery", "old_row"), "repeated")
+            marks = spots.join(met.select("hash"), "hash").groupBy("row").agg(F.collect_set("hash").alias("marks")).join(others, "row", "left_anti")
+            woken = met.filter("seen = 1").groupBy(F.col("old_delivery").alias("delivery"), F.col("old_row").alias("row")).agg(F.collect_set("hash").alias("marks"))
+            marks.select(here, "row", "marks").unionByName(woken).write.mode("overwrite").parquet(f"{self.path}/marks-{k}")
+            marks = self.spark.read.parquet(f"{self.path}/marks-{k}")
+
+            formed = None
+            for d in sorted({k, *(r[0] for r in marks.select("delivery").distinct().collect())}):  # one number a delivery
+                opened = self.documents(d).select("row", "text").join(marks.filter(F.col("delivery") == d).select("row", "marks"), "row")
+                found = find_windows(opened, self.window).select("w1", "w2", F.lit(d).alias("delivery"), "row", "start")
+                formed = found if formed is None else formed.unionByName(found)
+            self.windows.add(formed)
+            for runs in (self.copies, self.prints, self.windows):
+                runs.compact()
+        self.state["deliveries"] = k + 1
+        self._store()
+        for runs in (self.copies, self.prints, self.windows):
+            runs.clean()
+        delete_path(self.spark, work.path)
+        return k
+
+    def result(self, deliveries: list[int] | None = None) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256 and kept_text (null where nothing is removed) of all or some deliveries,
+        judged by all that was delivered."""
+        work, out = Workspace(self.spark, "substring-dedup"), None
+        if not self.state["deliveries"]:
+            return self.spark.createDataFrame([], f"doc_id {self.state['id_kind']}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        empty = F.sha2(F.lit("").cast("binary"), 256)
+        with sorted_scans(self.spark):
+            single = work.write(self.windows.totals().filter("n = 1").groupBy("delivery", "row").agg(F.collect_list("start").alias("single")), "single")
+            copied = work.write(self.copies.totals().filter("n > 1").select("words_sha256"), "copied")
+            marks = self.spark.read.parquet(*(f"{self.path}/marks-{d}" for d in range(self.state["deliveries"])))
+            marks = work.write(marks.groupBy("delivery", "row").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
+            for d in range(self.state["deliveries"]) if deliveries is None else deliveries:
+                rows = self.documents(d)
+                of = lambda df, d=d: df.filter(F.col("delivery") == d).drop("delivery")
+                whole = work.write(rows.select("row", "words_sha256").join(copied, "words_sha256").select("row"), f"whole-{d}")
+                marked = rows.select("row", "doc_id", "n_words", "text").join(of(marks), "row").join(whole, "row", "left_anti").join(of(single), "row", "left")
+                rest = rows.select("row", "doc_id", "n_words", "words_sha256").join(whole.withColumn("whole", F.lit(True)), "row", "left")
+                rest = rest.join(of(marks).select("row", F.lit(True).alias("marked")), "row", "left").filter("whole or marked is null")
+                rest = rest.select(
+                    "doc_id",
+                    "n_words",
+                    F.when(F.col("whole"), F.col("n_words")).otherwise(0).alias("n_removed"),
+                    F.when(F.col("whole"), empty).otherwise(F.col("words_sha256")).alias("kept_sha256"),
+                    F.when(F.col("whole"), "").alias("kept_text"),
+                )
+                found = _remove(marked, self.window).withColumn("kept_text", F.when(F.col("n_removed") > 0, F.col("kept_text"))).unionByName(rest)
+                out = found if out is None else out.unionByName(found)
+        return out
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = 3) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (the kept words, joined by one space; null where nothing was removed).
 
-    The input is indexed in ``batches`` parts, as deliveries over time would be; the result doesn't depend on them."""
-    work = Workspace(docs.sparkSession, "substring-dedup")
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    prints = work.write(find_fingerprints(docs, window), "fingerprints")
-    index = FingerprintIndex(work)
+    The input is delivered to a new index in ``batches`` parts, as over time; the result doesn't depend on them."""
+    spark = docs.sparkSession
+    index = FingerprintIndex.create(spark, Workspace(spark, "fingerprint-index").path, docs.schema["doc_id"].dataType.simpleString(), window)
+    docs = docs.select("doc_id", "text")
     for k in range(batches):
-        index.add(prints.filter(F.pmod("row", F.lit(batches)) == k).select(F.explode("hashes").alias("hash")))
-    repeated = work.write(index.repeated(), "repeated")
-
-    # Documents of the same words repeat as a whole; one of them stands for all from here on.
-    copies = prints.filter(F.col("n_words") >= window).groupBy("words_sha256").agg(F.min("row").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    copies = work.write(copies.select("words_sha256", "rep"), "copies")
-    rows = work.write(prints.select("row", "doc_id", "n_words", "words_sha256").join(copies, "words_sha256", "left"), "rows")
-    others = rows.filter("rep <> row").select("row").distinct()
-
-    spots = prints.select("row", F.explode(F.arrays_zip("places", "hashes")).alias("p")).select("row", F.col("p.places").alias("place"), F.col("p.hashes").alias("hash"))
-    places = spots.join(repeated, "hash").groupBy("row").agg(F.collect_set("place").alias("places"))
-    places = work.write(places.join(others, "row", "left_anti"), "places")
-    marked = work.write(docs.join(places, "row"), "marked")
-
-    windows = find_windows(marked, window).groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("start").alias("start"))
-    unique = work.write(windows.filter("n = 1").groupBy("row").agg(F.collect_list("start").alias("unique")), "unique")
-    kept = _remove(marked.join(unique, "row", "left"), window).filter("n_removed > 0").dropDuplicates(["row"])
-
-    out = rows.join(kept, "row", "left")
-    whole = F.col("rep").isNotNull()
-    return out.select(
-        "doc_id",
-        "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).when(F.col("kept_text").isNull(), F.col("words_sha256")).otherwise(F.sha2(F.col("kept_text").cast("binary"), 256)).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-    )
+        index.deliver(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == k))
+    return index.result()
