@@ -122,8 +122,6 @@ def test_near_duplicates_edge_cases(spark, docs):
 
 def test_near_duplicates_of_a_large_straddling_group(spark):
     """Variants of one text, each edited on its own: similarities to the base and to each other lie on both sides of the threshold."""
-    import random
-
     draw = random.Random(5)
     rows = [(0, BASE)]
     for k in range(1, 160):
@@ -137,6 +135,71 @@ def test_near_duplicates_of_a_large_straddling_group(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def templated(n, words=4, seed=1):
+    draw = random.Random(seed)
+    return [(k, " ".join(f"s{j}w{i}" for j in range(120) if draw.random() < 0.9 for i in range(words))) for k in range(n)]
+
+
+def test_pairs_of_a_templated_group(spark, monkeypatch):
+    """Pages of one template, each without a tenth of its sections: nearly all of their similarities lie just below the
+    threshold, some above. The pairs that become rows grow with documents and links, not with all pairs."""
+    formed = []
+    plain = near_dedup._block_pairs
+
+    def counting(work, *rest):
+        out = work.write(plain(work, *rest), "counted")
+        formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_block_pairs", counting)
+    for n in (200, 800):
+        rows = templated(n)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), common.lower_words, 3, 85).collect()
+        want = fast_components(rows, 3, 85)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert formed[0] <= 2 * 200 and formed[1] <= 2 * 800
+
+
+def fast_components(rows, shingle, percent):
+    """brute_components by one matrix product: all intersections of all sets."""
+    import numpy as np
+
+    number, sets = {}, []
+    for _, t in rows:
+        w = words(lower(t))
+        sets.append({number.setdefault(tuple(w[k : k + shingle]), len(number)) for k in range(len(w) - shingle + 1)})
+    x = np.zeros((len(rows), len(number)), np.float32)
+    for k, s in enumerate(sets):
+        x[k, list(s)] = 1
+    both, size = x @ x.T, x.sum(1)
+    linked = 100 * both >= percent * (size[:, None] + size - both)
+    label = np.arange(len(rows))
+    while True:
+        new = np.where(linked, label, len(rows)).min(1)
+        if (new == label).all():
+            return {i: (len(s), rows[c][0]) for (i, _), s, c in zip(rows, sets, label, strict=True)}
+        label = new
+
+
+def test_group_counts_bound_intersections():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    pool = draw.integers(0, 2**64, 3000, np.uint64)
+    for size in (20, 400, 2500):
+        sets = [draw.choice(pool, size, replace=False) for _ in range(12)]
+        m = near_dedup._matrix([near_dedup._group_counts(s) for s in sets])
+        n = np.array([len(s) for s in sets])
+        for percent in (20, 50, 80):
+            found = near_dedup.possible_pairs(m, m, n, n, percent)
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    both = len(np.intersect1d(a, b))
+                    assert found[i, j] or 100 * both < percent * (2 * size - both)
+    big = near_dedup._group_counts(np.arange(0, 256 * 300, 256, dtype=np.uint64))
+    assert len(big) == 4 * near_dedup.GROUPS and near_dedup._matrix([big, near_dedup._group_counts(pool)]).sum() == 3300
+
+
 def test_near_duplicates_empty(spark, docs):
     assert near_dedup.near_duplicates(docs.limit(0), common.lower_words, 3, 85).count() == 0
     kept = near_dedup.deduplicated(docs, common.lower_words)

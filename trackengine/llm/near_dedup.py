@@ -11,10 +11,12 @@
 5. In each bucket every member meets one centre, the member that others share most with. Pairs that pass the length and
    intersection bounds get a joint maximum-likelihood estimate from both sketches; pairs estimated far below the
    threshold go, all others are verified on the full sets. Components of the verified links are found.
-6. Only members of one bucket that are in different components and have not met can still be linked. Two sets share at
-   most the smaller of their intersections with the centre, and the smaller of what else they share with anything: this
-   bound leaves few pairs even where a group's similarities lie on both sides of the threshold. They go the same way.
-   So every pair of a bucket is decided, while a group of copies costs a number of pairs in proportion to its members.
+6. Only members of one bucket that are in different components and have not met can still be linked. They are dealt into
+   blocks of bounded size, by length class, and blocks meet in pairs; those of a bucket's largest component never meet each
+   other. Inside a pair of blocks numpy compares counts of the sets' elements in ``GROUPS`` hashed groups: the sum of the
+   smaller counts bounds an intersection from above, exactly and closely. Only pairs that this bound leaves, hardly more than
+   the true links between components, become rows; they go the way of step 5.
+   So every pair of a bucket is decided, no group's pairs are formed as rows, and no task holds a group.
 
 Edge cases: a null, empty or wordless text has an empty set and is linked with nothing. Fewer words than a shingle are
 one shingle. Rows with the same doc_id count as one document and are linked. A null doc_id is linked with nothing, its
@@ -29,16 +31,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import Workspace, finish, map_batches, shingle_set, slices, texts
+from trackengine.llm.common import Workspace, delete_path, finish, map_batches, shingle_set, slices, texts
 from trackengine.llm.components import components
 
 BASE, Q, _RATE = 1.001, 2**16 - 2, 20.0
 ROWS_IN_BAND = 6
 #: Estimates this many standard deviations below the threshold end a pair.
 DEVIATIONS = 5.0
+#: Hashed groups whose element counts bound intersections, and members of a block.
+GROUPS, BLOCK_ROWS = 256, 128
 _LIST = pa.list_(pa.int64())
 
 
@@ -130,7 +134,7 @@ def _kind(docs: DataFrame) -> str:
 
 
 def _sets(docs: DataFrame, words: Callable[[bytes | None], list[bytes]], shingle: int, bands: int) -> DataFrame:
-    """doc_id, n, registers and the full set as sorted hashes."""
+    """doc_id, n, registers, the full set as sorted hashes, and how many of them are in each of ``GROUPS`` groups."""
 
     def make():
         def each(batch: pa.RecordBatch):
@@ -140,12 +144,19 @@ def _sets(docs: DataFrame, words: Callable[[bytes | None], list[bytes]], shingle
             sets = [shingle_set(words(t), shingle) for t in texts(batch)]
             regs = [registers(s, bands * ROWS_IN_BAND).tobytes() for s in sets]
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array([s.view(np.int64) for s in sets], _LIST)], ["doc_id", "n", "regs", "shingles"]
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array([s.view(np.int64) for s in sets], _LIST), pa.array(map(_group_counts, sets), pa.binary())],
+                ["doc_id", "n", "regs", "shingles", "counts"],
             )
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {_kind(docs)}, n long, regs binary, shingles array<long>")
+    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {_kind(docs)}, n long, regs binary, shingles array<long>, counts binary")
+
+
+def _group_counts(hashes: np.ndarray) -> bytes:
+    """One byte a group, or four where a group holds more than a byte counts."""
+    counts = np.bincount((hashes % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
 
 
 def _possible(n_a: Column, n_b: Column, most: Column, percent: int) -> Column:
@@ -161,17 +172,69 @@ def _reachable(work: Workspace, members: DataFrame, percent: int) -> DataFrame:
     member is held against other components only."""
     reach = F.floor(F.col("common") * (100 + percent) / percent).cast("long") - F.col("n")
     members = members.withColumn("reach", reach)
-    per = members.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("reach").alias("high"))
-    w = Window.partitionBy("key")
-    ranked = per.withColumns({"by_low": F.row_number().over(w.orderBy("low", "component")), "by_high": F.row_number().over(w.orderBy(F.desc("high"), "component"))})
-    at = lambda rank, k, c: F.max(F.when(F.col(rank) == k, F.col(c)))
-    two = ranked.filter("by_low <= 2 or by_high <= 2").groupBy("key").agg(
-        at("by_low", 1, "component").alias("c_low"), at("by_low", 1, "low").alias("low1"), at("by_low", 2, "low").alias("low2"), at("by_high", 1, "component").alias("c_high"), at("by_high", 1, "high").alias("high1"), at("by_high", 2, "high").alias("high2")
-    )
-    both = members.join(work.write(two, "reach"), "key")
+    per = work.write(members.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("reach").alias("high"), F.count("*").alias("size")), "per-component")
+    best = per.groupBy("key").agg(F.min(F.struct("low", "component")).alias("l"), F.max(F.struct("high", "component")).alias("h"), F.max(F.struct("size", "component"))["component"].alias("main"))
+    best = work.write(best.select("key", "main", F.col("l.low").alias("low1"), F.col("l.component").alias("c_low"), F.col("h.high").alias("high1"), F.col("h.component").alias("c_high")), "best")
+    other = lambda c, of: F.when(F.col("component") != F.col(of), F.col(c))
+    both = per.join(best, "key").groupBy("key").agg(F.min(other("low", "c_low")).alias("low2"), F.max(other("high", "c_high")).alias("high2"))
+    both = members.join(best, "key").join(work.write(both, "next-best"), "key")
     low = F.when(F.col("component") == F.col("c_low"), F.col("low2")).otherwise(F.col("low1"))
     high = F.when(F.col("component") == F.col("c_high"), F.col("high2")).otherwise(F.col("high1"))
-    return both.filter((low <= F.col("reach")) & (F.col("n") <= high)).select("key", "doc_id", "n", "common", "component", "core", "extra", "known")
+    return both.filter((low <= F.col("reach")) & (F.col("n") <= high)).select("key", "doc_id", "n", "component", (F.col("component") == F.col("main")).alias("main"))
+
+
+def _matrix(counts: list[bytes]) -> np.ndarray:
+    """Group counts of the members of a block, as narrow as they all allow."""
+    if all(len(c) == GROUPS for c in counts):
+        return np.frombuffer(b"".join(counts), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(c, np.uint8 if len(c) == GROUPS else np.int32).astype(np.int32) for c in counts])
+
+
+def possible_pairs(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of two blocks may be linked: their group counts bound every intersection."""
+    out = np.empty((len(a), len(b)), bool)
+    for k in range(len(a)):
+        most = np.minimum(a[k], b).sum(1, dtype=np.int64)
+        out[k] = 100 * most >= percent * (n_a[k] + n_b - most)
+    return out
+
+
+def _block_pairs(work: Workspace, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs of each bucket that are in different components and pass the bound of their group counts.
+
+    Linked sets are at most one length class apart."""
+    kind = members.schema["doc_id"].dataType.simpleString()
+    length = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    members = members.withColumn("length", length)
+    shape = members.groupBy("key", "main", "length").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    shape = work.write(shape, "block-shape")
+    dealt = members.join(shape, ["key", "main", "length"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets.select("doc_id", "counts"), "doc_id")
+    at = ["key", "main", "length", "block"]
+    blocks = work.write(dealt.groupBy(*at).agg(F.collect_list(F.struct("doc_id", "n", "component", "counts")).alias("rows")), "blocks")
+
+    of = lambda side: shape.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("main", "length", "blocks")))
+    both = of("a").filter("not main_a").join(of("b"), "key").filter("abs(length_a - length_b) <= 1")
+    each = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{side}") - 1)).alias(f"block_{side}")
+    both = both.select("*", each("a")).select("*", each("b"))
+    both = both.filter("main_b or length_a < length_b or (length_a = length_b and block_a <= block_b)")
+    both = work.write(both.select("key", "main_a", "length_a", "block_a", "main_b", "length_b", "block_b"), "block-pairs")
+    held = lambda side: blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in at[1:]), F.col("rows").alias(f"rows_{side}"))
+    met = both.join(held("a"), ["key", "main_a", "length_a", "block_a"]).join(held("b"), ["key", "main_b", "length_b", "block_b"])
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            for k in range(batch.num_rows):
+                a, b = (batch.column(c)[k].values for c in ("rows_a", "rows_b"))
+                n_a, n_b = (x.field("n").to_numpy(zero_copy_only=False) for x in (a, b))
+                found = possible_pairs(_matrix(a.field("counts").to_pylist()), _matrix(b.field("counts").to_pylist()), n_a, n_b, percent)
+                i, j = (pa.array(x) for x in np.nonzero(found))
+                yield pa.RecordBatch.from_arrays([a.field("doc_id").take(i), b.field("doc_id").take(j), a.field("component").take(i), b.field("component").take(j)], ["a", "b", "c_a", "c_b"])
+
+        return each
+
+    found = map_batches(met.select("rows_a", "rows_b"), make, f"a {kind}, b {kind}, c_a {kind}, c_b {kind}").filter("c_a <> c_b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int, bands: int, name: str) -> DataFrame:
@@ -204,59 +267,50 @@ def near_duplicates(docs: DataFrame, words: Callable[[bytes | None], list[bytes]
 
     Documents are linked if 100 * |A & B| >= percent * |A | B|; component_id is the least doc_id that links reach."""
     bands = bands_for(percent / 100)
-    work = Workspace(docs.sparkSession, "near-dedup")
+    work, scratch = (Workspace(docs.sparkSession, name) for name in ("near-dedup", "near-dedup-scratch"))
     sketches = work.write(sketch(docs, words, shingle, bands), "sketches")
     some = sketches.filter("n > 0 and doc_id is not null")
     classes = work.write(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes")
 
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = work.write(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "shared-keys")
-    members = work.write(keyed.join(shared, "key").select("key", F.col("rep").alias("doc_id"), "n"), "members")
-    candidates = work.write(members.select("doc_id").distinct(), "candidates")
-    sets = work.write(_sets(docs.join(candidates, "doc_id", "left_semi"), words, shingle, bands), "sets")
+    shared = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "shared-keys")
+    members = scratch.write(keyed.join(shared, "key").select("key", F.col("rep").alias("doc_id"), "n"), "members")
+    candidates = scratch.write(members.select("doc_id").distinct(), "candidates")
+    sets = scratch.write(_sets(docs.join(candidates, "doc_id", "left_semi"), words, shingle, bands), "sets")
 
     elements = sets.select("doc_id", F.explode("shingles").alias("h"))
     alone = elements.groupBy("h").agg(F.count("*").alias("owners"), F.first("doc_id").alias("doc_id")).filter("owners = 1")
     private = alone.groupBy("doc_id").agg(F.count("*").alias("private"))
     bound = sets.select("doc_id", "n").join(private, "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
-    bound = work.write(bound, "bound")
+    bound = scratch.write(bound, "bound")
     open_ = members.join(bound, "doc_id").filter(100 * F.col("common") >= percent * F.col("n"))
-    open_ = work.write(open_, "open-members")
+    open_ = scratch.write(open_, "open-members")
 
     # the centre holds the most that others have, less what only it has
     best = F.min(F.struct((F.col("n") - 2 * F.col("common")).alias("rank"), "doc_id", "n", "common")).alias("c")
     centre = open_.groupBy("key").agg(best, F.count("*").alias("members")).filter("members > 1")
-    centre = work.write(centre.select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("n_c"), F.col("c.common").alias("common_c")), "centres")
+    centre = scratch.write(centre.select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("n_c"), F.col("c.common").alias("common_c")), "centres")
     first = open_.join(centre, "key").filter(F.col("doc_id") != F.col("centre")).filter(_possible(F.col("n"), F.col("n_c"), F.least("common", "common_c"), percent))
-    first = work.write(first.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct(), "first-pairs")
-    met = _verify(work, first, sets, percent, bands, "first")
+    first = scratch.write(first.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct(), "first-pairs")
+    met = _verify(scratch, first, sets, percent, bands, "first")
     links = met.filter("linked").select("a", "b")
 
-    group = components(work, links, "first-components")
+    group = components(scratch, links, "first-components")
     labelled = open_.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = work.write(labelled, "labelled")
-    split = work.write(labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key"), "split-keys")
+    labelled = scratch.write(labelled, "labelled")
+    split = scratch.write(labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key"), "split-keys")
     left = labelled.join(split, "key").join(centre.select("key", "centre"), "key", "left").filter("doc_id <> centre")
-    # what a member shares with its bucket's centre, and what else others may share with it
-    left = left.withColumns({"a": F.least("centre", "doc_id"), "b": F.greatest("centre", "doc_id")}).join(met.select("a", "b", "shared"), ["a", "b"], "left")
-    left = left.select("key", "doc_id", "n", "common", "component", F.least(F.coalesce("shared", "common"), "common").alias("core"), F.greatest(F.lit(0), F.col("common") - F.coalesce("shared", "common")).alias("extra"), F.col("shared").isNotNull().alias("known"))
-    left = _reachable(work, work.write(left, "left"), percent).join(classes.select(F.col("rep").alias("doc_id"), "bands"), "doc_id")
-    left = work.write(left.withColumn("earlier", F.slice("bands", 1, (F.array_position("bands", F.col("key")) - 1).cast("int"))), "reachable")
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-    apart &= ~F.arrays_overlap("x.earlier", "y.earlier")  # a pair is formed in the first bucket that both are in
-    known = F.least("x.core", "y.core") + F.least("x.extra", "y.extra")
-    # where one side's share with the centre isn't known, only the sum of both parts bounds
-    most = F.when(F.col("x.known") & F.col("y.known"), known).otherwise(F.least("x.common", "y.common"))
-    rest = x.join(y, apart & _possible(F.col("x.n"), F.col("y.n"), most, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    rest = work.write(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
-    links = links.unionByName(_verify(work, rest, sets, percent, bands, "rest").filter("linked").select("a", "b"))
+    left = scratch.write(left.select("key", "doc_id", "n", "common", "component"), "left")
+    reachable = scratch.write(_reachable(scratch, left, percent), "reachable")
+    rest = scratch.write(_block_pairs(scratch, reachable, sets, percent).join(first, ["a", "b"], "left_anti"), "rest-pairs")
+    links = links.unionByName(_verify(scratch, rest, sets, percent, bands, "rest").filter("linked").select("a", "b"))
     # one document may have several texts: its classes belong together
     ids = some.select("doc_id", "h1", "h2").distinct()
     reps = classes.select("h1", "h2", "rep")
     several = ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     own = ids.join(several, "doc_id", "left_semi").join(reps, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     group = components(work, links.unionByName(own), "components")
+    delete_path(docs.sparkSession, scratch.path)
 
     # classes of one document need no join: their representative is the document itself
     copied = classes.filter("copies > 1").select("h1", "h2", "rep")
@@ -269,7 +323,11 @@ def near_duplicates(docs: DataFrame, words: Callable[[bytes | None], list[bytes]
 def deduplicated(docs: DataFrame, words: Callable[[bytes | None], list[bytes]], shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near-duplicates, that of the least doc_id; columns stay as they are.
 
-    Of several rows with one doc_id one stays. Rows without a doc_id all stay."""
-    kept = near_duplicates(docs, words, shingle, percent).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))
+    Of several rows with one doc_id the one whose text and other columns have the least hash stays. Rows without a doc_id
+    all stay."""
+    kept = near_duplicates(docs, words, shingle, percent).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [c for c, f in zip(columns, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), F.xxhash64(*hashed))).alias("row")
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
+    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*columns)
