@@ -5,6 +5,8 @@ of a conversation are rendered and each output is compared with the one before:
 output does not begin with the one before, the template rewrites history; such a conversation is flagged and gets no
 loss mask. Inside an assistant turn's span the text is found by rendering the turn once more with a probe character as
 its text: what stands before and after the probe is mark-up, what lies between in the real output is the (escaped) text.
+It must read back, by ``unescape``, as the turn's text; a template that trims or changes texts is flagged like one that
+rewrites history.
 
 Rows are sorted by turn inside a Spark partition and streamed, so memory holds one conversation and its output. Every
 prefix is rendered whole, whatever the template does with it, so the time for one conversation grows with the square of
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,9 +54,17 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def _marked_turn(role: str, text: str) -> str:
+    return f"{START}{_escape_role(role)}\n{escape(text)}{END}"
+
+
+#: Short turns stand in many prefixes; some 8 MB at most are kept.
+_short_turn = lru_cache(4096)(_marked_turn)
+
+
 def marked(turns: list[Turn]) -> str:
     """The default template: every turn between marks, control strings in texts escaped."""
-    return "".join(f"{START}{_escape_role(role)}\n{escape(text)}{END}" for role, text in turns)
+    return "".join([_short_turn(role, text) if len(role) + len(text) <= 1_000 else _marked_turn(role, text) for role, text in turns])
 
 
 def parse(formatted: str) -> list[Turn]:
@@ -62,15 +73,18 @@ def parse(formatted: str) -> list[Turn]:
 
 
 def _probe(span: str) -> str:
-    """A private-use character that the span doesn't have."""
-    return next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in span)
+    """A mark that the span doesn't have; its first character stands in it once, so it can't overlap itself."""
+    length = 1
+    while (mark := f"\ue000{chr(0xE001) * length}\ue002") in span:
+        length += 1
+    return mark
 
 
 class Renderer:
     """Renders one conversation turn by turn."""
 
-    def __init__(self, template: Template, trained: str):
-        self.template, self.trained = template, trained
+    def __init__(self, template: Template, trained: str, unescape: Callable[[str], str] = unescape):
+        self.template, self.trained, self.unescape = template, trained, unescape
         self.turns: list[Turn] = []
         self.last = ""  # the output so far
         self.rewrites = False
@@ -90,7 +104,8 @@ class Renderer:
             mark = _probe(span)
             probed = self.template([*self.turns[:-1], (role, mark)])
             head, found, tail = probed[start:].partition(mark)
-            if probed.startswith(self.last) and found and span.startswith(head) and span.endswith(tail) and len(head) + len(tail) <= len(span):
+            whole = probed.startswith(self.last) and found and span.startswith(head) and span.endswith(tail) and len(head) + len(tail) <= len(span)
+            if whole and self.unescape(span[len(head) : len(span) - len(tail)]) == text:
                 self.loss.append({"start": start + len(head), "end": len(out) - len(tail)})
             else:
                 self.rewrites = True
@@ -100,8 +115,10 @@ class Renderer:
         return (self.template(self.turns), [], True) if self.rewrites else (self.last, self.loss, False)
 
 
-def render(conversations: DataFrame, template: Template = marked, trained: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss (spans of trained text in ``formatted``, end exclusive) and rewrites, one row a conversation."""
+def render(conversations: DataFrame, template: Template = marked, trained: str = "assistant", unescape: Callable[[str], str] = unescape) -> DataFrame:
+    """conv_id, formatted, loss (spans of trained text in ``formatted``, end exclusive) and rewrites, one row a conversation.
+
+    ``unescape`` undoes what the template does to control strings in texts."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -126,7 +143,7 @@ def render(conversations: DataFrame, template: Template = marked, trained: str =
                         if held > 4_000_000:
                             yield batch_of()
                             done, held = [], 0
-                    now, at = Renderer(template, trained), conv
+                    now, at = Renderer(template, trained, unescape), conv
                 now.add(role, text)
         if now is not None:
             done.append((at, *now.row()))
