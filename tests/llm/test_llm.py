@@ -634,6 +634,34 @@ def test_secrets_in_compressed_layers(monkeypatch):
                 assert kinds(gzip.compress("é漢, ".encode() * 20 + b"," * shift + b" " + middle + b" , " + b"b, " * 50)) == ["decoded"]
 
 
+def test_secrets_in_raw_deflate_utf16_and_other_escapes():
+    secret = "some words token=abcdefgh12 more"
+    raw = zlib.compressobj(wbits=-15)
+    for data in (raw.compress(secret.encode()) + raw.flush(), secret.encode("utf-16"), secret.encode("utf-16-le"), secret.encode("utf-16-be"), base64.b64encode(secret.encode()).decode().encode("utf-16")):
+        text = f"é {base64.b64encode(data).decode()} after"
+        found = secret_scan.scan(text)
+        assert found and {s[0] for s in found} == {"decoded"}, data
+        assert not secret_scan.scan(secret_scan.redact(text, found))
+    ((kind, start, end),) = secret_scan.scan("x " + base64.b64encode(secret.encode("utf-16-le")).decode())
+    assert (kind, start, end) == ("decoded", 2 + 22 * 8 // 6, 2 - (-54 * 8 // 6))
+    for text in (r"to\U0000006ben=abcdefgh12", r"to\u{6b}en=abcdefgh12", r"\u{00074}oken=abcdefgh12"):
+        assert secret_scan.scan(text) == [("decoded", 0, len(text))]
+    assert secret_scan.scan(r"\U99999999 \u{ffffff}") == []
+
+
+def test_secret_query_columns(spark, real):
+    """The query's base columns against patterns applied by hand, and its spans against the operator's."""
+    got = {r["doc_id"]: r for r in queries.op9_secret_scan(spark, SF).collect()}
+    rows = real.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want, row = brute_base(r["text"]), got[r["doc_id"]]
+        assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
+        assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        spans = [tuple(s.split(":")) for s in row["spans"].split(",")] if row["spans"] else []
+        assert [s for s in spans if s[0] != "decoded"] == [(k, str(a), str(b)) for k, a, b in want]
+
+
 def test_secret_behind_64_mb():
     packed = zlib.compressobj(1)
     data = b"".join(packed.compress("漢字, some words\n".encode() * 60_000) for _ in range(60)) + packed.compress(b" token=abcdefgh12") + packed.flush()
@@ -695,6 +723,38 @@ def test_chat_of_many_turns(spark):
         assert got["rewrites"] and got["loss"] == [] and got["formatted"] == template(turns)
 
 
+def test_chat_probe_and_changed_texts(spark):
+    every = "".join(map(chr, range(0xE000, 0xF900))) + "\ue000\ue001\ue002 \ue000\ue001\ue001\ue002"
+    for texts in ([every], ["\ue000", "\ue001\ue002"], ["x"]):
+        r = chat_format.Renderer(chat_format.marked, "assistant")
+        for t in texts:
+            r.add("assistant", t)
+        out, loss, rewrites = r.row()
+        assert not rewrites and [chat_format.unescape(out[s["start"] : s["end"]]) for s in loss] == texts
+
+    def trims(turns):
+        return chat_format.marked([(r, t.strip()) for r, t in turns])
+
+    def forgets(turns):  # keeps the last 100 turns once 200 stand
+        return chat_format.marked(turns if len(turns) < 200 else turns[100:])
+
+    def counts(turns):
+        return "".join(f"{k}. {r}: {chat_format.escape(t)}\n" for k, (r, t) in enumerate(turns))
+
+    for n in (100, 128, 129, 300):
+        turns = [("user" if k % 2 else "assistant", f"turn {k} <|x") for k in range(n)]
+        for template, flagged in ((trims, False), (counts, False), (forgets, n >= 200)):
+            r = chat_format.Renderer(template, "assistant")
+            for t in turns:
+                r.add(*t)
+            out, loss, rewrites = r.row()
+            assert rewrites == flagged and out == template(turns)
+            assert flagged or [chat_format.unescape(out[s["start"] : s["end"]]) for s in loss] == [t for k, t in turns if k == "assistant"]
+    lost = chat_format.Renderer(trims, "assistant")
+    lost.add("assistant", " padded ")
+    assert lost.row()[1:] == ([], True)
+
+
 # --- the pipeline
 def test_pipeline_stages(spark, real):
     docs = real

@@ -1,8 +1,8 @@
 """Secret scans: a worklist that unwraps nested encodings and scans every layer.
 
 The base patterns run over the text itself. The text is then decoded: as a whole with its percent and Unicode escapes
-resolved, and each run of base64 (from its four offsets, over line breaks) with compressed data (gzip, zlib, bzip2, xz,
-lzma) anywhere inside it; each decoded layer goes on a worklist, is scanned and searched in turn, until nothing new
+resolved, each run of UTF-16 (ASCII characters and zero bytes by turns), and each run of base64 (from its four offsets,
+over line breaks) with compressed data (gzip, zlib, bzip2, xz, lzma) anywhere inside it, or as a whole a raw deflate stream; each decoded layer goes on a worklist, is scanned and searched in turn, until nothing new
 decodes. A layer whose content was seen before on its path is not opened again (cycle detection). Every character of a
 layer, escaped or not, maps to the span of the source text it came from, so a secret found three layers down is reported
 as a span of the original text; what was compressed maps to all of its compressed data. Inflated text is scanned in
@@ -49,7 +49,9 @@ LEAST_BASE64 = -(-(len("token=") + LEAST_VALUE) * 8 // 6)
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+|[A-Za-z0-9+/_-]{{{LEAST_BASE64},}}+)")
 _BREAK = re.compile(r"\r?\n[ \t]*")
 _STANDARD = str.maketrans("-_", "+/")
-_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}")
+#: ASCII in UTF-16, of either byte order, as long as the shortest secret.
+_UTF16 = re.compile(rf"(?:[\t\n\r\x20-\x7e]\x00){{{len('token=') + LEAST_VALUE},}}|(?:\x00[\t\n\r\x20-\x7e]){{{len('token=') + LEAST_VALUE},}}")
 #: Heads of gzip, zlib, bzip2, xz and lzma streams.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\]\x00\x00..(?:\xff{8}|.{5}\x00{3})", re.DOTALL)
 #: Bytes that are inflated at a time, and compressed bytes that are fed at a time.
@@ -82,8 +84,8 @@ def base_spans(text: str) -> Iterator[Span]:
 class Layer:
     """Decoded text; ``place`` maps a span of it to the span of the ``parent`` layer that it came from (None: the source itself)."""
 
-    def __init__(self, text: str, parent: Layer | None, place: Callable[[int, int], tuple[int, int]] | None, path: frozenset[bytes], unescaped: bool = False):
-        self.text, self.parent, self.place, self.path, self.unescaped = text, parent, place, path, unescaped
+    def __init__(self, text: str, parent: Layer | None, place: Callable[[int, int], tuple[int, int]] | None, path: frozenset[bytes], unescaped: bool = False, binary: bool = False):
+        self.text, self.parent, self.place, self.path, self.unescaped, self.binary = text, parent, place, path, unescaped, binary
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         layer = self
@@ -118,11 +120,11 @@ def _unescape(text: str) -> tuple[str, Callable[[int, int], tuple[int, int]]] |
                 end = at + 3 * (len(char.encode()) if known else 1)
                 add(char if known else "\ufffd", at, end)
                 at = end
-        elif len(piece) == 12:
+        elif len(piece) == 12 and piece[6] == "\\":
             add(chr(0x10000 + ((int(piece[2:6], 16) & 0x3FF) << 10) + (int(piece[8:], 16) & 0x3FF)), at, last)
         else:
-            code = int(piece[2:], 16)
-            add("\ufffd" if 0xD800 <= code < 0xE000 else chr(code), at, last)
+            code = int(piece[2:].strip("{}"), 16)
+            add("\ufffd" if 0xD800 <= code < 0xE000 or code > 0x10FFFF else chr(code), at, last)
     if not places:
         return None
     out.append(text[last:])
@@ -281,6 +283,27 @@ def _unbase64(run: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, i
         yield text, place
 
 
+def _raw_deflate(data: bytes) -> Iterator[bytes]:
+    """What a deflate stream without a head gives. Any bytes may look like one: it must end by itself where the data ends,
+    up to what base64 rounds."""
+
+    def chunks():
+        at = 0
+        while at < len(data) and not stream.eof:
+            yield from _fed(stream, data[at : at + FED])
+            at += FED
+
+    stream = zlib.decompressobj(-15)
+    try:
+        for _ in chunks():
+            pass
+    except zlib.error:
+        return
+    if stream.eof and len(stream.unused_data) <= 2:
+        stream = zlib.decompressobj(-15)
+        yield from chunks()
+
+
 def _uncompressed(layer: Layer) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
     """What compressed data anywhere in a decoded layer gives, in pieces; each stands for the whole of that data."""
     data, at = layer.text.encode("utf-8", "surrogateescape"), 0
@@ -294,19 +317,30 @@ def _uncompressed(layer: Layer) -> Iterator[tuple[str, Callable[[int, int], tupl
         for text in _pieces(inflated):
             yield text, lambda start, end, whole=whole: whole()
         at = m.start() + 1 if inflated.broken else inflated.end
+    if layer.binary and not _MAGIC.match(data):
+        for text in _pieces(_raw_deflate(data)):
+            yield text, lambda start, end: (0, len(layer.text))
+
+
+def _from_utf16(text: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+    for m in _UTF16.finditer(text):
+        yield m[0].replace("\0", ""), lambda start, end, base=m.start(): (base + 2 * start, base + 2 * end)
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
-    def opened(text: str, place: Callable[[int, int], tuple[int, int]], unescaped: bool = False) -> Iterator[Layer]:
+    def opened(text: str, place: Callable[[int, int], tuple[int, int]], unescaped: bool = False, binary: bool = False) -> Iterator[Layer]:
         digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
         if digest not in layer.path:
-            yield Layer(text, layer, place, layer.path | {digest}, unescaped)
+            yield Layer(text, layer, place, layer.path | {digest}, unescaped, binary)
 
     text = layer.text
     if "%" in text or "\\" in text:
         found = _unescape(text)
         if found:
             yield from opened(*found, True)
+    if "\0" in text:
+        for found, place in _from_utf16(text):
+            yield from opened(found, place)
     if layer.parent is not None:
         for found, place in _uncompressed(layer):
             yield from opened(found, place)
@@ -316,7 +350,7 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
             if layer.parent.text[start:end] == m[0]:
                 continue  # no escape in it: opened from the parent
         for found, place in _unbase64(m[0]):
-            yield from opened(found, lambda start, end, place=place, base=m.start(): tuple(base + at for at in place(start, end)))
+            yield from opened(found, lambda start, end, place=place, base=m.start(): tuple(base + at for at in place(start, end)), binary=True)
 
 
 def scan(text: str | None) -> list[Span]:
