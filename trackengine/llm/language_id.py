@@ -5,11 +5,13 @@ of log-probabilities of fixed size (buckets x languages). ``predict`` broadcasts
 
 Edge cases: a null, empty or letterless text gets ``und`` and score 0. Rows whose language or text is null teach
 nothing. Without any training row every text is ``und`` with score 0. Repeated rows are scored each for itself, and on
-equal scores the language that sorts first wins. Other columns are ignored by the scorer.
+equal scores the language that sorts first wins. Other columns are ignored by the scorer. A long text is counted piece by
+piece, so memory holds the text and one piece.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,10 @@ BUCKET_BITS = 14
 ORDERS = (1, 2, 3)
 #: Bound of the labelled rows that the model is fitted on: about so many, picked by a hash of doc_id.
 MAX_TRAIN_ROWS = 50_000
+#: Tasks that count n-grams of training rows.
+COUNT_TASKS = 32
+#: Characters of a text that are hashed at a time, and from which on a text is scored by its counts.
+PIECE, LONG = 1 << 18, 1 << 14
 _BLOCK = 1024
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters: np.ndarray | None = None
@@ -43,30 +49,51 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-cased letters as code points, each run of other characters as one blank; empty without a letter."""
+def _codes(text: str, after_letter: bool = False) -> np.ndarray:
+    """Lower-cased letters as code points, each run of other characters as one blank, none in front unless a letter stood there."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letter_table()[points]
-    if not letter.any():
-        return np.empty(0, np.uint32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    if after_letter and len(keep):
+        keep[0] = True
     return np.where(letter, points, np.uint32(32))[keep]
 
 
-def _hashes(codes: np.ndarray) -> np.ndarray:
-    """Bucket numbers of all n-grams of one text."""
+def _hashes(codes: np.ndarray, old: int = 0) -> np.ndarray:
+    """Bucket numbers of all n-grams that don't end within the first ``old`` codes."""
     shift, parts = np.uint32(32 - BUCKET_BITS), []
     for order in ORDERS:
-        if len(codes) >= order:
-            h = np.full(len(codes) - order + 1, order * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
+        part = codes[max(0, old - order + 1) :]
+        if len(part) >= order:
+            h = np.full(len(part) - order + 1, order * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
             for k in range(order):
-                h = (h ^ codes[k : k + len(h)]) * _FACTORS[k]
+                h = (h ^ part[k : k + len(h)]) * _FACTORS[k]
                 h ^= h >> np.uint32(15)
             parts.append((h * np.uint32(0x165667B1)) >> shift)
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """Bucket numbers of a text's n-grams, some ``PIECE`` characters at a time."""
+    last, after_letter = np.empty(0, np.uint32), False
+    for at in range(0, len(text), PIECE):
+        piece = text[at : at + PIECE]
+        new = _codes(piece, after_letter)
+        after_letter = piece[-1].lower()[-1].isalpha()
+        codes = np.concatenate([last, new]) if len(last) else new
+        yield _hashes(codes, len(last))
+        last = codes[-(ORDERS[-1] - 1) :]
+
+
+def bucket_counts(text: str) -> np.ndarray:
+    """How often each bucket's n-grams occur in a text; memory doesn't grow with the text."""
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    for hashes in _pieces(text):
+        out += np.bincount(hashes, minlength=len(out))
+    return out
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, smoothing: float = 0.5) -> Model:
     """Fits on rows with text and lang, on about ``max_rows`` of them if there are more. Only counts reach the driver."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -80,10 +107,9 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, smoothing: float = 0.5)
         for batch in batches:
             for piece in slices(batch):
                 for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist(), strict=True):
-                    h = _hashes(_codes(text))
-                    if len(h):
-                        s = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-                        s += np.bincount(h, minlength=1 << BUCKET_BITS)
+                    counts = bucket_counts(text)
+                    if counts.any():
+                        sums[lang] = sums.get(lang, 0) + counts
                         docs_of[lang] = docs_of.get(lang, 0) + 1
         for lang, s in sums.items():
             cut = s.reshape(-1, _BLOCK)
@@ -97,7 +123,9 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, smoothing: float = 0.5)
         return pd.DataFrame({"lang": group["lang"][:1], "block": group["block"][:1], "counts": [total.tobytes()], "docs": [group["docs"].sum()]})
 
     schema = "lang string, block int, counts binary, docs long"
-    found = rows.select("lang", "text").mapInArrow(counted, schema).groupBy("lang", "block").applyInPandas(added, schema).collect()
+    # a fixed number of tasks counts, so that only so many partial counts of a language and block meet
+    rows = rows.select("lang", "text").repartition(COUNT_TASKS, F.xxhash64("doc_id", "text"))
+    found = rows.mapInArrow(counted, schema).groupBy("lang", "block").applyInPandas(added, schema).collect()
     languages = tuple(sorted({r["lang"] for r in found}))
     counts, docs_of = np.zeros((1 << BUCKET_BITS, len(languages))), np.ones(len(languages))
     for r in found:
@@ -108,19 +136,23 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, smoothing: float = 0.5)
     return Model(languages, np.log(smoothed / smoothed.sum(0)).astype(np.float32) if languages else counts.astype(np.float32), np.log(docs_of / docs_of.sum()))
 
 
+def _logs(text: str, model: Model) -> np.ndarray | None:
+    """Log-probability of the text for each language; None without a letter."""
+    if len(text) > LONG:
+        counts = bucket_counts(text)
+        return counts @ model.log_prob.astype(np.float64) if counts.any() else None
+    hashes = _hashes(_codes(text))
+    return model.log_prob[hashes].sum(0, dtype=np.float64) if len(hashes) else None
+
+
 def _score(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
-    hashed = [_hashes(_codes(t)) if t else np.empty(0, np.uint32) for t in texts]
-    sizes = np.array([len(h) for h in hashed])
     lang, score = ["und"] * len(texts), [0.0] * len(texts)
-    some = np.flatnonzero(sizes)
-    if len(some) and model.languages:
-        rows = model.log_prob[np.concatenate([hashed[i] for i in some])]
-        starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
-        logs = np.add.reduceat(rows, starts, axis=0, dtype=np.float64) + model.prior
-        best = logs.argmax(1)
-        top = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-        for i, k, p in zip(some, best, top, strict=True):
-            lang[i], score[i] = model.languages[k], float(p)
+    for i, text in enumerate(texts):
+        logs = _logs(text, model) if text and model.languages else None
+        if logs is not None:
+            logs += model.prior
+            best = int(logs.argmax())
+            lang[i], score[i] = model.languages[best], float(1 / np.exp(logs - logs[best]).sum())
     return lang, score
 
 
