@@ -478,6 +478,44 @@ def test_language_id(spark, docs, real):
     assert language_id.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).count() == language_id.accepted(docs).count()
 
 
+def test_language_id_against_brute_force(spark, real, monkeypatch):
+    """Naive Bayes by hand: log prior and the sum of log (count + 1/2) / (all + buckets / 2) over a text's buckets."""
+    import math
+
+    train = [(r["text"], r["lang"]) for r in real.collect() if r["text"] and r["lang"]]
+    buckets = {t: Counter(language_id._hashes(language_id._codes(t)).tolist()) for t, _ in train}
+    langs = sorted({x for _, x in train})
+    counts, docs_of = {x: Counter() for x in langs}, Counter()
+    for t, x in train:
+        counts[x] += buckets[t]
+        docs_of[x] += bool(buckets[t])
+    total = {x: counts[x].total() + 0.5 * (1 << language_id.BUCKET_BITS) for x in langs}
+    model = language_id.fit(real)
+    assert model.languages == tuple(langs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(real, model).collect()}
+    for r in real.collect():
+        b = buckets.get(r["text"]) or Counter()
+        if not b:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        logs = [math.log(docs_of[x] / sum(docs_of.values())) + sum(n * math.log((counts[x][k] + 0.5) / total[x]) for k, n in b.items()) for x in langs]
+        best = max(range(len(langs)), key=lambda k: logs[k])
+        assert got[r["doc_id"]][0] == langs[best]
+        assert abs(got[r["doc_id"]][1] - 1 / sum(math.exp(x - logs[best]) for x in logs)) < 1e-2
+    # pieces and whole texts give the same counts, and the same scores
+    import numpy as np
+
+    odd = ["", "12 ab", "İİ a İ1 b", " .a. bc,, d", "Straße\nÜber 9x"] + [t for t, _ in train[:20]]
+    want = [np.bincount(language_id._hashes(language_id._codes(t)), minlength=1 << language_id.BUCKET_BITS) for t in odd]
+    whole = language_id._score(odd, model)
+    for piece in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert all((language_id.bucket_counts(t) == w).all() for t, w in zip(odd, want, strict=True))
+    monkeypatch.setattr(language_id, "LONG", 0)
+    parts = language_id._score(odd, model)
+    assert parts[0] == whole[0] and all(abs(a - b) < 1e-3 for a, b in zip(parts[1], whole[1], strict=True))
+
+
 # --- 8
 def test_quality_classifier(spark, docs, real):
     labels = common.table(spark, SF, "labels")
@@ -505,6 +543,52 @@ def test_factorisation_identity():
     assert abs(got - (0.3 + float(m.w[index] @ value) + pairs)) < 1e-4
 
 
+def test_factorisation_gradient(monkeypatch):
+    """One step of training moves every parameter as a numeric gradient of the logistic loss says."""
+    import math
+
+    import numpy as np
+
+    monkeypatch.setattr(quality_fm, "EPOCHS", (1, 1))
+    monkeypatch.setattr(quality_fm, "DECAY", 0.0)
+    draw = np.random.default_rng(3)
+    rows = [(draw.choice(50, 6, replace=False).astype(np.int32), draw.random(6).astype(np.float32), k % 2) for k in range(4)]
+    m = quality_fm.Model(0.1, draw.normal(0, 0.5, quality_fm.WIDTH), draw.normal(0, 0.5, (quality_fm.WIDTH, quality_fm.RANK)))
+
+    def loss(model):
+        out = 0.0
+        for index, value, y in rows:
+            z = float(quality_fm._forward(model, index, value, np.array([0]))[0][0])
+            out += math.log1p(math.exp(-z if y else z)) / len(rows)
+        return out
+
+    def gradient(move, scale=quality_fm.BATCH):
+        u = -move / quality_fm.RATE
+        return u / math.sqrt(scale * (1 - u * u))
+
+    after = quality_fm.train_shard(m, rows, 1)
+    e = 1e-5
+    near = lambda got, up, down: abs(got - (loss(up) - loss(down)) / (2 * e)) < 1e-3
+    assert near(gradient(after.w0 - m.w0, 1), quality_fm.Model(m.w0 + e, m.w, m.v), quality_fm.Model(m.w0 - e, m.w, m.v))
+    for i in rows[0][0][:4]:
+        shifted = [quality_fm.Model(m.w0, m.w + s * e * (np.arange(len(m.w)) == i), m.v) for s in (1, -1)]
+        assert near(gradient(float(after.w[i] - m.w[i])), *shifted)
+        for f in range(quality_fm.RANK):
+            step = np.zeros_like(m.v)
+            step[i, f] = e
+            assert near(gradient(float(after.v[i, f] - m.v[i, f])), quality_fm.Model(m.w0, m.w, m.v + step), quality_fm.Model(m.w0, m.w, m.v - step))
+
+
+def test_quality_training_counts_an_id_once(spark, real):
+    labels = common.table(spark, SF, "labels")
+    few = real.limit(40)
+    one = quality_fm.fit(few, labels)
+    many = quality_fm.fit(few.unionByName(few).unionByName(few), labels.unionByName(labels))
+    assert (one.w == many.w).all() and one.w0 == many.w0
+    other = labels.unionByName(labels.select("doc_id", (1 - F.col("quality")).alias("quality"), "toxic"))
+    assert not quality_fm.fit(few, other).w.any()
+
+
 # --- 9
 def brute_base(text):
     text, out = text or "", []

@@ -10,7 +10,8 @@ averaged. Parameters have a fixed size. Nothing but parameters reaches the drive
 
 Edge cases: a null or empty text has no word and is scored by its statistics alone. Labels that are null or not 0 or 1,
 and labels without a document, teach nothing; without labels every score is 0.5. A null or absent n_chars is a feature of
-its own. Repeated rows are scored each for itself. Other columns are not read.
+its own. Repeated rows are scored each for itself. An id teaches once, whatever its rows and labels: of several texts the
+one of the least hash, and nothing if its labels differ. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ class Model:
 def _statistics(text: bytes, counts: Counter, n_chars: int | None) -> list[int]:
     """Bin numbers of the structure statistics and metadata; each statistic has ``BINS`` bins of its own."""
     words, size = counts.total(), max(1, len(text))
+    points = len(text) - np.count_nonzero(np.frombuffer(text, np.uint8) & 0xC0 == 0x80)  # code points, as n_chars counts
     lines = [x for x in text.split(b"\n") if x.strip()]
     log = lambda x: min(BINS - 1, int(np.log2(x + 1)))
     share = lambda x: min(BINS - 1, int(x * BINS))
@@ -67,7 +69,7 @@ def _statistics(text: bytes, counts: Counter, n_chars: int | None) -> list[int]:
         share(1 - len(set(lines)) / max(1, len(lines))),
         log(len(lines)),
         share(sum(n for w, n in counts.items() if n > 2) / max(1, words)),
-        BINS - 1 if n_chars is None else log(abs(n_chars - size)),
+        BINS - 1 if n_chars is None else log(abs(n_chars - points)),
     )
     return [(1 << WORD_BITS) + k * BINS + b for k, b in enumerate(stats)]
 
@@ -141,13 +143,16 @@ def _local(shared: Broadcast, step: int) -> Callable[[pd.DataFrame], pd.DataFram
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, rounds: int = ROUNDS) -> Model:
     """Fits on about ``max_rows`` labelled documents."""
     spark = docs.sparkSession
-    marked = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y"))
+    marked = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"), F.max("quality").alias("most"))
+    marked = marked.filter("y = most").select("doc_id", "y")
     total = marked.count()
     if total > max_rows:
         few = hash_fraction(F.col("doc_id"), max_rows / total, 8)
         marked, docs = marked.filter(few), docs.filter(few)
     size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    rows = docs.select("doc_id", "text", size.alias("n_chars")).join(marked, "doc_id")
+    # one text an id, so that labels bound the rows
+    one = F.min_by(F.struct("text", size.alias("n_chars")), F.struct(F.xxhash64("text"), size)).alias("d")
+    rows = docs.join(marked, "doc_id", "left_semi").groupBy("doc_id").agg(one).join(marked, "doc_id").select("doc_id", "d.text", "d.n_chars", "y")
 
     def make():
         def each(batch: pa.RecordBatch):
