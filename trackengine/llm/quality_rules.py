@@ -38,15 +38,18 @@ def _let(value: Column, body) -> Column:
 
 def _chars(text: Column, which: str) -> Column:
     """Characters of a class in a text."""
-    return F.length(F.regexp_replace(text, f"[^{which}]+", "")).cast("long")
+    return F.regexp_count(text, F.lit(f"[{which}]")).cast("long")
 
 
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.
 
-    Windows are sorted with their place, so that equal ones are neighbours; the places of those that repeat are sorted
-    again, and each covers three words or as many as there are to the next."""
+    64-bit hashes of the windows are sorted first; a text without two equal ones has none. Else windows are sorted as a
+    whole with their place, so that equal ones are neighbours; the places of those that repeat are sorted again, and each
+    covers three words or as many as there are to the next."""
     n = F.size(words) - 2
+    hashes = F.sort_array(F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.get(words, k - 1), F.get(words, k), F.get(words, k + 1))))
+    some = _let(hashes, lambda h: F.exists(F.zip_with(h, F.slice(h, 2, F.size(h)), lambda x, y: x == y), lambda same: F.coalesce(same, F.lit(False))))
     windows = F.sort_array(F.arrays_zip(F.slice(words, 1, n), F.slice(words, 2, n), F.slice(words, 3, n), F.sequence(F.lit(0), n - 1)))
     same = lambda x, y: (x["2"] == y["2"]) & (x["1"] == y["1"]) & (x["0"] == y["0"])
     places = lambda s: F.sort_array(
@@ -58,7 +61,7 @@ def _repeat_words(words: Column) -> Column:
         lambda done, k: F.struct((done["n"] + F.least(F.lit(3), k - done["last"])).alias("n"), k.alias("last")),
         lambda done: done["n"],
     )
-    return F.when(F.size(words) < 3, 0).otherwise(covered).cast("long")
+    return F.when(F.size(words) < 3, 0).when(~some, 0).otherwise(covered).cast("long")
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -178,14 +181,20 @@ def _middle_best(gains: dict[Condition, float]) -> Condition | None:
 
 
 def learn(labelled: DataFrame) -> list[Rule]:
-    """Rules for bad rows from ``STATISTICS`` columns, ``y`` (1 good, 0 bad) and ``fold`` (0: prune, else grow)."""
+    """Rules for bad rows from ``STATISTICS`` columns, ``y`` (1 good, 0 bad) and ``fold`` (0: prune, else grow).
+
+    A grown rule that isn't precise enough is no rule, but what it covers is set aside too, so that the next one starts
+    from other rows; ``MAX_RULES`` are tried."""
     spots = _thresholds(labelled)
+    tried: list[Rule] = []
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
-        rest = F.lit(True)
+    while len(tried) < MAX_RULES:
+        rest, open_ = F.lit(True), F.lit(True)
         for r in rules:
             rest &= ~_all(r)
-        growing = labelled.filter(rest & (F.col("fold") != 0))
+        for r in tried:
+            open_ &= ~_all(r)
+        growing = labelled.filter(open_ & (F.col("fold") != 0))
         ((bad, good),) = _counts(growing, [F.lit(True)])
         rule: Rule = ()
         while bad >= LEAST_COVER and good and len(rule) < MAX_CONDITIONS:
@@ -202,9 +211,11 @@ def learn(labelled: DataFrame) -> list[Rule]:
         worth = [(b - g) / (b + g) if b + g else -1.0 for b, g in pruned[::2]]
         best_cut = max(range(len(cuts)), key=lambda k: (worth[k], k))
         bad, good = pruned[2 * best_cut + 1]
-        if bad < LEAST_COVER or bad < LEAST_PRECISION * (bad + good):
-            break
-        rules.append(cuts[best_cut])
+        if bad >= LEAST_COVER and bad >= LEAST_PRECISION * (bad + good):
+            rules.append(cuts[best_cut])
+            tried.append(cuts[best_cut])
+        else:
+            tried.append(rule)
     return rules
 
 
