@@ -5,8 +5,8 @@ shingles of the windows are ordered by rarity over the whole corpus; for exact c
 is its one rarest shingle. Documents meet a window only through that shingle; the position must leave room for the
 whole window (length and position bounds); the window's words are then compared exactly.
 
-While the benchmark has at most ``BROADCAST_WORDS`` words, its index is broadcast and documents are read in place, with
-no shuffle. A larger benchmark takes the same steps by shuffle joins (``join_windows``).
+While the benchmark has at most ``BROADCAST_WORDS`` words in ``BROADCAST_BYTES``, its index is broadcast and documents are
+read in place, with no shuffle. A larger benchmark takes the same steps by shuffle joins (``join_windows``).
 
 Edge cases: null, empty and wordless texts have no words and no hit; such items have no window. Items of equal text
 are all reported; equal item ids count once; a null item id is reported as an empty string. Repeated documents are
@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from trackengine.llm.common import Workspace, alnum_words, filter_batches, map_batches, slices, texts, whole_rows
+from trackengine.llm.common import HASHES, Workspace, alnum_words, filter_batches, map_batches, ngrams, slices, texts, whole_rows
 
 WINDOW, SHINGLE = 10, 3
 #: Words of the largest benchmark whose index is broadcast (some 100 bytes a word).
 BROADCAST_WORDS = 500_000
+#: Bytes of all texts with a word and their ids in such a benchmark.
+BROADCAST_BYTES = 32 << 20
 OUT = "array<struct<start:int,`end`:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -129,11 +132,15 @@ def _frequencies(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
     return out
 
 
-def _word_count(items: DataFrame) -> int:
+def _fits(items: DataFrame, words: int) -> bool:
+    """Whether the items, all with a word, may be collected and broadcast."""
+
     def make():
-        return lambda batch: [pa.RecordBatch.from_pydict({"n": pa.array([len(alnum_words(t)) for t in texts(batch)], pa.int64())})]
+        return lambda batch: [pa.RecordBatch.from_pydict({"n": pa.array([len(alnum_words(t)) for t in texts(batch)], pa.int64()), "bytes": pa.array([len(t) for t in texts(batch)], pa.int64())})]
 
-    return map_batches(items.select("text"), make, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    sizes = map_batches(items.select("text"), make, "n long, bytes long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    ids = items.agg(F.coalesce(F.sum(F.octet_length("item_id")), F.lit(0))).first()[0]
+    return (found := sizes.first())["n"] <= words and found["bytes"] + ids <= BROADCAST_BYTES
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -163,12 +170,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    """Ids as strings and texts of the items that have a word."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    return items.filter(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
 
 
 def _shared_index(docs: DataFrame, items: DataFrame, window: int, broadcast_words: int) -> Broadcast | None:
-    """The benchmark's index on every executor, or None if it has too many words for that."""
-    if _word_count(items) > broadcast_words:
+    """The benchmark's index on every executor, or None if it is too large for that."""
+    if not _fits(items, broadcast_words):
         return None
     index = Index([(r["item_id"], alnum_words(r["text"].encode() if r["text"] else None)) for r in items.collect()], window)
     index.order(_frequencies(docs, index))
@@ -188,48 +197,114 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast
     return filter_batches(docs, make)
 
 
+def _keys(hashes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit keys of the ``size``-word shingles of word hashes; sizes have keys of their own."""
+    return (ngrams(hashes, size) ^ np.uint64(size * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
+
+
+def _doc_shingles(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """row, place and key of every shingle of the sizes asked for."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            for piece in slices(batch):
+                out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]]
+                for row, text in zip(piece.column("row").to_pylist(), texts(piece), strict=True):
+                    hashes = HASHES.of(alnum_words(text))
+                    for size in sizes:
+                        keys = _keys(hashes, size)
+                        out[0].append(np.full(len(keys), row, np.int64))
+                        out[1].append(np.arange(len(keys), dtype=np.int32))
+                        out[2].append(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["row", "place", "key"])
+
+        return each
+
+    return map_batches(rows.select("row", "text"), make, "row long, place int, key long")
+
+
+def _window_shingles(windows: DataFrame) -> DataFrame:
+    """window, items, and offset, size and key of each shingle of a window."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            at, offsets, sizes, keys = [], [], [], []
+            for k, words in enumerate(batch.column("window").to_pylist()):
+                size = min(SHINGLE, len(words))
+                found = _keys(HASHES.of([w.encode() for w in words]), size).tolist()
+                at += [k] * len(found)
+                offsets += range(len(found))
+                sizes += [size] * len(found)
+                keys += found
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(offsets, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())], ["window", "items", "offset", "size", "key"])
+
+        return each
+
+    return map_batches(windows.select("window", "items"), make, "window array<string>, items array<string>, offset int, size int, key long")
+
+
+def _verified(met: DataFrame) -> DataFrame:
+    """row, spans and items of documents whose ``found`` (start, window, items) hold windows word by word."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            for piece in slices(batch):
+                out = []
+                for row, text, found in zip(piece.column("row").to_pylist(), texts(piece), piece.column("found").to_pylist(), strict=True):
+                    words, items = alnum_words(text), set()
+                    hit = np.zeros(len(words) + 2, np.int8)
+                    for f in found:
+                        start, window = f["start"], [w.encode() for w in f["window"]]
+                        if words[start : start + len(window)] == window:
+                            hit[start + 1 : start + len(window) + 1] = 1
+                            items.update(f["items"])
+                    if items:
+                        edge = np.diff(hit)
+                        out.append((row, [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)], sorted(items)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], _SPANS), pa.array([r[2] for r in out], pa.list_(pa.string()))], ["row", "spans", "items"])
+
+        return each
+
+    return map_batches(met.select("row", "text", "found"), make, f"row long, spans {OUT}, items array<string>")
+
+
 def join_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The same result by shuffle joins, for a benchmark of any size.
 
-    Shingles are strings here. A row number made once and written down tells repeated documents apart."""
+    Shingles are 64-bit keys. Those of documents meet the benchmark's keys first, so that only what both have goes on; a
+    document's text is joined once, with all its candidate windows. A row number made once and written down tells
+    repeated documents apart."""
     spark = docs.sparkSession
     work = Workspace(spark, "decontaminate")
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def numbered():
+        def each(batch: pa.RecordBatch):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(alnum_words(t)) for t in texts(batch)], pa.int64())], [*batch.schema.names, "n_words"])
+
+        return each
+
+    schema = StructType([*docs.select("doc_id", "text").schema.fields, StructField("n_words", LongType())])
+    rows = work.write(map_batches(docs.select("doc_id", "text"), numbered, schema).withColumn("row", F.monotonically_increasing_id()), "rows")
 
     def tokens():
         def each(batch: pa.RecordBatch):
             words = [[w.decode() for w in alnum_words(t)] for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], [batch.schema.names[0], "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(words, pa.list_(pa.string()))], ["item_id", "words"])
 
         return each
 
-    rows = work.write(map_batches(docs, tokens, f"doc_id {id_kind}, words array<string>").withColumn("row", F.monotonically_increasing_id()), "rows")
-    item_words = map_batches(items, tokens, "item_id string, words array<string>").filter(F.size("words") > 0)
     starts = F.expr(f"sequence(0, greatest(0, size(words) - {window}))")
-    windows = item_words.select("item_id", F.explode(F.transform(starts, lambda k: F.slice("words", k + 1, window))).alias("words"))
-    windows = windows.groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("window", F.xxhash64("words"))
-    places = windows.select("words", "items", F.posexplode(F.expr(f"transform(sequence(0, greatest(0, size(words) - {SHINGLE})), k -> array_join(slice(words, k + 1, {SHINGLE}), ' '))")).alias("offset", "shingle"))
-    lengths = [r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()]
-    doc_shingles = None
-    for size in lengths:  # at most SHINGLE of them
-        text = F.expr(f"transform(sequence(0, size(words) - {size}), k -> array_join(slice(words, k + 1, {size}), ' '))")
-        one = rows.filter(F.size("words") >= size).select("row", F.posexplode(text).alias("place", "shingle"))
-        doc_shingles = one if doc_shingles is None else doc_shingles.unionByName(one)
-    if doc_shingles is None:
-        hits = spark.createDataFrame([], f"row long, spans {OUT}, items array<string>")
-    else:
-        seen = doc_shingles.select("row", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("df"))
-        rarest = places.join(seen, "shingle", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "offset")).alias("first"), F.first("items").alias("items"))
-        prefix = work.write(rarest.select("words", "items", "first.shingle", "first.offset"), "prefix")
-        met = doc_shingles.join(prefix.select("shingle", "offset", F.col("words").alias("window"), "items"), "shingle")
-        met = met.select("row", (F.col("place") - F.col("offset")).alias("start"), "window", "items").filter("start >= 0")
-        same = met.join(rows, "row").filter((F.col("start") + F.size("window") <= F.size("words")) & (F.slice("words", F.col("start") + 1, F.size("window")) == F.col("window")))
-        ranges = same.select("row", "start", (F.col("start") + F.size("window")).alias("end"), "items")
-        merged = F.expr(
-            "aggregate(array_sort(ranges), cast(array() as array<struct<start:int,`end`:int>>), (done, x) -> if(size(done) > 0 and element_at(done, -1).`end` >= x.start, "
-            "concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).`end`, x.`end`)))), concat(done, array(x))))"
-        )
-        hits = ranges.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")).select("row", merged.alias("spans"), "items")
-    empty = F.expr(f"cast(array() as {OUT})")
+    windows = map_batches(items, tokens, "item_id string, words array<string>").select("item_id", F.explode(F.transform(starts, lambda k: F.slice("words", k + 1, window))).alias("window"))
+    windows = work.write(windows.groupBy("window").agg(F.collect_set("item_id").alias("items")), "windows")
+    places = work.write(_window_shingles(windows), "places")
+    sizes = [r[0] for r in places.select("size").distinct().collect()]  # at most SHINGLE of them
+    shared = work.write(_doc_shingles(rows, sizes).join(places.select("key").distinct(), "key", "left_semi"), "shared")
+    seen = shared.groupBy("key", "row").agg(F.first("place")).groupBy("key").agg(F.count("*").alias("df"))
+    rarest = places.join(seen, "key", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "offset")).alias("first"), F.first("items").alias("items"))
+    prefix = work.write(rarest.filter("first.df > 0").select("first.key", "first.offset", "window", "items"), "prefix")
+    met = shared.join(prefix, "key").select("row", (F.col("place") - F.col("offset")).alias("start"), "window", "items").filter("start >= 0")
+    found = work.write(met.groupBy("row").agg(F.collect_list(F.struct("start", "window", "items")).alias("found")), "found")
+    hits = work.write(_verified(rows.select("row", "text").join(found, "row")), "hits")
     out = rows.join(hits, "row", "left")
-    return out.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    return out.select("doc_id", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {OUT})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
