@@ -2,7 +2,7 @@
 
 Every document gets a hash-random key. The key space of each source is cut into equal ranges (keys are uniform, so the
 ranges are even), each range is sorted by a window, and range totals give the offset of each range: a distributed
-prefix sum of sizes. A source's budget takes whole epochs first, then documents in key order, and is cut exactly: the
+prefix sum of sizes. Sources are numbered in their order the same way, so no table of them reaches the driver. A source's budget takes whole epochs first, then documents in key order, and is cut exactly: the
 last document gives the words that are still missing. Only ids and sizes are sorted; texts stay where they are.
 
 Edge cases: a null or empty text has size 0 and gives nothing. A null source is a source of its own and sorts last.
@@ -13,8 +13,6 @@ size 0 has target 0. Columns with clashing names are not read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,40 +31,54 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) -> list[float]:
-    """Shares the sum of sizes by weight; a share above ``most`` times its size stops there and the rest is reshared."""
-    left, open_ = float(sum(sizes)), set(range(len(sizes)))
-    out = [0.0] * len(sizes)
-    while open_:
-        total = sum(weights[k] for k in open_)
-        over = [k for k in sorted(open_) if left * weights[k] / total > most * sizes[k]]
-        if not over:
-            for k in open_:
-                out[k] = left * weights[k] / total
-            break
-        for k in over:
-            out[k] = float(most * sizes[k])
-        left -= sum(out[k] for k in over)
-        open_ -= set(over)
-    return out
+def _numbered(per_source: DataFrame) -> DataFrame:
+    """Adds ``sid``, the source's number in code point order (null last): sorted ranges, and the ranges' totals as offsets."""
+    ordered = per_source.repartitionByRange(F.col("source").isNull(), F.col("source")).sortWithinPartitions(F.col("source").isNull(), F.col("source"))
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    work = Workspace(per_source.sparkSession, "mixing-sources")
+    placed = work.write(ordered.withColumn("at", at).select("*", F.shiftright("at", 33).alias("range")).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1)), "placed")
+    totals = placed.groupBy("range").agg(F.count("*").alias("rows"))  # a row a range
+    before = F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "range").withColumn("sid", F.col("start") + F.col("at")).drop("range", "start", "at")
+
+
+def _level(sources: DataFrame, most: float) -> float:
+    """What one unit of weight gets: shares of the sum of sizes stop at ``most`` times a source's size, the rest is reshared.
+
+    Sources are capped in rounds, as the level rises; each round is one aggregation."""
+    capped, known = (0.0, 0), None
+    total, weight = (x or 0 for x in sources.agg(F.sum("source_size"), F.sum("weight")).first())
+    while capped != known and weight > capped[1]:
+        known, level = capped, (total - capped[0]) / (weight - capped[1])
+        over = sources.filter(F.lit(level) * F.col("weight") > most * F.col("source_size"))
+        size, of = over.agg(F.sum("source_size"), F.sum("weight")).first()
+        capped = (most * (size or 0), of or 0)
+    return level if weight else 0.0
 
 
 def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
     """Per source: its size, target, whole epochs, and the place in key order where its budget ends.
 
-    ``sizes`` has doc_id, source and size. One row a source reaches the driver."""
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
-    # UTF-8 order is code point order
-    per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    total = [r["source_size"] for r in per_source]
-    goal = targets(total, [weights[k % len(weights)] for k in range(len(total))], most)
-    plan = []
-    for k, r in enumerate(per_source):
-        epochs, rest = divmod(round(goal[k]), r["source_size"]) if r["source_size"] else (0, 0)
-        plan.append((k, r["source"], r["source_size"], goal[k], epochs, rest, max(LEAST_RANGES, math.ceil(r["n"] / RANGE_ROWS))))
-    spark = sizes.sparkSession
-    of = spark.createDataFrame(plan, "sid int, p_source string, source_size long, target double, epochs long, rest long, ranges long")
-    rows = _keyed(sizes).join(_small(of, len(plan)).select("sid", "p_source", "rest", "ranges"), F.col("source").eqNullSafe(F.col("p_source")))
+    ``sizes`` has doc_id, source and size. Only a few sums reach the driver, however many sources there are."""
+    work = Workspace(sizes.sparkSession, "mixing-cuts")
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    weight = F.element_at(F.lit(list(weights)), (F.pmod("sid", F.lit(len(weights))) + 1).cast("int"))
+    sources = work.write(_numbered(per_source).withColumn("weight", weight), "sources")
+    level = F.lit(_level(sources, most)) * F.col("weight")
+    goal = F.least(level, most * F.col("source_size")).cast("double")
+    words = F.rint("target").cast("long")
+    plan = sources.withColumn("target", goal).select(
+        "sid",
+        F.col("source").alias("p_source"),
+        "source_size",
+        "target",
+        F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
+        F.when(F.col("source_size") > 0, words % F.col("source_size")).otherwise(0).cast("long").alias("rest"),
+        F.greatest(F.lit(LEAST_RANGES), F.ceil(F.col("n") / RANGE_ROWS)).cast("long").alias("ranges"),
+    )
+    plan = work.write(plan, "plan")
+    rows = _keyed(sizes).join(_small(plan.select("sid", "p_source", "rest", "ranges")), F.col("source").eqNullSafe(F.col("p_source")))
     rows = rows.withColumn("range", F.floor((F.col("key") / 2.0**64 + 0.5) * F.col("ranges")).cast("long"))
     rows = rows.groupBy("sid", "rest", "range", "key", "doc_id", "size").agg(F.count("*").alias("alike"))
     amount = F.col("size") * F.col("alike")
@@ -79,15 +91,12 @@ def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     last = placed.filter((start < F.col("rest")) & (start + amount >= F.col("rest")))
     # equal rows at the cut share what is missing evenly
     last = last.select("sid", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), F.floor((F.col("rest") - start) / F.col("alike")).alias("cut_taken"))
-    found = {r["sid"]: r for r in last.collect()}
-    id_kind = sizes.schema["doc_id"].dataType.simpleString()
-    rows_of = [(*p[1:5], *((r["cut_key"], r["cut_id"], r["cut_size"], r["cut_taken"]) if (r := found.get(p[0])) else (None, None, None, None))) for p in plan]
-    return _small(spark.createDataFrame(rows_of, f"p_source string, source_size long, target double, epochs long, cut_key long, cut_id {id_kind}, cut_size long, cut_taken long"), len(plan))
+    return _small(work.write(plan.drop("rest", "ranges").join(last, "sid", "left").drop("sid"), "cuts"))
 
 
-def _small(of: DataFrame, rows: int) -> DataFrame:
-    """Broadcasts a table of sources while they are few; else Spark joins by shuffle."""
-    return F.broadcast(of) if rows <= BROADCAST_SOURCES else of
+def _small(of: DataFrame) -> DataFrame:
+    """Broadcasts a table of sources while they are few; else Spark joins by shuffle and splits the rows of a large source."""
+    return F.broadcast(of) if of.count() <= BROADCAST_SOURCES else of
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
