@@ -19,14 +19,15 @@ from (select {_POINT}
       from events) q
 where rn = 1"""
 
-#: Reference tracks of a third of the users, with names, moved a little.
-STORM_FIXES = f"""select sid, basin, name, time, lat + (event_id%50)/cast(30 as double) as lat, lon - (event_id%40)/cast(45 as double) as lon
+#: Reference tracks of all users, with names: those of a third moved a little, the others out of a match's reach.
+STORM_FIXES = f"""select sid, basin, name, time, lat + (event_id%50)/cast(30 as double) + case when user_id%3=1 then 4 else 0 end as lat,
+  lon - (event_id%40)/cast(45 as double) + case when user_id%3=2 then 5 else 0 end as lon
 from (select concat('S', lpad(cast(user_id as varchar(10)), 5, '0')) as sid,
              case when user_id%2=0 then 'NI' else 'WP' end as basin,
              case when user_id%9=0 then 'UNNAMED' when user_id%9=3 then concat(n_name, ':', n_name, '-GU') else n_name end as name,
              {_POINT}
-      from events join nation on n_nationkey = user_id%25 where user_id%3 = 0) q
-where rn = 1 and event_id%5 <> 0"""
+      from events join nation on n_nationkey = user_id%25) q
+where rn = 1"""
 
 _CX = "cast(60.00371 as double) + (n_nationkey%5)*12"
 _CY = "cast(5.00173 as double) + cast(floor(n_nationkey/5) as int)*6"
