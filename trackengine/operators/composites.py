@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackengine.functions.columns import finite, first_extreme, half_up
+from trackengine.operators import ranks
 
 BINS, PEAK_H, PEAK_STEP_H = 24, 72, 6
 
@@ -18,9 +19,9 @@ def _long(points: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
 def _bins(binned: DataFrame, key: str) -> DataFrame:
     """Mean of each track and bin, then their spread over tracks."""
     per_track = binned.groupBy("metric", key, "bin").agg(F.avg("value").alias("value"))
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = per_track.groupBy("metric", "bin").agg(q.alias("q"), F.avg("value").alias("mean"), F.count("*").alias("n"))
-    return out.select("metric", "bin", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean", "n")
+    spread = ranks.quantiles(per_track, ["metric", "bin"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    means = per_track.groupBy("metric", "bin").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return spread.join(means, ["metric", "bin"]).select("metric", "bin", "q1", "median", "q3", "mean", "n")
 
 
 def life_cycle(points: DataFrame, metrics: list[str], key: str = "track_id") -> DataFrame:
