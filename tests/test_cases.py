@@ -1,11 +1,13 @@
 """Hand-made cases: rounding, ties, runs, nearest times, match limits, names, paths, gaps, persistence, density, edges."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from trackengine.functions import columns as fc
 from trackengine.operators import climatology, cohort, export, gaps, gates, kinematics, matching, ranks, regions, spatial, strength, summary
-from trackengine.sources import best_tracks, daily_series
+from trackengine.sources import best_tracks, catalogue, daily_series
 
 
 def value(spark, column):
@@ -222,7 +224,10 @@ def test_gates(spark):
 
 def test_daily_series_refuses_wrong_lengths(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 3, 300)], "r string, d int, v int")
-    daily_series.encode(rows, "r", "d", "v", 4, 2024).coalesce(1).write.text(f"{tmp_path}/x")
+    packed = daily_series.pack(rows.withColumn("y", F.lit(2024)), "r", "y", "d", "v", {2024: 4})
+    daily_series.payload(packed).write.text(f"{tmp_path}/x")
+    packed.write.json(f"{tmp_path}/lines")
+    assert sorted(daily_series.read_lines(spark, f"{tmp_path}/lines").collect()) == sorted(daily_series.read_payload(spark, f"{tmp_path}/x").select("region", "year", "packed", "declared").collect())
     got = [r["value"] for r in daily_series.decode(spark, f"{tmp_path}/x", {2024: 4}).orderBy("date").collect()]
     assert got == [5, None, 300, None]
     with pytest.raises(ValueError, match="length"):
@@ -238,4 +243,90 @@ def test_top_region(spark):
 
 def test_catalogue_version(spark):
     assert value(spark, export.catalogue_version(F.lit("lps_v1.2.3_core.parquet"))) == "v1.2.3"
-    assert value(spark, export.catalogue_version(F.lit("x"), "5.1")) == "v5.1" and value(spark, export.catalogue_version(F.lit("x"))) is None
+    assert value(spark, export.catalogue_version(F.lit("x"), "5.1")) == value(spark, export.catalogue_version(F.lit("x"), "v5.1")) == "v5.1"
+    for name in ("lps_v5.4.2-era5-1940.parquet", "a/lps_b/lps_v5.4.2.parquet", "lps_v5.4.2"):
+        assert value(spark, export.catalogue_version(F.lit(name))) == "v5.4.2"
+    for name in ("x", "lps_1.2.parquet", "lps_v1_core", "lps_v1..2"):
+        with pytest.raises(Exception, match="no catalogue version"):
+            value(spark, export.catalogue_version(F.lit(name)))
+
+
+def test_release_documents_by_path(spark, tmp_path):
+    docs = {
+        "manifest": {"schema": "m-1", "catalogue": {"sha256": "ab"}},
+        "metadata": {"version": "1.2.3", "sha256": "ab", "qa": {"all_release_gates_passed": True}},
+        "qa": {"status": "pass"},
+        "audit": {"status": "pass"},
+        "amendment": {"scientific_change": False, "catalogue_changed": False},
+        "crosswalk": {"schema": "x-1", "catalogue_version": "v1.2.3"},
+    }
+    faults = {
+        "manifest_schema": ("manifest", {"schema": "m-0"}),
+        "metadata_version": ("metadata", {"version": "1.2.4"}),
+        "metadata_gates": ("metadata", {"qa": {"all_release_gates_passed": False}}),
+        "qa_status": ("qa", {"status": "open"}),
+        "audit_status": ("audit", {"status": None}),
+        "amendment_changes": ("amendment", {"catalogue_changed": True}),
+        "crosswalk_schema": ("crosswalk", {"schema": "x-0"}),
+        "crosswalk_version": ("crosswalk", {"catalogue_version": "v1.2.2"}),
+        "digests_differ": ("metadata", {"sha256": "cd"}),
+    }
+    schemas = {
+        "manifest": "schema string, catalogue struct<sha256:string>",
+        "metadata": "version string, sha256 string, qa struct<all_release_gates_passed:boolean>",
+        "qa": "status string",
+        "audit": "status string",
+        "amendment": "scientific_change boolean, catalogue_changed boolean",
+        "crosswalk": "schema string, catalogue_version string",
+    }
+
+    def failed(changed, name):
+        (tmp_path / name).mkdir()
+        for d, content in changed.items():
+            (tmp_path / name / f"{d}.json").write_text(json.dumps(content, indent=2))
+        read = [export.read_documents(spark, [f"{tmp_path}/{name}/{d}.json"], schemas[d]) for d in docs]
+        return [r["check"] for r in gates.published_gate(*read, {"manifest": "m-1", "crosswalk": "x-1"}, "v1.2.3").filter("not passed").collect()]
+
+    assert failed(docs, "good") == []
+    for check, (d, change) in faults.items():
+        assert failed({**docs, d: docs[d] | change}, check) == [check]
+
+
+def test_catalogue_columns(spark, tmp_path):
+    rows = spark.sql("select 7L as track_id, timestamp'2001-02-28 23:00:00' as time, 1 as lat, 'x' as other union all select 7L, timestamp'2001-03-01 00:00:00', 2, 'y'")
+    rows.write.parquet(f"{tmp_path}/c")
+    got = catalogue.read_catalogue(spark, f"{tmp_path}/c", ["time", "lat", "track_id"])
+    assert got.columns == ["time", "lat", "track_id", "month"] and sorted((r["month"], r["lat"]) for r in got.collect()) == [(2, 1.0), (3, 2.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "other" not in plan.split("ReadSchema")[1]
+    with pytest.raises(Exception, match="event_id"):
+        catalogue.read_catalogue(spark, f"{tmp_path}/c")
+
+
+def test_ranks_of_groups_and_nulls(spark):
+    """Numbers, ranks, neighbours and quantiles against plain Python, with null groups, ties and a group of most rows."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(k, None if k % 11 == 0 else "a" if k % 5 else "b", float(draw.randrange(-3, 30)) if k % 13 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, x double")
+    of = {}
+    for k, g, x in rows:
+        of.setdefault(g, []).append((k, x))
+    got = {r["id"]: r["p"] for r in ranks.percentile_rank_by(df, "g", "x", "p").collect()}
+    for g, members in of.items():
+        valid = sorted(x for _, x in members if x is not None and x >= 0)
+        for k, x in members:
+            want = -1 if x is None or x < 0 else round(100.0 * (sum(v < x for v in valid) + (valid.count(x) + 1) / 2) / len(valid))
+            assert got[k] == want
+    for r in ranks.neighbours(df, [F.desc_nulls_last("x"), F.asc("id")], "id", ["g"]).collect():
+        order = [k for k, x in sorted(of[r["g"]], key=lambda m: (m[1] is None, -(m[1] or 0), m[0]))]
+        at = order.index(r["id"])
+        assert (r["previous"], r["next"]) == (order[at - 1], order[(at + 1) % len(order)])
+    for r in ranks.quantiles(df, ["g"], "x", {"q1": 0.25, "median": 0.5, "top": 1.0}).collect():
+        values = sorted(x for _, x in of[r["g"]] if x is not None)
+        assert r["top"] == values[-1]
+        for q, name in ((0.25, "q1"), (0.5, "median")):
+            place = q * (len(values) - 1)
+            low = values[int(place)]
+            assert abs(r[name] - (low + (values[min(int(place) + 1, len(values) - 1)] - low) * (place % 1))) < 1e-9

@@ -83,10 +83,10 @@ def catalogue_version(name: Column, explicit: str | None = None) -> Column:
     lacks. A name without a version fails the query."""
     if explicit:
         return F.lit("v" + explicit.removeprefix("v"))
-    parts = F.split(F.substring_index(name, NAME_PREFIX, -1), r"(?<=\d)[^\d.]")
-    version = F.rtrim(parts[0], F.lit("."))
-    known = name.contains(NAME_PREFIX) & version.rlike(r"^v\d+(\.\d+)+$")
-    return F.when(known, version).otherwise(F.raise_error(F.concat(F.lit("no catalogue version in the name "), name)).cast("string"))
+    rest = F.substring_index(name, NAME_PREFIX, -1)
+    numbers = F.split(F.regexp_extract(rest, "^v([0-9.]*[0-9])", 1), "[.]")
+    known = name.contains(NAME_PREFIX) & (F.size(numbers) > 1) & ~F.array_contains(numbers, "")
+    return F.when(known, F.concat(F.lit("v"), F.array_join(numbers, "."))).otherwise(F.raise_error(F.concat(F.lit("no catalogue version in the name "), name)).cast("string"))
 
 
 def write_documents(nested: DataFrame, path: str, partition: str | None = None) -> None:
@@ -95,7 +95,7 @@ def write_documents(nested: DataFrame, path: str, partition: str | None = None)
     (writer.partitionBy(partition) if partition else writer).json(path)
 
 
-def read_documents(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
-    """Nested JSON documents of several lines each."""
-    reader = spark.read.option("multiLine", True)
+def read_documents(spark: SparkSession, paths: list[str], schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Nested JSON documents: a document a file, of any number of lines, or a document a line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(paths)

@@ -51,10 +51,38 @@ def alignment_gate(series: DataFrame, columns: list[str]) -> DataFrame:
     return _stack(series.agg(F.count_if(~same).alias("misaligned_series")), {"misaligned_series": 0})
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path and SHA-256 of each file below a path; Spark reads the bytes, one task a file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def file_gate(spark: SparkSession, path: str, digest: str) -> DataFrame:
-    """SHA-256 of a file against the published one; Spark reads the bytes."""
-    rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"))
-    return _stack(rows.agg(F.count_if(F.col("h") != digest).alias("fingerprint_mismatch")), {"fingerprint_mismatch": 0})
+    """SHA-256 of a file against the published one."""
+    return _stack(file_digests(spark, path).agg(F.count_if(F.col("sha256") != digest).alias("fingerprint_mismatch")), {"fingerprint_mismatch": 0})
+
+
+def published_gate(manifest: DataFrame, metadata: DataFrame, qa: DataFrame, audit: DataFrame, amendment: DataFrame, crosswalk: DataFrame, schemas: dict[str, str], version: str) -> DataFrame:
+    """The six documents of one release: schema and version texts, passing reports, and an amendment that changes nothing.
+
+    ``schemas`` has the manifest's and the crosswalk's; a document that lacks a field fails its check."""
+    bad = lambda docs, test, name: docs.agg(F.count_if(~F.coalesce(test, F.lit(False))).alias(name))
+    unchanged = ~F.col("scientific_change") & ~F.col("catalogue_changed")
+    checks = [
+        bad(manifest, F.col("schema") == schemas["manifest"], "manifest_schema"),
+        bad(metadata, F.col("version") == version.removeprefix("v"), "metadata_version"),
+        bad(metadata, F.col("qa.all_release_gates_passed"), "metadata_gates"),
+        bad(qa, F.col("status") == "pass", "qa_status"),
+        bad(audit, F.col("status") == "pass", "audit_status"),
+        bad(amendment, unchanged, "amendment_changes"),
+        bad(crosswalk, F.col("schema") == schemas["crosswalk"], "crosswalk_schema"),
+        bad(crosswalk, F.col("catalogue_version") == version, "crosswalk_version"),
+        manifest.select(F.col("catalogue.sha256").alias("a")).crossJoin(metadata.select(F.col("sha256").alias("b"))).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("digests_differ")),
+    ]  # one row each
+    out = None
+    for one in checks:
+        out = one if out is None else out.crossJoin(one)
+    return _stack(out, dict.fromkeys(out.columns, 0))
 
 
 def document_gate(documents: DataFrame, schema: str, version: str) -> DataFrame:

@@ -17,53 +17,59 @@ GRADE_SPEED_MS = 29.5
 # ---
 
 
-def peaks(points: DataFrame, key: str = "track_id") -> DataFrame:
-    """Extreme value of each metric and the month of its first occurrence (of the first row where a metric is all null)."""
-    month = F.month("time")
-    out = []
+def _peak_columns() -> list[Column]:
+    month, out = F.month("time"), []
     for names, largest in ((LARGEST, True), (SMALLEST, False)):
         for n in names:
             value = finite(F.col(n))
             out += [(F.max if largest else F.min)(value).alias(f"peak_{n}"), first_extreme(value, F.col("time"), month, largest).alias(f"month_{n}")]
-    return points.groupBy(key).agg(*out)
+    return out
 
 
-def endpoints(points: DataFrame, key: str = "track_id") -> DataFrame:
-    """First and last position and time (epoch hours), start year, duration in hours."""
+def _end_columns() -> list[Column]:
     first, last = (f(F.struct("time", "lat", "lon")) for f in (F.min, F.max))
-    out = points.groupBy(key).agg(first.alias("f"), last.alias("l"))
-    start, end = epoch_hours(F.col("f.time")), epoch_hours(F.col("l.time"))
-    return out.select(
-        key,
+    start, end = epoch_hours(first["time"]), epoch_hours(last["time"])
+    return [
         F.rint(start).cast("long").alias("start_hour"),
         F.rint(end).cast("long").alias("end_hour"),
-        F.year("f.time").alias("start_year"),
+        F.year(first["time"]).alias("start_year"),
         F.rint(end - start).cast("long").alias("duration_hours"),
-        F.col("f.lat").alias("genesis_lat"),
-        F.col("f.lon").alias("genesis_lon"),
-        F.col("l.lat").alias("lysis_lat"),
-        F.col("l.lon").alias("lysis_lon"),
-    )
+        *(at[c].alias(f"{n}_{c}") for n, at in (("genesis", first), ("lysis", last)) for c in ("lat", "lon")),
+    ]
 
 
-def support(points: DataFrame, key: str = "track_id", segment: str | None = None, qualifying: Column | None = None) -> DataFrame:
-    """Row counts, months touched as a bit mask, peak class over observed points, bounds."""
+def _support_columns(segment: str | None, qualifying: Column | None) -> list[Column]:
     observed = F.col("observed")
     good = observed & (F.lit(False) if qualifying is None else F.coalesce(qualifying, F.lit(False)))
-    return points.groupBy(key).agg(
+    return [
         F.count("*").alias("n_rows"),
         F.count_if(observed).alias("n_observed"),
         F.count_if(good).alias("n_qualifying"),
         F.avg(observed.cast("double")).alias("observed_fraction"),
         F.avg((~observed).cast("double")).alias("interpolated_fraction"),
-        (F.count_distinct(segment) if segment else F.lit(1).cast("long")).alias("n_segments"),
+        (F.count_distinct(segment) if segment else F.max(F.lit(1)).cast("long")).alias("n_segments"),
         F.bit_or(F.call_function("shiftleft", F.lit(1), F.month("time") - 1)).alias("month_mask"),
         peak_class(F.max(F.when(observed, F.col("category")))).alias("peak_class"),
         F.bround(F.min("lon"), 4).alias("min_lon"),
         F.bround(F.max("lon"), 4).alias("max_lon"),
         F.bround(F.min("lat"), 4).alias("min_lat"),
         F.bround(F.max("lat"), 4).alias("max_lat"),
-    )
+    ]
+
+
+def peaks(points: DataFrame, key: str = "track_id") -> DataFrame:
+    """Extreme value of each metric and the month of its first occurrence (of the first row where a metric is all null)."""
+    return points.groupBy(key).agg(*_peak_columns())
+
+
+def endpoints(points: DataFrame, key: str = "track_id") -> DataFrame:
+    """First and last position and time (epoch hours), start year, duration in hours."""
+    return points.groupBy(key).agg(*_end_columns())
+
+
+def support(points: DataFrame, key: str = "track_id", segment: str | None = None, qualifying: Column | None = None) -> DataFrame:
+    """Row counts, months touched as a bit mask, peak class over observed points, bounds."""
+    return points.groupBy(key).agg(*_support_columns(segment, qualifying))
 
 
 def quality(summary: DataFrame) -> DataFrame:
@@ -91,20 +97,11 @@ def qc_record(summary: DataFrame, key: str = "track_id") -> DataFrame:
 
 
 def track_summary(points: DataFrame, key: str = "track_id", segment: str | None = None, qualifying: Column | None = None) -> DataFrame:
-    """All summary columns of a track. Points are shuffled once by ``key``: every part groups on it."""
+    """All summary columns of a track. Points are shuffled once by ``key``; ends, peaks and support are one aggregation."""
     points = points.repartition(key)
     stepped = kinematics.steps(points, key, segment or key)
-    parts = [
-        endpoints(points, key),
-        peaks(points, key),
-        support(points, key, segment, qualifying),
-        kinematics.motion(stepped, key),
-        kinematics.max_missing_run(points, F.col("observed"), key),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, key)
-    return quality(out)
+    out = points.groupBy(key).agg(*_end_columns(), *_peak_columns(), *_support_columns(segment, qualifying))
+    return quality(out.join(kinematics.motion(stepped, key), key).join(kinematics.max_missing_run(points, F.col("observed"), key), key))
 
 
 def coverage(points: DataFrame, key: str = "track_id") -> DataFrame:

@@ -12,54 +12,91 @@ from trackengine.plans.match_queries import MATCH, headers, matches
 from trackengine.plans.registry import query
 from trackengine.plans.system_queries import _DAILY, _MEANS, _MEMBERS, _RAIN, _daily, labelled_systems
 from trackengine.plans.track_queries import FIX, GAPS, SYS, filled, full_series, hav, r, segmented, stepped, steps_sql, systems
-from trackengine.sources import scratch
-
-
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full series with a published catalogue's columns."""
-    rows = full_series(spark, sf_dir)
-    return rows.withColumns(
-        {"parent_id": F.col("track_id"), "event_id": F.col("track_id"), "candidate_diagnostics_available": F.col("observed"), "position_source": F.when(F.col("observed"), "observed").otherwise("interpolated")}
-    )
+from trackengine.sources import catalogue, scratch
 
 
 def _gate(name: str, value: str, expected: str = "0") -> str:
     return f"select '{name}' as \"check\", ({value}) = ({expected}) as passed, cast({value} as bigint) as value, cast({expected} as bigint) as expected"
 
 
-_ROWS = "(select count(*) from full_)"
-_TRACKS = "(select count(distinct track_id) from full_)"
+# --- a catalogue with faults, so that every gate has something to find
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full series with a published catalogue's columns; each rule is broken by some rows."""
+    hour, observed = F.rint(fc.epoch_hours(F.col("time"))).cast("long"), F.col("observed")
+    return full_series(spark, sf_dir).withColumns(
+        {
+            "parent_id": F.col("track_id") + F.when(F.col("track_id") % 50 == 0, 1).otherwise(0),
+            "event_id": F.col("track_id") - F.when(F.col("track_id") % 70 == 0, 1).otherwise(0),
+            "candidate_diagnostics_available": observed & (hour % 97 != 0),
+            "position_source": F.when(observed, "observed").otherwise("interpolated"),
+            "category": F.when(observed & (hour % 61 != 0), F.col("category")).when(~observed & (hour % 59 == 0), 1),
+            "lat": F.when(hour % 83 != 0, F.col("lat")),
+        }
+    )
+
+
+_FAULTY = f"""{GAPS}, faulty as (select *, track_id + case when track_id % 50 = 0 then 1 else 0 end as parent_id, track_id - case when track_id % 70 = 0 then 1 else 0 end as event_id, observed and h % 97 <> 0 as flagged,
+  case when observed and h % 61 <> 0 then category when not observed and h % 59 = 0 then 1 end as class from full_)"""
+_HOURS = "(select count(*) from (select distinct user_id, date_trunc('hour', ts) from events))"
+_BLOCKS = "(select count(*) from (select distinct user_id, floor((day(ts)-1)/6) from events))"
 
 
 @query(
-    f"with {GAPS} "
+    f"with {_FAULTY} "
     + " union all ".join(
-        [_gate("rows", _ROWS, _ROWS), _gate("tracks", _TRACKS, _TRACKS), _gate("parents", _TRACKS, f"{_TRACKS} + 1"), _gate("observed", "(select count(*) from fixes)", "(select count(*) from fixes)")]
-        + [_gate(n, "0") for n in ("identity_misaligned", "flag_mismatch", "observed_without_class", "interpolated_with_class", "null_lat")]
-        + [_gate("null_wind", "(select count(*) from filled)")]
+        [
+            _gate("rows", "(select count(*) from full_)", _HOURS),
+            _gate("tracks", "(select count(distinct track_id) from full_)", _BLOCKS),
+            _gate("parents", "(select count(distinct parent_id) from faulty)", _BLOCKS),
+            _gate("observed", "(select count(*) from fixes)", _HOURS),
+            _gate("identity_misaligned", "(select count(*) from faulty where track_id <> parent_id or track_id <> event_id)"),
+            _gate("flag_mismatch", "(select count(*) from faulty where observed <> flagged)"),
+            _gate("observed_without_class", "(select count(*) from faulty where observed and class is null)"),
+            _gate("interpolated_with_class", "(select count(*) from faulty where not observed and class is not null)"),
+            _gate("null_lat", "(select count(*) from full_ where h % 83 = 0)"),
+            _gate("null_wind", "(select count(*) from filled)"),
+        ]
     )
 )
 def q03_q11_row_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = catalogue(spark, sf_dir)
-    c = points.agg(F.count("*").alias("rows"), F.count_distinct("track_id").alias("tracks"), F.count_if("observed").alias("observed")).first()
-    expected = {"rows": c["rows"], "tracks": c["tracks"], "parents": c["tracks"] + 1, "observed": c["observed"]}  # one is wrong on purpose
-    return gates.row_gates(points, expected, ["lat", "wind"])
+    """Against a release document that is written from the raw events: observed hours and tracks. Its number of rows leaves out
+    what gaps add."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    counted = events.agg(F.count_distinct("user_id", F.date_trunc("hour", "ts")).alias("rows"), F.count_distinct("user_id", F.floor((F.dayofmonth("ts") - 1) / 6)).alias("tracks"))
+    path = scratch.new_path(spark, "manifest")
+    counted.select("rows", "tracks", F.col("tracks").alias("parents"), F.col("rows").alias("observed")).write.json(path)
+    expected = export.read_documents(spark, [path], "rows long, tracks long, parents long, observed long", lines=True).first().asDict()
+    return gates.row_gates(faulty(spark, sf_dir), expected, ["lat", "wind"])
 
 
-_DUP = "coalesce((select count(*) from (select user_id, time from fixes group by 1, 2 having count(*) > 1) z), 0)"
+_TWICE = "twice as (select * from fixes union all select * from fixes where event_id % 40 = 0)"
+_DUP = "(select count(*) from (select {} from twice group by all having count(*) > 1))"
+_MIXED = """mixed as (select user_id, time, track_id*10 + case when user_id % 4 = 0 and h % 3 = 0 then 1 else 0 end as seg from fixes),
+changed as (select user_id, seg, lag(seg) over (partition by user_id order by time, seg) as before from mixed),
+inter as (select user_id, count(*) filter (seg <> before) as changes, count(distinct seg) as segments from changed group by 1)"""
 
 
-@query(f"with {FIX} {_gate('duplicate_track_time', '0')} union all {_gate('duplicate_parent_time', _DUP)} union all {_gate('interleaved_segments', '0')}")
+@query(
+    f"with {FIX}, {_TWICE}, {_MIXED} {_gate('duplicate_track_time', _DUP.format('track_id, time'))} union all {_gate('duplicate_parent_time', _DUP.format('user_id, time'))} "
+    f"union all {_gate('interleaved_segments', '(select count(*) from inter where changes + 1 <> segments)')}"
+)
 def q06_q07_q12_identity_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some fixes stand twice; a quarter of the parents have two segments by turns."""
     points = fixtures.fixes(spark, sf_dir)
-    out = gates.duplicate_gate(points, ["track_id", "time"], "duplicate_track_time")
-    out = out.unionByName(gates.duplicate_gate(points, ["user_id", "time"], "duplicate_parent_time"))
-    return out.unionByName(gates.interleaving_gate(stepped(spark, sf_dir, "user_id"), "user_id"))
+    twice = points.unionByName(points.filter("event_id % 40 = 0"))
+    out = gates.duplicate_gate(twice, ["track_id", "time"], "duplicate_track_time")
+    out = out.unionByName(gates.duplicate_gate(twice, ["user_id", "time"], "duplicate_parent_time"))
+    hour = F.rint(fc.epoch_hours(F.col("time"))).cast("long")
+    mixed = points.withColumn("track_id", F.col("track_id") * 10 + F.when((F.col("user_id") % 4 == 0) & (hour % 3 == 0), 1).otherwise(0))
+    return out.unionByName(gates.interleaving_gate(kinematics.steps(mixed, "user_id"), "user_id"))
 
 
-@query(_gate("misaligned_series", "0") + " from events limit 1")
+@query(f"with {FIX} {_gate('misaligned_series', '(select count(distinct track_id) from fixes where track_id % 9 = 0)')}")
 def q13_series_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.alignment_gate(summary.detail_series(fixtures.fixes(spark, sf_dir), ("wind", "category", "lat")), ["wind", "category", "lat"])
+    """A ninth of the tracks lack the last value of one series."""
+    series = summary.detail_series(fixtures.fixes(spark, sf_dir), ("wind", "category", "lat"))
+    short = series.withColumn("lat", F.when(F.col("track_id") % 9 == 0, F.slice("lat", 1, F.size("lat") - 1)).otherwise(F.col("lat")))
+    return gates.alignment_gate(short, ["wind", "category", "lat"])
 
 
 @query(f"with {_RAIN}, g as (select n_nationkey as region, unnest(range(1, 31)) as d from nation) select g.region, cast(g.d as bigint) as d from g anti join rain on rain.region = g.region and rain.d = g.d")
@@ -89,36 +126,57 @@ def q16_no_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.splits_gate(fixtures.fixes(spark, sf_dir).groupBy("user_id").agg((F.count_distinct("track_id") - 1).alias("break_count")))
 
 
-_BIT = ("schema", "version", "status", "incomplete_spans", "non_hourly_steps", "scientific_change")
+_FAULTS = {"schema": 13, "version": 11, "status": 7, "incomplete_spans": 19, "non_hourly_steps": 5, "scientific_change": 17}
 
 
-@query(" union all ".join(_gate(n, "(select count(*) from nation where n_regionkey = 1)" if n == "status" else "(select count(*) from nation where n_regionkey = 2)" if n == "non_hourly_steps" else "0") for n in _BIT))
+@query("with k as (select o_custkey as k from orders) " + " union all ".join(_gate(n, f"(select count(*) from k where k % {m} = 0)") for n, m in _FAULTS.items()))
 def r06_q02_release_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes one document a nation, reads them back and checks them."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    docs = nation.select(
-        F.lit("release/1").alias("schema"),
-        F.lit("1.2.3").alias("version"),
-        F.when(F.col("n_regionkey") == 1, "open").otherwise("pass").alias("status"),
-        F.struct(F.lit(True).alias("complete_hourly_spans"), F.when(F.col("n_regionkey") == 2, 1).otherwise(0).alias("non_hourly_steps")).alias("continuity"),
-        F.lit(False).alias("scientific_change"),
-        F.col("n_nationkey").alias("k"),
+    """Writes one document an order into two folders, as JSON lines, reads them by path and checks them; some fail each check."""
+    bad = lambda name: F.col("k") % _FAULTS[name] == 0
+    docs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("k")).select(
+        F.when(bad("schema"), "release/0").otherwise("release/1").alias("schema"),
+        F.when(bad("version"), None).otherwise("1.2.3").alias("version"),
+        F.when(bad("status"), "open").otherwise("pass").alias("status"),
+        F.struct((~bad("incomplete_spans")).alias("complete_hourly_spans"), F.when(bad("non_hourly_steps"), 1).otherwise(0).alias("non_hourly_steps")).alias("continuity"),
+        bad("scientific_change").alias("scientific_change"),
+        "k",
     )
-    path = scratch.new_path(spark, "documents")
-    docs.repartition("k").write.json(path)
+    paths = [scratch.new_path(spark, "documents") for _ in range(2)]
+    for n, path in enumerate(paths):
+        docs.filter(F.col("k") % 2 == n).drop("k").write.json(path)
     schema = "schema string, version string, status string, continuity struct<complete_hourly_spans:boolean,non_hourly_steps:int>, scientific_change boolean"
-    read = spark.read.schema(schema).json(path)
-    return gates.document_gate(read, "release/1", "1.2.3")
+    return gates.document_gate(export.read_documents(spark, paths, schema, lines=True), "release/1", "1.2.3")
 
 
-def q01_file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of a table's file against itself; Spark reads the bytes."""
-    path = f"{sf_dir}/nation.parquet"
-    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
-    return gates.file_gate(spark, path, digest)
+_LINE = "c_custkey || ':' || c_nationkey"
 
 
-query()(q01_file_fingerprint)
+@query(
+    f"""with f as (select c_custkey // 1000 as file, sha256(string_agg({_LINE} || chr(10), '' order by c_custkey)) as sha256 from customer group by 1)
+select file, sha256, file % 3 <> 1 as passed from f"""
+)
+def q01_file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes files of 1,000 customers and holds their bytes against digests that are published beside them, one in three wrong."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(F.col("c_custkey") / 1000).alias("file"), "c_custkey", F.concat_ws(":", "c_custkey", "c_nationkey").alias("value"))
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "value"))), lambda x: x["value"]), "\n"), F.lit("\n"))
+    digest = F.when(F.col("file") % 3 != 1, F.sha2(F.col("text").cast("binary"), 256)).otherwise("0")
+    published = rows.groupBy("file").agg(text.alias("text")).select("file", digest.alias("published"))
+    path = scratch.new_path(spark, "files")
+    rows.repartition("file").sortWithinPartitions("file", "c_custkey").select("file", "value").write.partitionBy("file").text(path)
+    found = gates.file_digests(spark, path).withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1).cast("long"))
+    return found.join(published, "file").select("file", "sha256", (F.col("sha256") == F.col("published")).alias("passed"))
+
+
+# --- the catalogue
+@query(f"with {GAPS} select track_id, h as hour, cast(month(time) as bigint) as month, {r('lat', 9)} as lat, observed from (select *, make_timestamp(h*3600000000) as time from full_) z where h % 5 = 0")
+def r01_read_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the full series with more columns than are asked for, reads a few of them, and gives every fifth hour."""
+    rows = full_series(spark, sf_dir)
+    path = scratch.new_path(spark, "catalogue")
+    rows.select("track_id", F.col("track_id").alias("event_id"), F.col("track_id").alias("continuity_parent_track_id"), F.col("time").cast("timestamp").alias("time"), "lat", "lon", F.col("wind").alias("max_wind"), F.col("observed").alias("candidate_diagnostics_available"), F.col("precip").alias("unused")).write.parquet(path)
+    read = catalogue.by_parent(catalogue.read_catalogue(spark, path, ["track_id", "continuity_parent_track_id", "time", "lat", "candidate_diagnostics_available"]))
+    hour = F.rint(fc.epoch_hours(F.col("time"))).cast("long")
+    return read.filter(hour % 5 == 0).select("track_id", hour.alias("hour"), F.col("month").cast("long").alias("month"), F.bround("lat", 9).alias("lat"), F.col("candidate_diagnostics_available").alias("observed"))
 
 
 # --- release checks
@@ -149,9 +207,16 @@ def d13_required_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.null_gate(full_series(spark, sf_dir), ["lat", "wind", "category"])
 
 
-@query(_gate("null_uid", "0") + " union all " + _gate("duplicate_uid", "0"))
+_UID = "case when event_id % 30 = 0 then null when event_id % 31 = 0 then event_id + 1 else event_id end"
+
+
+@query(
+    f"""with {FIX}, u as (select {_UID} as uid from fixes) {_gate('null_uid', '(select count(*) from u where uid is null)')}
+union all {_gate('duplicate_uid', '(select count(*) from (select uid from u where uid is not null group by 1 having count(*) > 1))')}"""
+)
 def d14_unique_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.uid_gate(full_series(spark, sf_dir), "event_id", F.col("observed"))
+    """Some observed rows lack a uid, some have that of the next one."""
+    return gates.uid_gate(full_series(spark, sf_dir).withColumn("uid", F.expr(_UID)), "uid", F.col("observed"))
 
 
 _TRAIL = f"{FIX}, tr as (select *, sum(precip) over w as ts, count(precip) over w as vh, min(h) over (partition by track_id) as h0 from (select track_id, h, nullif(precip, 7) - 1 as precip from fixes) z window w as (partition by track_id order by h range between 23 preceding and current row))"
@@ -260,24 +325,30 @@ def d23_gap_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gap_contract(marked, gaps.gap_decision(rows), ("linear",), ["lat", "lon", "vort", "deficit"], gaps.RUN_H)
 
 
-# --- persistent class, on the fixes with a width that their runs reach
-_PERSIST = """pr as (select *, h - row_number() over (partition by track_id order by h) as run from fixes), lo as (select *, case when count(*) over a = 2 then min(category) over a end as low from pr
-  window a as (partition by track_id, run order by h rows between current row and 1 following)), pc as (select *, greatest(1, coalesce(max(low) over (partition by track_id, run order by h rows between 1 preceding and current row), 1)) as persistent from lo)"""
+# --- persistent class at its published width of six hours, over hourly series of long observed runs
+_W = strength.PERSISTENCE_H
+_LONG = "long_ as (select track_id, h, coalesce(category, 1 + (h // 4) % 5) as category, h % 29 <> 0 as observed from full_)"
+_PERSIST = f"""{_LONG}, pr as (select *, h - row_number() over (partition by track_id order by h) as run from long_ where observed),
+lo as (select *, case when count(*) over a = {_W} then min(category) over a end as low from pr window a as (partition by track_id, run order by h rows between current row and {_W - 1} following)),
+pc as (select *, greatest(1, coalesce(max(low) over (partition by track_id, run order by h rows between {_W - 1} preceding and current row), 1)) as persistent from lo)"""
 
 
 def _persistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.rint(fc.epoch_hours(F.col("time"))).cast("long")
-    return strength.persistent_class(full_series(spark, sf_dir).withColumn("hour", hour), 2)
+    rows = full_series(spark, sf_dir).withColumn("hour", hour).withColumn("observed", F.col("hour") % 29 != 0)
+    category = F.when(F.col("observed"), F.coalesce("category", (1 + F.floor(F.col("hour") / 4) % 5).cast("int")))
+    return strength.persistent_class(rows.withColumn("category", category))
 
 
-@query(f"with {GAPS}, {_PERSIST} select track_id, h as hour, cast(persistent as bigint) as persistent from pc union all select track_id, h, null from filled")
+@query(f"with {GAPS}, {_PERSIST} select track_id, h as hour, cast(persistent as bigint) as persistent from pc union all select track_id, h, null from long_ where not observed")
 def d08_persistent_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _persistent(spark, sf_dir).select("track_id", "hour", F.col("persistent").cast("long").alias("persistent"))
 
 
 @query(
-    f"""with {FIX}, {_PERSIST}, l as (select 'category' as measure, track_id, category as class from pc union all select 'persistent', track_id, persistent from pc), g as (select m.measure, c.class from (select distinct measure from l) m, (select unnest(range(1, 8)) as class) c),
-t as (select measure, track_id, max(class) as class from l group by 1, 2) select g.measure, g.class, (select count(*) from l where l.measure = g.measure and l.class = g.class) as n_points, (select count(*) from t where t.measure = g.measure and t.class = g.class) as n_tracks from g"""
+    f"""with {GAPS}, {_PERSIST}, l as (select 'category' as measure, track_id, category as class from pc union all select 'persistent', track_id, persistent from pc),
+g as (select m.measure, c.class from (select distinct measure from l) m, (select unnest(range(1, 8)) as class) c), t as (select measure, track_id, max(class) as class from l group by 1, 2)
+select g.measure, g.class, (select count(*) from l where l.measure = g.measure and l.class = g.class) as n_points, (select count(*) from t where t.measure = g.measure and t.class = g.class) as n_tracks from g"""
 )
 def d09_class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strength.class_distribution(_persistent(spark, sf_dir), ["category", "persistent"]).select("measure", F.col("class").cast("long").alias("class"), "n_points", "n_tracks")
@@ -335,11 +406,11 @@ def e10_query_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.query_recipe(few, {"classes": [5]}, "00")
 
 
-@query("select n_nationkey, case when n_nationkey % 2 = 0 then 'v1.' || n_nationkey || '.1' end as version from nation")
+@query("select s_suppkey, 'v' || s_suppkey || '.' || (s_nationkey % 7) || case when s_suppkey % 2 = 0 then '.1' else '' end as version from supplier")
 def e11_catalogue_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    name = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "lps_v1.").otherwise("lps_1."), "n_nationkey", F.lit(".1_core.parquet"))
-    return nation.select("n_nationkey", export.catalogue_version(name).alias("version"))
+    number = F.concat_ws(".", "s_suppkey", F.col("s_nationkey") % 7, F.when(F.col("s_suppkey") % 2 == 0, "1"))
+    name = F.concat(F.lit("lps_data/lps_v"), number, F.when(F.col("s_suppkey") % 3 == 0, "-era5").otherwise("_core"), F.lit(".parquet"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", export.catalogue_version(name).alias("version"))
 
 
 @query(f"with {FIX} select track_id, count(*) as n, {r('max(wind)')} as top from fixes group by 1")

@@ -156,6 +156,25 @@ def f01_f12_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_PLACES = f"""{_IN}, {_STARTS}, m as (select s.track_id, lat, lon, coalesce(bool_or(region < 10), false) as land, coalesce(bool_or(region >= 10), false) as sea from starts s left join hits using (event_id) group by 1, 2, 3),
+born as (select track_id, case when land then 'india' when sea and lat between 0 and 30 and lon between 77.5 and 100 then 'bob' when sea and lat between 0 and 30 and lon >= 45 and lon < 77.5 then 'arabian' else 'other' end as genesis_region from m)"""
+_PLACE_CASES: dict[str, tuple[cohort.Filters, str]] = {
+    **{f"born_{x}": (cohort.Filters(region=x), f"genesis_region = '{x}'") for x in ("india", "bob", "arabian", "other")},
+    **{f"crosses_{k}": (cohort.Filters(crossing=k), f"track_id in (select track_id from hits where region = {k})") for k in (0, 7, 12)},
+    "born_and_crosses": (cohort.Filters(region="india", crossing=6), "genesis_region = 'india' and track_id in (select track_id from hits where region = 6)"),
+}
+
+
+@query(f"with {_PLACES} " + " union all ".join(f"select '{n}' as filter, track_id from born where {w}" for n, (_, w) in _PLACE_CASES.items()))
+def f08_f09_place_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohorts by the region of genesis and by a region that is crossed."""
+    tracks, crossings, out = s02_f08_genesis_region(spark, sf_dir), s03_f09_crosses_region(spark, sf_dir), None
+    for name, (filters, _) in _PLACE_CASES.items():
+        one = cohort.cohort(tracks, filters, crossings, "track_id").select(F.lit(name).alias("filter"), "track_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"with {_COHORT} select min(metric) as threshold from labelled where metric_pct >= 95")
 def f13_physical_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.physical_threshold(labelled_systems(spark, sf_dir), "metric", "metric_pct", 95)
@@ -306,28 +325,42 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.combine(fixtures.region_rain(spark, sf_dir).select(F.col("region").alias("series"), "d", F.col("rain").alias("value")), _members(spark, sf_dir))
 
 
-@query(f"with {_RAIN} select cast(region as bigint) as region, cast(d as bigint) as d, cast({r('rain*10', 0)} as bigint) as value from rain")
+_SERIES = """series as (select c_nationkey as region, year(o_orderdate) as year, dayofyear(o_orderdate) as d, round_even(avg(cast(o_totalprice as double))/1000, 0) as v
+from orders join customer on o_custkey = c_custkey group by 1, 2, 3)"""
+
+
+@query(f"with {_SERIES} select cast(region as bigint) as region, cast(year as bigint) as year, cast(d as bigint) as d, cast(v as bigint) as value from series")
 def r05_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the regional series as a JSON payload of base64 little-endian integers and decodes it again."""
-    rain = fixtures.region_rain(spark, sf_dir).select(F.col("region").cast("string").alias("region"), "d", F.rint(F.col("rain") * 10).cast("int").alias("v"))
+    """Writes regional series of all years of the orders as base64 of little-endian integers, a line a region and year, and decodes them."""
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("region"), F.year("o_orderdate").alias("year"), F.dayofyear("o_orderdate").alias("d"))
+    rows = rows.agg(F.rint(F.avg(F.col("o_totalprice").cast("double")) / 1000).cast("int").alias("v"))
+    days = {y: 366 if y % 4 == 0 else 365 for y in range(1990, 2010)}
     path = scratch.new_path(spark, "daily")
-    daily_series.encode(rain, "region", "d", "v", 31, 2024).coalesce(1).write.text(path)
-    out = daily_series.decode(spark, path, {2024: 31})
-    return out.filter(F.col("value").isNotNull()).select(F.col("region").cast("long").alias("region"), F.dayofyear("date").cast("long").alias("d"), F.col("value").cast("long").alias("value"))
+    daily_series.pack(rows, "region", "year", "d", "v", days).write.json(path)
+    read = daily_series.read_lines(spark, path)
+    if not daily_series.bad_lengths(read, days).isEmpty():
+        raise ValueError("a regional series has a wrong length")
+    out = daily_series.unpack(read)
+    date = F.col("date")
+    return out.filter(F.col("value").isNotNull()).select(F.col("region").cast("long").alias("region"), F.year(date).cast("long").alias("year"), F.dayofyear(date).cast("long").alias("d"), F.col("value").cast("long").alias("value"))
 
 
-_ALIASES = {"north_coast": ["0", "3"], "south_hills": ["7"], "far_sea": ["99"], "two_lakes": ["4", "5"]}
+_ALIASES = {"north_coast": ["0", "3"], "south_hills": ["7"], "far_sea": ["99999999"], "two_lakes": ["4", "5"]}
 
 
 @query(
-    """with special(slug, series) as (values ('north_coast','0'),('north_coast','3'),('south_hills','7'),('far_sea','99'),('two_lakes','4'),('two_lakes','5')),
-slugs as (select distinct slug from special union select lower(replace(n_name, ' ', '_')) from nation), meta as (select cast(n_nationkey as varchar) as series from nation union select lower(replace(n_name, ' ', '-')) from nation)
-select s.slug, x.series from slugs s join (select slug, series from special union all select slug, replace(slug, '_', '-') from slugs where slug not in (select slug from special)) x using (slug) where x.series in (select series from meta)"""
+    """with special(slug, series) as (values ('north_coast','0'),('north_coast','3'),('south_hills','7'),('far_sea','99999999'),('two_lakes','4'),('two_lakes','5')),
+slugs as (select distinct slug from special union select 'area_' || s_suppkey from supplier),
+meta as (select cast(s_suppkey as varchar) as series from supplier union select 'area-' || s_suppkey from supplier where s_suppkey % 3 <> 0)
+select s.slug, x.series from slugs s join (select slug, series from special union all select slug, replace(slug, '_', '-') from slugs where slug not in (select slug from special)) x using (slug)
+where x.series in (select series from meta)"""
 )
 def g01_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    slugs = nation.select(F.lower(F.translate("n_name", " ", "_")).alias("slug")).unionByName(spark.createDataFrame([(s,) for s in _ALIASES], "slug string")).distinct()
-    meta = nation.select(F.col("n_nationkey").cast("string").alias("series")).unionByName(nation.select(F.lower(F.translate("n_name", " ", "-")).alias("series"))).distinct()
+    key = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"))
+    special = spark.createDataFrame([(s,) for s in _ALIASES], "slug string")
+    slugs = key.select(F.concat(F.lit("area_"), "k").alias("slug")).unionByName(special).distinct()
+    meta = key.select(F.col("k").alias("series")).unionByName(key.filter("cast(k as long) % 3 <> 0").select(F.concat(F.lit("area-"), "k").alias("series"))).distinct()
     return regions.alias_map(slugs, meta, _ALIASES)
 
 

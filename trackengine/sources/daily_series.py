@@ -1,4 +1,7 @@
-"""Regional daily series packed as base64 of little-endian 16-bit integers, one string a region and year."""
+"""Regional daily series packed as base64 of little-endian 16-bit integers, one string a region and year.
+
+Two files hold them: JSON lines, one a region and year, which any number of tasks write and read; and the published payload,
+one JSON text in a wrapper, which one task has to read as a whole."""
 
 from __future__ import annotations
 
@@ -43,9 +46,13 @@ def missing_years(rows: DataFrame, low: int, high: int) -> DataFrame:
     return grid.join(rows.select("region", "year"), ["region", "year"], "left_anti")
 
 
-def decode(spark: SparkSession, path: str, days: dict[int, int]) -> DataFrame:
-    """All values of a payload; fails if a length is wrong or a year is missing."""
-    rows = read_payload(spark, path)
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns from JSON lines."""
+    return spark.read.schema("region string, year int, packed string, declared int").json(path)
+
+
+def checked(rows: DataFrame, days: dict[int, int]) -> DataFrame:
+    """All values of read rows; fails if a length is wrong or a year is missing."""
     if not bad_lengths(rows, days).isEmpty():
         raise ValueError("a regional series has a wrong length")
     if not missing_years(rows, min(days), max(days)).isEmpty():
@@ -53,11 +60,24 @@ def decode(spark: SparkSession, path: str, days: dict[int, int]) -> DataFrame:
     return unpack(rows)
 
 
-def encode(values: DataFrame, region: str, day: str, value: str, n_days: int, year: int) -> DataFrame:
-    """The payload's text from long rows (day 1 to n_days), one row in all."""
-    at = values.groupBy(region).agg(F.map_from_entries(F.collect_list(F.struct(day, value))).alias("m"))
+def decode(spark: SparkSession, path: str, days: dict[int, int]) -> DataFrame:
+    """All values of a payload file, checked."""
+    return checked(read_payload(spark, path), days)
+
+
+def pack(values: DataFrame, region: str, year: str, day: str, value: str, days: dict[int, int]) -> DataFrame:
+    """region, year, packed and declared length from long rows: days of a year count from 1; a row a region and year."""
+    n_days = F.create_map(*(F.lit(x) for pair in days.items() for x in pair))[F.col(year)]
+    at = values.groupBy(F.col(region).cast("string").alias("region"), F.col(year).cast("int").alias("year")).agg(F.map_from_entries(F.collect_list(F.struct(day, value))).alias("m"), F.first(n_days).alias("declared"))
     byte = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
-    packed = F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n_days)), lambda k: byte(F.coalesce(F.try_element_at("m", k), F.lit(MISSING)))), "")))
-    one = at.select(F.struct(F.col(region).alias("k"), F.create_map(F.lit(str(year)), packed).alias("v")).alias("e")).agg(F.map_from_entries(F.collect_list("e")).alias("dailyMeanByYear"))
-    body = F.to_json(F.struct(F.struct(F.create_map(F.lit(str(year)), F.lit(n_days)).alias("dailyLengths"), "dailyMeanByYear").alias("regions")))
+    packed = F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.col("declared")), lambda k: byte(F.coalesce(F.try_element_at("m", k), F.lit(MISSING)))), "")))
+    return at.select("region", "year", packed.alias("packed"), "declared")
+
+
+def payload(rows: DataFrame) -> DataFrame:
+    """Packed rows as the published payload's text, one row in all: for the few regions and years that a browser loads."""
+    years = rows.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("string").alias("k"), "packed"))).alias("v"))
+    lengths = rows.select(F.col("year").cast("string").alias("k"), "declared").distinct().agg(F.map_from_entries(F.collect_list(F.struct("k", "declared"))).alias("dailyLengths"))
+    one = years.agg(F.map_from_entries(F.collect_list(F.struct("region", "v"))).alias("dailyMeanByYear")).crossJoin(lengths)  # one row each
+    body = F.to_json(F.struct(F.struct("dailyLengths", "dailyMeanByYear").alias("regions")))
     return one.select(F.concat(F.lit("window.RAIN = "), body, F.lit(";")).alias("value"))

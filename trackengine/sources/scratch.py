@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """Below the folder that the cluster shares; only where none is set, as in tests, in a new local one."""
+    """Below the folder that the cluster shares; only where none is set and Spark runs in one process, as in tests, in a new
+    local one."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top}/{name}-{uuid.uuid4().hex}"
