@@ -79,7 +79,7 @@ def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     )
     plan = work.write(plan, "plan")
     rows = _keyed(sizes).join(_small(plan.select("sid", "p_source", "rest", "ranges")), F.col("source").eqNullSafe(F.col("p_source")))
-    rows = rows.withColumn("range", F.floor((F.col("key") / 2.0**64 + 0.5) * F.col("ranges")).cast("long"))
+    rows = rows.withColumn("range", F.floor(F.col("key") / 2.0**60 * F.col("ranges")).cast("long"))
     rows = rows.groupBy("sid", "rest", "range", "key", "doc_id", "size").agg(F.count("*").alias("alike"))
     amount = F.col("size") * F.col("alike")
     by_range = rows.groupBy("sid", "range").agg(F.sum(amount).alias("range_size"))
@@ -100,7 +100,9 @@ def _small(of: DataFrame) -> DataFrame:
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("key", F.xxhash64(F.lit(20), "doc_id", "size"))
+    """Adds a hash-random key of 60 bits."""
+    text = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"))
+    return rows.withColumn("key", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
 
 
 def apply_cuts(docs: DataFrame, cut: DataFrame) -> DataFrame:

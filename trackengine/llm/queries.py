@@ -126,6 +126,32 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM words LEFT JOIN sizes USING (doc_id) JOIN least ON node = doc_id
 """
 
+_OP2 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), per_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w FROM sized GROUP BY source
+), filled AS (
+  SELECT *, row_number() OVER o AS place, sum(s) OVER () - 3 * coalesce(sum(s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words,
+    sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight
+  FROM per_source WINDOW o AS (ORDER BY s / CAST(w AS DOUBLE), source NULLS LAST)
+), level AS (
+  SELECT arg_min(CAST(words AS DOUBLE) / CAST(weight AS DOUBLE), place) AS level FROM filled WHERE CAST(words AS DOUBLE) / CAST(weight AS DOUBLE) * w <= 3 * s
+), goals AS (
+  SELECT source, s, least(level * w, CAST(3 * s AS DOUBLE)) AS target FROM per_source, level
+), plan AS (
+  SELECT *, CASE WHEN s > 0 THEN CAST(round_even(target, 0) AS BIGINT) // s ELSE 0 END AS epochs, CASE WHEN s > 0 THEN CAST(round_even(target, 0) AS BIGINT) % s ELSE 0 END AS rest FROM goals
+), keyed AS (
+  SELECT source, doc_id, size, count(*) AS alike, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 1, 15) AS BIGINT) AS key FROM sized GROUP BY source, doc_id, size
+), placed AS (
+  SELECT *, coalesce(sum(size * alike) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM keyed
+)
+SELECT d.doc_id, d.size, p.s AS source_size, p.target,
+  CAST(p.epochs * d.size + CASE WHEN k.start + k.size * k.alike <= p.rest THEN k.size WHEN k.start < p.rest THEN (p.rest - k.start) // k.alike ELSE 0 END AS BIGINT) AS taken
+FROM sized d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source
+JOIN placed k ON k.source IS NOT DISTINCT FROM d.source AND k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.size = d.size
+"""
+
 _OP6 = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -182,4 +208,4 @@ FROM sized GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _OP1, "op4_benchmark_hits": _OP4, "op6_substring_dedup": _OP6, "op10_chat_format": _OP10}
+    return {"op1_near_duplicates": _OP1, "op2_source_mix": _OP2, "op4_benchmark_hits": _OP4, "op6_substring_dedup": _OP6, "op10_chat_format": _OP10}
