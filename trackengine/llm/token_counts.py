@@ -123,11 +123,13 @@ class Vocabulary:
         return total, unknown
 
 
-def load(path: str = DEFAULT_VOCABULARY) -> Vocabulary:
+def load(path: str = DEFAULT_VOCABULARY, rank_scores: bool = False) -> Vocabulary:
     """A unigram vocabulary from a ``tokenizers`` JSON file of that kind, or from a sentencepiece model.
 
     A sentencepiece unigram model has log-probabilities, which are taken as they are. A model of another kind has only an
-    order of its pieces; piece r of that order then gets Zipf's log-probability, -ln(r + 2) - ln(ln(n))."""
+    order of its pieces and is refused unless ``rank_scores`` asks for scores from it: piece r of that order then gets
+    Zipf's log-probability, -ln(r + 2) - ln(ln(n)). Pieces that reach across words are refused. A model's own table of
+    normalisations is not applied."""
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -141,12 +143,12 @@ def load(path: str = DEFAULT_VOCABULARY) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [k for k in range(model.vocab_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
     pieces = [(model.id_to_piece(k), model.get_score(k)) for k in ids]
-    ranked = all(score == int(score) for _, score in pieces)  # an order, not log-probabilities
-    if ranked:
+    if rank_scores:
         total = math.log(math.log(len(pieces)))
         pieces = [(p, -math.log(r + 2) - total) for r, (p, _) in enumerate(sorted(pieces, key=lambda x: -x[1]))]
-    inside = lambda p: BLANK in p.lstrip(BLANK)
-    return Vocabulary(tuple(p for p in pieces if not inside(p[0])), any(model.is_byte(k) for k in range(model.vocab_size())))
+    elif all(score == int(score) for _, score in pieces):
+        raise ValueError("the model has an order of its pieces, not log-probabilities")
+    return Vocabulary(tuple(pieces), any(model.is_byte(k) for k in range(model.vocab_size())))
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
