@@ -13,6 +13,9 @@ SPECIAL_SERIES = {
     "jammu_and_kashmir": ["jammu-and-kashmir", "ladakh"],
 }
 # ---
+#: Regions of one table of means.
+MAX_REGIONS = 10_000
+
 
 def alias_map(slugs: DataFrame, metadata: DataFrame, special: dict[str, list[str]] = SPECIAL_SERIES) -> DataFrame:
     """(slug, series): special slugs map to given series, others to their name with '-' for '_'; unknown series are ignored."""
@@ -32,8 +35,10 @@ def event_region_mean(track_days: DataFrame, daily: DataFrame, key: str = "track
     days = track_days.select(key, "d").distinct()
     counts = days.groupBy(key).agg(F.count("*").alias("n_days"))
     means = days.join(daily, "d").groupBy(key, "slug").agg(F.rint(F.avg("value")).cast("long").alias("mean"))
-    slugs = daily.select("slug").distinct()
-    grid = counts.join(slugs)  # the full table of tracks by regions is the result
+    # the full table of tracks by regions is the result; the list of regions, bounded, goes to every task
+    listed = daily.select("slug").distinct().agg(F.collect_list("slug").alias("slugs"))
+    some = F.when(F.size("slugs") <= MAX_REGIONS, F.col("slugs")).otherwise(F.raise_error(F.lit("too many regions")).cast("array<string>"))
+    grid = counts.crossJoin(F.broadcast(listed.select(some.alias("slugs")))).select(key, "n_days", F.explode("slugs").alias("slug"))
     return grid.join(means, [key, "slug"], "left").select(key, "slug", "n_days", F.coalesce("mean", F.lit(-1)).alias("mean"))
 
 
