@@ -168,7 +168,10 @@ _PLACE_CASES: dict[str, tuple[cohort.Filters, str]] = {
 @query(f"with {_PLACES} " + " union all ".join(f"select '{n}' as filter, track_id from born where {w}" for n, (_, w) in _PLACE_CASES.items()))
 def f08_f09_place_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohorts by the region of genesis and by a region that is crossed."""
-    tracks, crossings, out = s02_f08_genesis_region(spark, sf_dir), s03_f09_crosses_region(spark, sf_dir), None
+    paths = [scratch.new_path(spark, name) for name in ("genesis", "crossings")]
+    for path, rows in zip(paths, (s02_f08_genesis_region(spark, sf_dir), s03_f09_crosses_region(spark, sf_dir)), strict=True):
+        rows.write.parquet(path)  # every case reads them
+    (tracks, crossings), out = (spark.read.parquet(path) for path in paths), None
     for name, (filters, _) in _PLACE_CASES.items():
         one = cohort.cohort(tracks, filters, crossings, "track_id").select(F.lit(name).alias("filter"), "track_id")
         out = one if out is None else out.unionByName(one)
