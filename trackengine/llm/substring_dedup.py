@@ -29,9 +29,11 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,27 +53,49 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(block[: len(block) - rest], block[rest:]) if rest else block
 
 
-def winnow(seeds: np.ndarray, span: int) -> np.ndarray:
-    """Positions that hold the least seed of some ``span`` consecutive ones; all of equal ones."""
-    if len(seeds) < span:
-        return np.empty(0, np.int64)
-    least = _slide(seeds, span, np.minimum)
-    padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-    return np.flatnonzero(_slide(padded, span, np.maximum) == seeds)
+def _inside(sizes: np.ndarray, width: int) -> np.ndarray:
+    """For texts of so many words one after the other: whether the ``width`` words from a place on are of one text."""
+    total = int(sizes.sum())
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    return (np.arange(total) + width <= ends)[: max(0, total - width + 1)]
 
 
-def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Hashes of a text's fingerprints, one an occurrence, from its word hashes."""
-    if len(hashes) < window:
-        return np.empty(0, np.uint64)
-    seeds = ngrams(hashes, min(SEED, window))
-    return seeds[winnow(seeds, window - min(SEED, window) + 1)]
+def _least_seeds(hashes: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds at each word of texts one after the other, each window's own fingerprint, which is the least of its seeds,
+    and which windows are of one text."""
+    size = min(SEED, window)
+    seeds = ngrams(hashes, size)
+    inside = _inside(sizes, window)
+    return seeds, _slide(seeds, window - size + 1, np.minimum) if len(inside) else np.empty(0, np.uint64), inside
 
 
-def candidate_windows(hashes: np.ndarray, window: int, repeated: np.ndarray) -> np.ndarray:
-    """Starts of the windows whose own fingerprint, their least seed, is among ``repeated``."""
-    size = min(SEED, window)
-    return np.flatnonzero(np.isin(_slide(ngrams(hashes, size), window - size + 1, np.minimum), repeated))
+def fingerprints(hashes: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the fingerprints of texts one after the other: the seeds that are the least of some window."""
+    seeds, least, inside = _least_seeds(hashes, sizes, window)
+    if not inside.any():
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    span = window - min(SEED, window) + 1
+    none = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([none, np.where(inside, least, np.uint64(0)), none]), span, np.maximum) == seeds)
+    return at, seeds[at]
+
+
+def candidate_windows(hashes: np.ndarray, sizes: np.ndarray, window: int, repeated: np.ndarray) -> np.ndarray:
+    """Starts of the windows of texts one after the other whose own fingerprint is among ``repeated``."""
+    _, least, inside = _least_seeds(hashes, sizes, window)
+    return np.flatnonzero(np.isin(least, repeated) & inside)
+
+
+def _words(batch: pa.RecordBatch) -> tuple[list[list[bytes]], list[bytes], np.ndarray, np.ndarray]:
+    """Words of each text, of all texts one after the other, how many each has, and where each begins."""
+    each = [space_words(t) for t in texts(batch)]
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    return each, [w for words in each for w in words], sizes, np.cumsum(sizes) - sizes
+
+
+def _marks(batch: pa.RecordBatch) -> np.ndarray:
+    """Repeated fingerprints of the texts of a batch. One that a text has is a mark of that text too, or else new for one text alone."""
+    return batch.column("marks").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 def find_fingerprints(docs: DataFrame, window: int) -> DataFrame:
@@ -82,11 +106,12 @@ def find_fingerprints(docs: DataFrame, window: int) -> DataFrame:
             return map(prints_of, slices(batch))
 
         def prints_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = [space_words(t) for t in texts(batch)]
-            found = [fingerprints(HASHES.of(w), window).view(np.int64) for w in words]
+            words, together, sizes, starts = _words(batch)
+            at, found = fingerprints(HASHES.of(together), sizes, window)
+            cuts = np.append(np.searchsorted(at, starts), len(at)).astype(np.int32)
             digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.string()), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("text"), pa.array(sizes), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.view(np.int64)))],
                 ["doc_id", "text", "n_words", "words_sha256", "hashes"],
             )
 
@@ -101,17 +126,16 @@ def find_windows(opened: DataFrame, window: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            for piece in slices(batch):
-                out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]]
-                for row, text, marks in zip(piece.column("row").to_pylist(), texts(piece), piece.column("marks").to_pylist(), strict=True):
-                    words = space_words(text)
-                    hashes = HASHES.of(words)
-                    starts = candidate_windows(hashes, window, np.array(marks, np.int64).view(np.uint64))
-                    out[0].append(ngrams(hashes, window)[starts].view(np.int64))
-                    out[1].append(ngrams(SECOND_HASHES.of(words), window, _SECOND)[starts].view(np.int64))
-                    out[2].append(np.full(len(starts), row, np.int64))
-                    out[3].append(starts.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["w1", "w2", "row", "start"])
+            return map(windows_of, slices(batch))
+
+        def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            _, together, sizes, begin = _words(batch)
+            hashes = HASHES.of(together)
+            at = candidate_windows(hashes, sizes, window, _marks(batch))
+            text = np.searchsorted(begin, at, "right") - 1
+            w1, w2 = ngrams(hashes, window), ngrams(SECOND_HASHES.of(together), window, _SECOND)
+            rows = batch.column("row").to_numpy(zero_copy_only=False)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (w1[at].view(np.int64), w2[at].view(np.int64), rows[text], (at - begin[text]).astype(np.int32))], ["w1", "w2", "row", "start"])
 
         return each
 
@@ -123,23 +147,25 @@ def _remove(marked: DataFrame, window: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            for piece in slices(batch):
-                gone, kept = [], []
-                for text, marks, single in zip(texts(piece), piece.column("marks").to_pylist(), piece.column("single").to_pylist(), strict=True):
-                    words = space_words(text)
-                    starts = candidate_windows(HASHES.of(words), window, np.array(marks, np.int64).view(np.uint64))
-                    starts = starts[~np.isin(starts, np.array(single or [], np.int64))]
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
-                    left = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-                    gone.append(len(words) - len(left))
-                    kept.append(b" ".join([words[k] for k in left]))
-                digests = [hashlib.sha256(t).hexdigest() for t in kept]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("n_words"), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-                )
+            return map(removed_of, slices(batch))
+
+        def removed_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words, together, sizes, begin = _words(batch)
+            at = candidate_windows(HASHES.of(together), sizes, window, _marks(batch))
+            single = batch.column("single")
+            of = np.repeat(begin, pc.fill_null(pc.list_value_length(single), 0).to_numpy(zero_copy_only=False))
+            at = at[~np.isin(at, of + single.flatten().to_numpy(zero_copy_only=False))]
+            edge = np.zeros(len(together) + 1, np.int64)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + window, -1)
+            stays = np.cumsum(edge[:-1]) == 0
+            kept = [b" ".join(compress(w, stays[b : b + len(w)].tolist())) for w, b in zip(words, begin, strict=True)]
+            gone = sizes - np.diff(np.append(0, np.cumsum(stays))[np.append(begin, len(together))])
+            digests = [hashlib.sha256(t).hexdigest() for t in kept]
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_words"), pa.array(gone), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            )
 
         return each
 
