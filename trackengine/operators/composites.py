@@ -19,9 +19,7 @@ def _long(points: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
 def _bins(binned: DataFrame, key: str) -> DataFrame:
     """Mean of each track and bin, then their spread over tracks."""
     per_track = binned.groupBy("metric", key, "bin").agg(F.avg("value").alias("value"))
-    spread = ranks.quantiles(per_track, ["metric", "bin"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    means = per_track.groupBy("metric", "bin").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    return spread.join(means, ["metric", "bin"]).select("metric", "bin", "q1", "median", "q3", "mean", "n")
+    return ranks.quantiles(per_track, ["metric", "bin"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, moments=True)
 
 
 def life_cycle(points: DataFrame, metrics: list[str], key: str = "track_id") -> DataFrame:

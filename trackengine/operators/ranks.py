@@ -28,9 +28,12 @@ def _with_r(rows: DataFrame, names: list[str]) -> DataFrame:
 def running(rows: DataFrame, group: list[str], order: list[Column], amount: Column, out: str, total: str) -> DataFrame:
     """Adds the sum of ``amount`` over the rows before in the order, and over all rows, inside each group; ``order`` must tell
     the rows of a group apart."""
-    # plain columns for the order: range partitioning and windows then sort alike
-    spark, path = rows.sparkSession, scratch.new_path(rows.sparkSession, "ranges")
-    ranged = rows.withColumn("_amount", amount).repartitionByRange(*(F.asc(c) for c in group), *order).withColumn("_range", F.spark_partition_id())
+    spark = rows.sparkSession
+    # range partitioning samples its input: what that comes from is computed once
+    first, path = (scratch.new_path(spark, name) for name in ("rows", "ranges"))
+    rows = rows.withColumn("_amount", amount)
+    rows.write.parquet(first)
+    ranged = spark.read.schema(rows.schema).parquet(first).repartitionByRange(*(F.asc(c) for c in group), *order).withColumn("_range", F.spark_partition_id())
     ranged.write.parquet(path)
     ranged = spark.read.schema(ranged.schema).parquet(path)
     at = [*group, "_range"]
@@ -71,8 +74,9 @@ def percentile_rank_by(rows: DataFrame, group: str, column: str, out: str) -> Da
     return met.withColumn(out, F.coalesce("rank_value", F.lit(-1))).drop("v", "rank_value", f"{group}_r")
 
 
-def quantiles(rows: DataFrame, group: list[str], column: str, at: dict[str, float]) -> DataFrame:
-    """Exact quantiles of a column inside each group, linear between neighbours, from counts of its values; nulls don't count."""
+def quantiles(rows: DataFrame, group: list[str], column: str, at: dict[str, float], moments: bool = False) -> DataFrame:
+    """Exact quantiles of a column inside each group, linear between neighbours, from counts of its values; nulls don't count.
+    With ``moments`` also the mean and n, the number of values."""
     counts = _distinct_counts(rows.filter(F.col(column).isNotNull()), group, column)
     holds = lambda place: (F.col("less") <= place) & (place < F.col("less") + F.col("n"))
     found, out = [], []
@@ -81,6 +85,9 @@ def quantiles(rows: DataFrame, group: list[str], column: str, at: dict[str, floa
         found += [F.max(F.when(holds(F.floor(place)), F.col("v"))).alias(f"{name}_low"), F.max(F.when(holds(F.ceil(place)), F.col("v"))).alias(f"{name}_high"), F.max(place - F.floor(place)).alias(f"{name}_part")]
         low, high, part = (F.col(f"{name}_{c}").cast("double") for c in ("low", "high", "part"))
         out.append((low * (1 - part) + high * part).alias(name))
+    if moments:
+        found += [(F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")]
+        out += [F.col("mean"), F.col("n")]
     return counts.groupBy(*group).agg(*found).select(*group, *out)
 
 
