@@ -43,18 +43,18 @@ def _numbered(per_source: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(starts), "range").withColumn("sid", F.col("start") + F.col("at")).drop("range", "start", "at")
 
 
-def _level(sources: DataFrame, most: float) -> float:
-    """What one unit of weight gets: shares of the sum of sizes stop at ``most`` times a source's size, the rest is reshared.
+def _level(sources: DataFrame, most: float) -> tuple[float, int]:
+    """What one unit of weight gets, and the number of sources: shares of the sum of sizes stop at ``most`` times a source's size, the rest is reshared.
 
     Sources are capped in rounds, as the level rises; each round is one aggregation."""
     capped, known = (0.0, 0), None
-    total, weight = (x or 0 for x in sources.agg(F.sum("source_size"), F.sum("weight")).first())
+    total, weight, count = (x or 0 for x in sources.agg(F.sum("source_size"), F.sum("weight"), F.count("*")).first())
     while capped != known and weight > capped[1]:
         known, level = capped, (total - capped[0]) / (weight - capped[1])
         over = sources.filter(F.lit(level) * F.col("weight") > most * F.col("source_size"))
         size, of = over.agg(F.sum("source_size"), F.sum("weight")).first()
         capped = (most * (size or 0), of or 0)
-    return level if weight else 0.0
+    return (level if weight else 0.0), count
 
 
 def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
@@ -65,8 +65,8 @@ def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     weight = F.element_at(F.lit(list(weights)), (F.pmod("sid", F.lit(len(weights))) + 1).cast("int"))
     sources = work.write(_numbered(per_source).withColumn("weight", weight), "sources")
-    level = F.lit(_level(sources, most)) * F.col("weight")
-    goal = F.least(level, most * F.col("source_size")).cast("double")
+    level, n_sources = _level(sources, most)
+    goal = F.least(F.lit(level) * F.col("weight"), most * F.col("source_size")).cast("double")
     words = F.rint("target").cast("long")
     plan = sources.withColumn("target", goal).select(
         "sid",
@@ -77,8 +77,7 @@ def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
         F.when(F.col("source_size") > 0, words % F.col("source_size")).otherwise(0).cast("long").alias("rest"),
         F.greatest(F.lit(LEAST_RANGES), F.ceil(F.col("n") / RANGE_ROWS)).cast("long").alias("ranges"),
     )
-    plan = work.write(plan, "plan")
-    rows = _keyed(sizes).join(_small(plan.select("sid", "p_source", "rest", "ranges")), F.col("source").eqNullSafe(F.col("p_source")))
+    rows = _keyed(sizes).join(_small(plan.select("sid", "p_source", "rest", "ranges"), n_sources), F.col("source").eqNullSafe(F.col("p_source")))
     rows = rows.withColumn("range", F.floor(F.col("key") / 2.0**60 * F.col("ranges")).cast("long"))
     rows = rows.groupBy("sid", "rest", "range", "key", "doc_id", "size").agg(F.count("*").alias("alike"))
     amount = F.col("size") * F.col("alike")
@@ -91,12 +90,12 @@ def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     last = placed.filter((start < F.col("rest")) & (start + amount >= F.col("rest")))
     # equal rows at the cut share what is missing evenly
     last = last.select("sid", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), F.floor((F.col("rest") - start) / F.col("alike")).alias("cut_taken"))
-    return _small(work.write(plan.drop("rest", "ranges").join(last, "sid", "left").drop("sid"), "cuts"))
+    return _small(work.write(plan.drop("rest", "ranges").join(last, "sid", "left").drop("sid"), "cuts"), n_sources)
 
 
-def _small(of: DataFrame) -> DataFrame:
+def _small(of: DataFrame, rows: int) -> DataFrame:
     """Broadcasts a table of sources while they are few; else Spark joins by shuffle and splits the rows of a large source."""
-    return F.broadcast(of) if of.count() <= BROADCAST_SOURCES else of
+    return F.broadcast(of) if rows <= BROADCAST_SOURCES else of
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
