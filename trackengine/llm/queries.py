@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackengine.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_fm, quality_rules, secret_scan, substring_dedup, token_counts
+from trackengine.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_fm, quality_rules, secret_scan, substring_dedup, token_align, token_counts
 from trackengine.llm.common import lower_words, map_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The public tokenizers that op11 aligns.
+BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +104,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(chat_format.render(rows))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), token_align.Aligner.load(BYTE_BPE, PIECE_BPE))
+
+
 def queries() -> dict[str, Query]:
-    named: list[Query] = [op1_near_duplicates, op2_source_mix, op3_token_counts, op4_benchmark_hits, op5_quality_rules, op6_substring_dedup, op7_language_id, op8_quality_classifier, op9_secret_scan, op10_chat_format]
+    named: list[Query] = [
+        op1_near_duplicates,
+        op2_source_mix,
+        op3_token_counts,
+        op4_benchmark_hits,
+        op5_quality_rules,
+        op6_substring_dedup,
+        op7_language_id,
+        op8_quality_classifier,
+        op9_secret_scan,
+        op10_chat_format,
+        op11_token_alignment,
+    ]
     return {f.__name__: f for f in named}
 
 
