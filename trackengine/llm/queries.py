@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackengine.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_fm, quality_rules, secret_scan, substring_dedup, token_align, token_counts
+from trackengine.llm import chat_format, conversation_repair, decontaminate, language_id, mixing, near_dedup, quality_fm, quality_rules, secret_scan, substring_dedup, token_align, token_counts
 from trackengine.llm.common import lower_words, map_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,25 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), token_align.Aligner.load(BYTE_BPE, PIECE_BPE))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Drops, empties, repeats and changes rows by a checksum of their conversation and turn."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    marked = rows.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return marked.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("one")).drop("one")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.audited(conversation_repair.repair(_damaged(rows)))
+    numbers = [F.coalesce(F.col(f"f.{c}"), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    whole = rows.select("conv_id").distinct().alias("r").join(found.alias("f"), F.col("r.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    return whole.select("r.conv_id", *numbers, F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Query]:
     named: list[Query] = [
         op1_near_duplicates,
@@ -121,6 +140,7 @@ def queries() -> dict[str, Query]:
         op9_secret_scan,
         op10_chat_format,
         op11_token_alignment,
+        op13_conversation_repair,
     ]
     return {f.__name__: f for f in named}
 
@@ -224,6 +244,62 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
+_OP13 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+      lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295) % 20 AS kind
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM marked WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS r,
+    right(rtrim(text, E' \t\n\x0b\x0c\r'), 1) AS last FROM damaged
+), judged AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed
+), flagged AS (
+  SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CAST(coalesce(fault = 'truncated', false) AS BIGINT) AS cut FROM judged
+), steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS r, {'c': CAST(0 AS BIGINT), 't': ''} AS e, {'c': CAST(1000000000 AS BIGINT), 't': ''} AS s, {'c': CAST(1000000000 AS BIGINT), 't': ''} AS u, {'c': CAST(1000000000 AS BIGINT), 't': ''} AS a
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, r, {'c': e.c + 3, 't': e.t || 'D'},
+    list_min([{'c': s.c + 3, 't': s.t || 'D'}, {'c': e.c + cut + CASE WHEN i = 's' AND NOT gone THEN 0 ELSE 1000000000 END, 't': e.t || 'K'}]),
+    list_min([{'c': u2.c + 3, 't': u2.t || 'D'}, {'c': before_u.c + cut + CASE WHEN gone THEN 1000000000 WHEN i = 'u' THEN 0 ELSE 2 END, 't': before_u.t || CASE WHEN i = 'u' THEN 'K' ELSE 'R' END}]),
+    list_min([{'c': a2.c + 3, 't': a2.t || 'D'}, {'c': u2.c + cut + CASE WHEN gone THEN 1000000000 WHEN i = 'a' THEN 0 ELSE 2 END, 't': u2.t || CASE WHEN i = 'a' THEN 'K' ELSE 'R' END}])
+  FROM (
+    SELECT conv_id, f.r, i, gone, cut, e, s,
+      list_min([u, {'c': e.c + 2, 't': e.t || 'I'}, {'c': s.c + 2, 't': s.t || 'I'}, {'c': a.c + 2, 't': a.t || 'I'}]) AS u2,
+      list_min([a, {'c': u.c + 2, 't': u.t || 'I'}, {'c': e.c + 4, 't': e.t || 'II'}, {'c': s.c + 4, 't': s.t || 'II'}]) AS a2,
+      list_min([e, s, a, {'c': u.c + 2, 't': u.t || 'I'}, {'c': e.c + 4, 't': e.t || 'II'}, {'c': s.c + 4, 't': s.t || 'II'}]) AS before_u
+    FROM steps p JOIN flagged f USING (conv_id) WHERE f.r = p.r + 1
+  )
+), done AS (
+  SELECT conv_id, list_min([e, a, {'c': u.c + 2, 't': u.t || 'I'}, {'c': s.c + 4, 't': s.t || 'II'}]) AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY r DESC) AS back FROM steps) WHERE back = 1
+), edits AS (
+  SELECT conv_id, k, substr(best.t, k, 1) AS edit FROM (SELECT conv_id, best, unnest(range(1, length(best.t) + 1)) AS k FROM done)
+), counted AS (
+  SELECT *, sum(CAST(edit <> 'I' AS INT)) OVER w AS r, sum(CAST(edit <> 'D' AS INT)) OVER w AS place FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), met AS (
+  SELECT c.*, f.role, f.text, max(CAST(c.place = 1 AND c.edit = 'K' AND f.i = 's' AS INT)) OVER (PARTITION BY c.conv_id) AS system
+  FROM counted c LEFT JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.r = c.r AND c.edit <> 'I'
+), out_ AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS repaired FROM met WHERE edit <> 'D' GROUP BY conv_id
+), facts AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY r) || i AS pair FROM judged) GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(best.c AS BIGINT) AS cost, best.t AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM done d LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN out_ o ON o.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _OP1, "op2_source_mix": _OP2, "op4_benchmark_hits": _OP4, "op6_substring_dedup": _OP6, "op10_chat_format": _OP10}
+    return {"op1_near_duplicates": _OP1, "op2_source_mix": _OP2, "op4_benchmark_hits": _OP4, "op6_substring_dedup": _OP6, "op10_chat_format": _OP10, "op13_conversation_repair": _OP13}
