@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackengine.llm import chat_format, conversation_repair, decontaminate, language_id, mixing, near_dedup, quality_fm, quality_rules, secret_scan, substring_dedup, token_align, token_counts
+from trackengine.llm import chat_format, conversation_repair, decontaminate, embedding_dedup, language_id, mixing, near_dedup, quality_fm, quality_rules, secret_scan, substring_dedup, token_align, token_counts
 from trackengine.llm.common import lower_words, map_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), token_align.Aligner.load(BYTE_BPE, PIECE_BPE))
 
 
+def op12_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def _damaged(rows: DataFrame) -> DataFrame:
     """Drops, empties, repeats and changes rows by a checksum of their conversation and turn."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -140,6 +144,7 @@ def queries() -> dict[str, Query]:
         op9_secret_scan,
         op10_chat_format,
         op11_token_alignment,
+        op12_embedding_duplicates,
         op13_conversation_repair,
     ]
     return {f.__name__: f for f in named}
@@ -300,6 +305,29 @@ SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM done d LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN out_ o ON o.conv_id IS NOT DISTINCT FROM d.conv_id
 """
 
+_OP12 = r"""
+WITH RECURSIVE unit AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE vec_id IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS node, vec_id AS least FROM embeddings UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.node
+), least AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _OP1, "op2_source_mix": _OP2, "op4_benchmark_hits": _OP4, "op6_substring_dedup": _OP6, "op10_chat_format": _OP10, "op13_conversation_repair": _OP13}
+    return {
+        "op1_near_duplicates": _OP1,
+        "op2_source_mix": _OP2,
+        "op4_benchmark_hits": _OP4,
+        "op6_substring_dedup": _OP6,
+        "op10_chat_format": _OP10,
+        "op12_embedding_duplicates": _OP12,
+        "op13_conversation_repair": _OP13,
+    }
