@@ -72,7 +72,7 @@ def lower(text):
 
 def compare_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]

@@ -57,6 +57,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def create_file(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False if there is one, also if another process creates it at the same time."""
+    at, files = _file_system(spark, path)
+    return files.createNewFile(at)
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of the entries of a folder; none if it does not exist."""
     at, files = _file_system(spark, path)

@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackengine.llm.common import delete_path
+from trackengine.llm.common import delete_path, names_in
 
 #: Two neighbouring runs are merged if the older one has less than so many times the rows of the newer one.
 RATIO = 2
@@ -57,7 +57,6 @@ class SortedRuns:
         self.spark, self.path, self.keys, self.places, self.buckets = spark, path, list(keys), list(places), buckets
         self.schema = ", ".join(f"`{c}` {kind}" for c, kind in (keys | {"n": "long"} | places).items())
         self.runs: list[tuple[str, int]] = list(runs or [])  # name and rows, the oldest first
-        self.obsolete: list[str] = []
 
     def read(self, name: str) -> DataFrame:
         return read_bucketed(self.spark, f"{self.path}/{name}", self.schema, self.keys, self.buckets)
@@ -101,7 +100,7 @@ class SortedRuns:
         return out
 
     def compact(self, ratio: int = RATIO) -> None:
-        """Merges neighbouring runs of similar size, the newest first. The merged ones stay until ``clean``."""
+        """Merges neighbouring runs of similar size, the newest first. The files of merged ones stay."""
         while len(self.runs) > 1 and self.runs[-2][1] < ratio * self.runs[-1][1]:
             (old, _), (new, _) = self.runs[-2:]
             right = self.read(new).select(*self.keys, F.col("n").alias("n_new"), *(F.col(c).alias(f"{c}_new") for c in self.places))
@@ -109,10 +108,8 @@ class SortedRuns:
             n = F.coalesce("n", F.lit(0)) + F.coalesce("n_new", F.lit(0))
             merged = both.select(*self.keys, n.alias("n"), *(F.coalesce(c, f"{c}_new").alias(c) for c in self.places))
             self.runs[-2:] = [self._write(merged)]
-            self.obsolete += [old, new]
 
     def clean(self) -> None:
-        """Deletes merged runs; for after the list of runs is stored."""
-        for name in self.obsolete:
+        """Deletes merged and abandoned runs; for after the list of runs is stored."""
+        for name in set(names_in(self.spark, self.path)) - {name for name, _ in self.runs}:
             delete_path(self.spark, f"{self.path}/{name}")
-        self.obsolete = []
