@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackengine.functions.columns import finite, first_extreme, half_up
-from trackengine.operators import ranks
+from trackengine.operators import asof, ranks
 
 BINS, PEAK_H, PEAK_STEP_H = 24, 72, 6
 
@@ -49,6 +49,5 @@ def evolution(points: DataFrame, metric: str, other: str, key: str = "track_id")
 
 def value_at_hour(points: DataFrame, targets: DataFrame, metric: str, key: str = "track_id") -> DataFrame:
     """Value at the hour nearest a target (columns key, target); the later hour wins ties."""
-    met = points.select(key, "hour", metric).join(targets, key)
-    best = met.groupBy(key, "target").agg(F.min(F.struct(F.abs(F.col("hour") - F.col("target")).alias("away"), (-F.col("hour")).alias("h"), metric)).alias("b"))
-    return best.select(key, "target", (-F.col("b.h")).alias("hour"), F.col(f"b.{metric}").alias("value"))
+    out = asof.nearest_in_time(targets.select(key, "target"), points.select(key, "hour", metric), [key], "target", "hour", [metric], later_wins=True)
+    return out.select(key, "target", "hour", F.col(metric).alias("value"))

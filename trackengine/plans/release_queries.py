@@ -12,7 +12,7 @@ from trackengine.plans.match_queries import MATCH, headers, matches
 from trackengine.plans.registry import query
 from trackengine.plans.system_queries import _DAILY, _MEANS, _MEMBERS, _RAIN, _daily, labelled_systems
 from trackengine.plans.track_queries import FIX, GAPS, SYS, filled, full_series, hav, r, segmented, stepped, steps_sql, systems
-from trackengine.sources import catalogue, scratch
+from trackengine.sources import catalogue, layout, scratch
 
 
 def _gate(name: str, value: str, expected: str = "0") -> str:
@@ -179,6 +179,33 @@ def r01_read_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("track_id", hour.alias("hour"), F.col("month").cast("long").alias("month"), F.bround("lat", 9).alias("lat"), F.col("candidate_diagnostics_available").alias("observed"))
 
 
+# --- the catalogue's layout: fixes of four years
+_YEARS = f"{FIX}, y as (select *, h + cast(epoch(make_timestamp(2024 + track_id % 4, 1, 1, 0, 0, 0)) - epoch(make_timestamp(2024, 1, 1, 0, 0, 0)) as bigint) // 3600 as yh from fixes)"
+
+
+def _of_four_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout of fixes whose tracks are dealt to the years 2024 to 2027."""
+    time = F.expr("time + make_dt_interval(datediff(make_date(cast(2024 + track_id % 4 as int), 1, 1), date'2024-01-01'))")
+    path = scratch.new_path(spark, "layout")
+    layout.write_layout(fixtures.fixes(spark, sf_dir).withColumn("time", time), path, order=("track_id", "time", "event_id"))
+    return layout.open_layout(spark, path)
+
+
+@query(
+    f"""with {_YEARS}, c as (select track_id from y group by 1 having max(wind) > 20)
+select track_id, yh as hour, row_number() over w - 1 as idx, cast(yh - lag(yh) over w as double) as step_hours, {r(hav("(lag(lat) over w)", "(lag(lon) over w)", "lat", "lon"))} as step_km
+from y where track_id % 4 in (1, 2) and track_id in (select track_id from c) window w as (partition by track_id order by yh)"""
+)
+def r01_f01_layout_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the strong tracks of two years, over a catalogue that is partitioned by year and bucketed by track."""
+    points = _of_four_years(spark, sf_dir)
+    with layout.sorted_scans(spark):
+        strong = points.groupBy("start_year", "track_id").agg(F.max("wind").alias("w")).filter("w > 20")
+        rows = kinematics.steps(layout.of_cohort(layout.of_years(points, 2025, 2026), strong, "track_id"))
+    hour = F.rint(fc.epoch_hours(F.col("time"))).cast("long")
+    return rows.select("track_id", hour.alias("hour"), F.col("idx").cast("long").alias("idx"), "step_hours", F.bround("step_km", 4).alias("step_km"))
+
+
 # --- release checks
 @query(f"with {GAPS}, s as (select *, h - lag(h) over (partition by track_id order by h) as step from full_), p as (select track_id, count(*) as n, max(h)-min(h)+1 as span, count(*) filter (step <> 1) as odd from s group by 1), x as (select count(*) filter (n <> span) as a, sum(odd) as b from p) select 'incomplete_axes' as \"check\", a = 0 as passed, a as value, 0 as expected from x union all select 'non_hourly_steps', b = 0, cast(b as bigint), 0 from x")
 def d10_hourly_axis(spark: SparkSession, sf_dir: str) -> DataFrame:

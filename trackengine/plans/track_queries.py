@@ -76,7 +76,7 @@ decided as (select *, case when missing <= 6 and speed_ms <= 20 then true when m
   else n_supported/cast(missing as double) >= 0.75 and longest_bad <= 4 end as keep from judged),
 seg as (select f.*, coalesce(sum(case when d.keep = false then 1 else 0 end) over (partition by f.track_id order by f.h rows between unbounded preceding and 1 preceding), 0) as segment
   from fixes f left join decided d on d.track_id = f.track_id and d.h0 = f.h),
-full_ as (select track_id, h, lat, lon, true as observed, wind, category from fixes union all select track_id, h, lat, lon, false, null, null from filled)"""
+full_ as materialized (select track_id, h, lat, lon, true as observed, wind, category from fixes union all select track_id, h, lat, lon, false, null, null from filled)"""
 
 
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
