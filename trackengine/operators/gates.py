@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackengine.functions.columns import epoch_hours
+from trackengine.sources import digests
 
 SCHEMA = "check string, passed boolean, value long, expected long"
 
@@ -51,15 +52,9 @@ def alignment_gate(series: DataFrame, columns: list[str]) -> DataFrame:
     return _stack(series.agg(F.count_if(~same).alias("misaligned_series")), {"misaligned_series": 0})
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of each file below a path; Spark reads the bytes, one task a file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
-
-
 def file_gate(spark: SparkSession, path: str, digest: str) -> DataFrame:
     """SHA-256 of a file against the published one."""
-    return _stack(file_digests(spark, path).agg(F.count_if(F.col("sha256") != digest).alias("fingerprint_mismatch")), {"fingerprint_mismatch": 0})
+    return _stack(digests.file_digests(spark, path).agg(F.count_if(F.col("sha256") != digest).alias("fingerprint_mismatch")), {"fingerprint_mismatch": 0})
 
 
 def published_gate(manifest: DataFrame, metadata: DataFrame, qa: DataFrame, audit: DataFrame, amendment: DataFrame, crosswalk: DataFrame, schemas: dict[str, str], version: str) -> DataFrame:

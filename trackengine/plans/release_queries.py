@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.functions import columns as fc
-from trackengine.operators import export, gaps, gates, kinematics, ranks, regions, release, strength, summary, verify
+from trackengine.operators import export, gaps, gates, kinematics, package, ranks, regions, release, strength, summary, verify
 from trackengine.plans import fixtures
 from trackengine.plans.match_queries import MATCH, headers, matches
 from trackengine.plans.registry import query
 from trackengine.plans.system_queries import _DAILY, _MEANS, _MEMBERS, _RAIN, _daily, labelled_systems
 from trackengine.plans.track_queries import FIX, GAPS, SYS, filled, full_series, hav, r, segmented, stepped, steps_sql, systems
-from trackengine.sources import catalogue, layout, scratch
+from trackengine.sources import catalogue, digests, layout, scratch
 
 
 def _gate(name: str, value: str, expected: str = "0") -> str:
@@ -163,7 +163,7 @@ def q01_file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = rows.groupBy("file").agg(text.alias("text")).select("file", digest.alias("published"))
     path = scratch.new_path(spark, "files")
     rows.repartition("file").sortWithinPartitions("file", "c_custkey").select("file", "value").write.partitionBy("file").text(path)
-    found = gates.file_digests(spark, path).withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1).cast("long"))
+    found = digests.file_digests(spark, path).withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1).cast("long"))
     return found.join(published, "file").select("file", "sha256", (F.col("sha256") == F.col("published")).alias("passed"))
 
 
@@ -449,6 +449,22 @@ def e12_nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("track_id", F.size("wind").cast("long").alias("n"), F.bround(F.array_max("wind"), 4).alias("top"))
 
 
+@query(
+    f"""with {FIX}, t as (select track_id, '{{"track_id":' || track_id || ',"hour":[' || string_agg(h, ',' order by h) || '],"category":[' || string_agg(category, ',' order by h) || ']}}' as line from fixes group by 1)
+select cast(track_id % 7 as varchar) as part, sha256(string_agg(line || chr(10), '' order by track_id)) as sha256, count(*) as n_lines, cast(sum(length(line) + 1) as bigint) as raw_bytes, true as passed from t group by 1"""
+)
+def e12_q01_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document a track in parts that are named by their digests, with a manifest; written twice, and held against it."""
+    hour = F.rint(fc.epoch_hours(F.col("time"))).cast("long")
+    nested = fixtures.fixes(spark, sf_dir).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(hour.alias("hour"), "category"))).alias("s"))
+    lines = nested.select("track_id", (F.col("track_id") % 7).alias("part"), F.to_json(F.struct("track_id", F.col("s.hour").alias("hour"), F.col("s.category").alias("category"))).alias("value"))
+    path = scratch.new_path(spark, "package")
+    package.write_package(lines.filter("track_id % 2 = 0"), path, "part", ["track_id"], "tracks")
+    package.write_package(lines, path, "part", ["track_id"], "tracks")
+    package.prune_package(spark, path)
+    return package.verify_package(spark, path).select("part", "sha256", "n_lines", "raw_bytes", "passed")
+
+
 @query(f"with {FIX} select event_id, {r('wind*10', 0)}/10 as wind from fixes")
 def e13_unscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = summary.scaled_columns(fixtures.fixes(spark, sf_dir), {"wind": 10}, "event_id")

@@ -18,3 +18,28 @@ def new_path(spark: SparkSession, name: str) -> str:
         top = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def rename_path(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a file or folder inside one file system; fails if it can't."""
+    at, files = _file_system(spark, old)
+    to, _ = _file_system(spark, new)
+    files.mkdirs(to.getParent())
+    if not files.rename(at, to):
+        raise OSError(f"{old} can't be moved to {new}")
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if it does not exist."""
+    at, files = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
