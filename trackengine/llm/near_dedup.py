@@ -320,14 +320,25 @@ def near_duplicates(docs: DataFrame, words: Callable[[bytes | None], list[bytes]
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+#: Ids that are sent to every task at most; beyond it Spark joins them with the texts.
+MAX_SENT_IDS = 2_000_000
+
+
 def deduplicated(docs: DataFrame, words: Callable[[bytes | None], list[bytes]], shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near-duplicates, that of the least doc_id; columns stay as they are.
 
     Of several rows with one doc_id the one whose text and other columns have the least hash stays. Rows without a doc_id
     all stay."""
-    kept = near_duplicates(docs, words, shingle, percent).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    work = Workspace(docs.sparkSession, "deduplicated")
+    judged = near_duplicates(docs, words, shingle, percent).filter(F.col("doc_id").isNotNull())
+    per_id = work.write(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "ids")
+    # texts stay where they are as long as the ids that are no plain row fit into every task
+    other = per_id.filter("not kept or rows > 1")
+    small = other.count() <= MAX_SENT_IDS
+    sent = F.broadcast if small else lambda ids: ids
+    plain = docs.join(sent(other.select("doc_id")), "doc_id", "left_anti")  # rows without an id are among them
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = [c for c, f in zip(columns, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     row = F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), F.xxhash64(*hashed))).alias("row")
-    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*columns)
+    several = docs.join(sent(other.filter("kept").select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
+    return plain.select(*columns).unionByName(several.select(*columns))
