@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 # --- fixed values: slugs whose series have other names
 SPECIAL_SERIES = {
@@ -30,16 +31,52 @@ def combine(series: DataFrame, members: DataFrame) -> DataFrame:
     return some.groupBy("slug", "d").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
 
 
+def _day(rows: DataFrame, column: str = "d") -> Column:
+    """A day as a number: dates count from 1970."""
+    return F.unix_date(column) if isinstance(rows.schema[column].dataType, DateType) else F.col(column).cast("long")
+
+
+def day_spans(track_days: DataFrame, key: str = "track_id") -> DataFrame:
+    """(key, first, last): maximal runs of consecutive days that a track touches; nulls are no days."""
+    days = track_days.select(key, _day(track_days).alias("day")).filter("day is not null").distinct()
+    run = F.col("day") - F.row_number().over(Window.partitionBy(key).orderBy("day"))
+    return days.withColumn("run", run).groupBy(key, "run").agg(F.min("day").alias("first"), F.max("day").alias("last")).drop("run")
+
+
+def prefix_sums(daily: DataFrame) -> DataFrame:
+    """day, and for all regions in order (slug, sum and number of values up to that day); from the day before the first one on.
+
+    A row a day, of at most ``MAX_REGIONS`` regions. Missing values count for nothing."""
+    rows = daily.select("slug", _day(daily).alias("day"), F.col("value").cast("double").alias("value")).filter("day is not null")
+    ends = rows.agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    slugs = rows.select("slug").distinct()
+    grid = slugs.crossJoin(F.broadcast(ends)).select("slug", F.explode(F.sequence(F.col("low") - 1, "high")).alias("day"))  # ends are one row
+    w = Window.partitionBy("slug").orderBy("day")  # as many rows as days
+    known = F.col("value").isNotNull() & ~F.isnan("value")
+    filled = grid.join(rows, ["slug", "day"], "left")
+    up = filled.select("slug", "day", F.sum(F.when(known, F.col("value")).otherwise(0.0)).over(w).alias("s"), F.sum(known.cast("long")).over(w).alias("n"))
+    listed = up.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("slug", "s", "n"))).alias("up"))
+    some = F.when(F.size("up") <= MAX_REGIONS, F.col("up")).otherwise(F.raise_error(F.lit("too many regions")).cast(listed.schema["up"].dataType))
+    return listed.select("day", some.alias("up"))
+
+
 def event_region_mean(track_days: DataFrame, daily: DataFrame, key: str = "track_id") -> DataFrame:
-    """Mean of a region's value over the distinct days a track touches, half-even integer, with the number of days."""
-    days = track_days.select(key, "d").distinct()
-    counts = days.groupBy(key).agg(F.count("*").alias("n_days"))
-    means = days.join(daily, "d").groupBy(key, "slug").agg(F.rint(F.avg("value")).cast("long").alias("mean"))
-    # the full table of tracks by regions is the result; the list of regions, bounded, goes to every task
-    listed = daily.select("slug").distinct().agg(F.collect_list("slug").alias("slugs"))
-    some = F.when(F.size("slugs") <= MAX_REGIONS, F.col("slugs")).otherwise(F.raise_error(F.lit("too many regions")).cast("array<string>"))
-    grid = counts.crossJoin(F.broadcast(listed.select(some.alias("slugs")))).select(key, "n_days", F.explode("slugs").alias("slug"))
-    return grid.join(means, [key, "slug"], "left").select(key, "slug", "n_days", F.coalesce("mean", F.lit(-1)).alias("mean"))
+    """Mean of a region's value over the distinct days a track touches, half-even integer, with the number of days; -1 where
+    no day has a value. Days are numbers or dates; ``daily`` has a row a region and day.
+
+    Days are put together into spans, and a span's sum is the difference of two prefix sums: two look-ups a span for all
+    regions at once, however many days it has. Sums are of doubles, so a mean may differ in its last binary digits from one
+    that adds its days alone."""
+    spans, sums = day_spans(track_days, key), prefix_sums(daily)
+    ends = sums.agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    kept = spans.crossJoin(F.broadcast(ends)).select(  # ends are one row
+        key, (F.col("last") - F.col("first") + 1).alias("days"), *(F.greatest("low", F.least("high", d)).alias(c) for c, d in (("before", F.col("first") - 1), ("upto", F.col("last"))))
+    )
+    at = lambda c: sums.select(F.col("day").alias(c), F.col("up").alias(f"{c}_sums"))
+    met = kept.join(at("upto"), "upto").join(at("before"), "before")
+    parts = F.zip_with("upto_sums", "before_sums", lambda x, y: F.struct(x["slug"].alias("slug"), (x["s"] - y["s"]).alias("s"), (x["n"] - y["n"]).alias("n")))
+    out = met.select(key, "days", F.explode(parts).alias("p")).groupBy(key, F.col("p.slug").alias("slug")).agg(F.sum("days").alias("n_days"), F.sum("p.s").alias("s"), F.sum("p.n").alias("n"))
+    return out.select(key, "slug", "n_days", F.when(F.col("n") > 0, F.rint(F.col("s") / F.col("n")).cast("long")).otherwise(-1).alias("mean"))
 
 
 def top_region(means: DataFrame, key: str = "track_id") -> DataFrame:
