@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.functions import columns as fc
-from trackengine.operators import climatology, cohort, composites, kinematics, ranks, regions, spatial, summary
+from trackengine.operators import bitmaps, climatology, cohort, composites, kinematics, ranks, regions, spatial, summary
 from trackengine.plans import fixtures
 from trackengine.plans.registry import query
 from trackengine.plans.track_queries import FIX, SYS, pct_sql, r, stepped, steps_sql, systems
@@ -60,6 +60,54 @@ def s05_track_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.track_density(stepped(spark, sf_dir))
 
 
+#: Sets of months that densities are asked for.
+_MONTH_SETS = ((1,), (2, 3), (1, 2), (3, 4, 5), tuple(range(1, 13)))
+_SHIFTED = f"""{steps_sql()}, sh as (select *, cast(month(make_timestamp((h + 672*(track_id % 5))*3600000000)) as int) as m1 from steps),
+sj as (select *, lag(lat) over w as lat0, lag(lon) over w as lon0, lag(m1) over w as m0 from sh window w as (partition by track_id order by idx)),
+ms as (select unnest([{', '.join(f"'{','.join(map(str, m))}'" for m in _MONTH_SETS)}]) as months, unnest([{', '.join(str(list(m)) for m in _MONTH_SETS)}]) as ml)"""
+
+
+def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of tracks that begin in January to May; some last over the end of a month."""
+    later = F.expr("time + make_dt_interval(cast(28 * (track_id % 5) as int))")
+    return stepped(spark, sf_dir).withColumn("time", later).withColumn("track_no", F.col("track_id"))
+
+
+@query(
+    f"""with {_SHIFTED}, n as (select months, sj.*, case when lat0 is null or not list_contains(ml, m0) then 0 else greatest(1, cast(ceil(greatest(abs(lat-lat0), abs(lon-lon0))/0.5e0) as bigint)) end as n from sj join ms on list_contains(ml, m1)),
+k as (select *, unnest(range(0, n + 1)) as k from n), few as (select track_id from fixes group by 1 having max(wind) > 15),
+c as (select distinct months, track_id, cast(floor((case when n > 0 then lon0+(lon-lon0)*(k/cast(n as double)) else lon end)/0.5e0) as bigint) as cell_x, cast(floor((case when n > 0 then lat0+(lat-lat0)*(k/cast(n as double)) else lat end)/0.5e0) as bigint) as cell_y from k)
+select months, 'all' as cohort, cell_x, cell_y, count(*) as n_tracks from c group by 1, 3, 4
+union all select months, 'strong', cell_x, cell_y, count(*) from c where track_id in (select track_id from few) group by 1, 3, 4"""
+)
+def s05_density_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities of five sets of months and two cohorts, from bitmaps of one pass over the points."""
+    points, path, out = _shifted(spark, sf_dir), scratch.new_path(spark, "bitmaps"), None
+    bitmaps.density_bitmaps(points).write.parquet(path)
+    made = spark.read.parquet(path)
+    few = bitmaps.cohort_bitmap(points.groupBy("track_no").agg(F.max("wind").alias("w")).filter("w > 15"))
+    for months in _MONTH_SETS:
+        for name, cohort in (("all", None), ("strong", few)):
+            one = bitmaps.density_of(made, months, cohort).select(F.lit(",".join(map(str, months))).alias("months"), F.lit(name).alias("cohort"), "cell_x", "cell_y", "n_tracks")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    f"""with {_SHIFTED} select months, count(*) as n_points, min(lon) as min_lon, max(lon) as max_lon, min(lat) as min_lat, max(lat) as max_lat
+from sj join ms on list_contains(ml, m1) where track_id in (select track_id from fixes group by 1 having max(wind) > 15) group by 1"""
+)
+def s08_s09_visible_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible points and their bounds for each set of months, from one summary a track and month."""
+    points, path, out = _shifted(spark, sf_dir), scratch.new_path(spark, "months"), None
+    bitmaps.month_summaries(points).write.parquet(path)
+    few = points.groupBy("track_id").agg(F.max("wind").alias("w")).filter("w > 15")
+    for months in _MONTH_SETS:
+        one = bitmaps.visible(spark.read.parquet(path), months, few).select(F.lit(",".join(map(str, months))).alias("months"), "n_points", "min_lon", "max_lon", "min_lat", "max_lat")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"with {FIX}, {_STARTS} select cast(floor(lon/0.5e0) as bigint) as cell_x, cast(floor(lat/0.5e0) as bigint) as cell_y, count(*) as n from starts group by 1, 2")
 def s06_genesis_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.genesis_grid(starts(spark, sf_dir))
