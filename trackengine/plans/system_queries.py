@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.functions import columns as fc
-from trackengine.operators import bitmaps, climatology, cohort, composites, kinematics, ranks, regions, spatial, summary
+from trackengine.operators import bitmaps, climatology, cohort, composites, cover, kinematics, ranks, regions, spatial, summary
 from trackengine.plans import fixtures
 from trackengine.plans.registry import query
 from trackengine.plans.track_queries import FIX, SYS, pct_sql, r, stepped, steps_sql, systems
@@ -21,6 +21,13 @@ def s01_points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.points_in_polygons(fixtures.fixes(spark, sf_dir), fixtures.edges(spark, sf_dir), "event_id")
 
 
+@query(f"with {_IN} select event_id, region from hits")
+def s01_points_in_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same points by a hierarchical cover of the regions."""
+    made = cover.cover(fixtures.edges(spark, sf_dir))
+    return cover.points_in_cover(fixtures.fixes(spark, sf_dir), made, "event_id")
+
+
 _STARTS = "starts as (select track_id, arg_min(event_id, h) as event_id, arg_min(lat, h) as lat, arg_min(lon, h) as lon, min(h) as start_hour from fixes group by 1)"
 
 
