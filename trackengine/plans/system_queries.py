@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.functions import columns as fc
-from trackengine.operators import bitmaps, climatology, cohort, composites, cover, kinematics, ranks, regions, spatial, summary
+from trackengine.operators import bitmaps, climatology, cohort, composites, cover, kinematics, ranks, regions, search_index, sketches, spatial, summary
 from trackengine.plans import fixtures
 from trackengine.plans.registry import query
 from trackengine.plans.track_queries import FIX, SYS, pct_sql, r, stepped, steps_sql, systems
@@ -365,6 +365,37 @@ def c11_value_at_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("track_id", F.col("target").cast("long").alias("target"), F.col("hour").cast("long").alias("hour"), "value")
 
 
+#: What the labels of systems are searched for, besides each system's own label of one in 300.
+_SOUGHT = ("scs 1997 1", "vscs", "l 1995", "s49", "lps 77", "1998-08-02", "99 10", "zzz", "7", "", "d 2001 3", "event", " ", "dd 1996 12", "1996-02-29", "track 150", "0")
+_TEXTS = """sought as (select unnest([{0}]) as sought union select lower(label) from labelled where id % 300 = 7),
+texts as (select id, lower(concat_ws(' ', {1}, cast(start_date as varchar), cast(start_year as varchar), label, sid)) as text from labelled)""".format(
+    ", ".join(f"'{s}'" for s in _SOUGHT), ", ".join(f"'{n}' || id" for n in cohort.ID_NAMES)
+)
+
+
+@query(f"with {_COHORT}, {_TEXTS} select sought, id from sought join texts on contains(text, sought)")
+def f10_f11_trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring search by an index of trigrams, short texts by a scan."""
+    rows = labelled_systems(spark, sf_dir)
+    index = search_index.TrigramIndex.build(rows.select("id", cohort.search_text().alias("text")), scratch.new_path(spark, "trigrams"), "id", "text")
+    labels = [r["s"] for r in rows.filter("id % 300 = 7").select(F.lower("label").alias("s")).distinct().collect()]
+    return index.find([*_SOUGHT, *labels]).select("sought", F.col("key").alias("id"))
+
+
+@query(
+    """with y as (select o_orderkey, o_custkey, year(cast(o_orderdate as date)) as year from orders), e as (select count(distinct o_orderkey) as a, count(distinct o_custkey) as b from y)
+select 'o_orderkey' as "column", a as exact, true as within from e union all select 'o_custkey', b, true from e"""
+)
+def q04_q15_distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts from sketches of years, the last one added later, against exact ones."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    path, columns = scratch.new_path(spark, "sketches"), ["o_orderkey", "o_custkey"]
+    last = F.col("year") >= 1998
+    sketches.add(spark, path, orders.filter(~last), "year", columns)
+    sketches.add(spark, path, orders.filter(last), "year", columns)
+    return sketches.count_gate(sketches.distinct_counts(spark, path, columns), sketches.exact_counts(orders, columns), columns)
+
+
 # --- regional series
 _RAIN = f"rain as ({fixtures.REGION_RAIN})"
 _MEMBERS = "members as (select 's_' || cast(floor(n_nationkey/2) as int) as slug, n_nationkey as series, 1 + n_nationkey%4 as weight from nation)"
