@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from trackengine.operators import package
+from trackengine.operators import export, package
 from trackengine.sources import digests, scratch
 
 
@@ -106,3 +106,13 @@ def test_no_rows_and_no_package(spark, lines, tmp_path):
         package.read_package(spark, path)
     assert package.write_package(lines.limit(0), path, "part", ["id"]).collect() == []
     assert package.read_package(spark, path).collect() == []
+
+
+@pytest.mark.parametrize(("name", "version"), [("lps_v5.4.2_lps_core.parquet", "v5.4.2"), ("lps_v5.4..2.parquet", "v5.4"), ("lps_v1.1/lps_x_lps_v2.0-a_lps_v3.0", "v2.0"), ("lps_v1.1/other.parquet", None), ("lps_v7", None), ("lps_v5.x", None)])
+def test_version_of_a_file_name(spark, name, version):
+    row = spark.createDataFrame([(name,)], "n string").select(export.catalogue_version(F.col("n")).alias("v"))
+    if version is None:
+        with pytest.raises(Exception, match="no catalogue version"):
+            row.collect()
+    else:
+        assert row.first()["v"] == version

@@ -79,14 +79,13 @@ def query_recipe(cohort: DataFrame, filters: dict, source_hash: str, key: str =
 
 
 def catalogue_version(name: Column, explicit: str | None = None) -> Column:
-    """The version, such as ``v1.2.3``, that follows ``NAME_PREFIX`` in a file name, or the explicit one, its ``v`` added if it
-    lacks. A name without a version fails the query."""
+    """The first version, such as ``v1.2.3``, that directly follows ``NAME_PREFIX`` in the file name of a path, or the explicit
+    one, its ``v`` added if it lacks. A name without a version fails the query."""
     if explicit:
         return F.lit("v" + explicit.removeprefix("v"))
-    rest = F.substring_index(name, NAME_PREFIX, -1)
-    numbers = F.split(F.regexp_extract(rest, "^v([0-9.]*[0-9])", 1), "[.]")
-    known = name.contains(NAME_PREFIX) & (F.size(numbers) > 1) & ~F.array_contains(numbers, "")
-    return F.when(known, F.concat(F.lit("v"), F.array_join(numbers, "."))).otherwise(F.raise_error(F.concat(F.lit("no catalogue version in the name "), name)).cast("string"))
+    after = F.slice(F.split(F.substring_index(name, "/", -1), NAME_PREFIX), 2, 1_000)
+    found = F.filter(F.transform(after, lambda part: F.regexp_extract(part, "^v[0-9]+([.][0-9]+)+", 0)), lambda v: v != "")
+    return F.when(F.size(found) > 0, F.get(found, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("no catalogue version in the name "), name)).cast("string"))
 
 
 def write_documents(nested: DataFrame, path: str, partition: str | None = None) -> None:

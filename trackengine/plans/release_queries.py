@@ -108,13 +108,14 @@ def q14_region_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {MATCH}, {_RAIN}, {_MEMBERS}, {_DAILY}, {_MEANS}, n as (select m.*, name from matches m join heads using (sid))
-select (select count(distinct user_id) from fixes) as tracks, (select count(distinct track_id) from fixes) as segments, (select count(*) from fixes) as rows, (select count(*) from fixes) as observed_rows, 0 as posterior_rows,
-0 as duplicates, (select cast(sum(n) as bigint) from (select count(distinct track_id) - 1 as n from fixes group by user_id)) as splits, (select count(*) from matches) as matched,
+    f"""with {MATCH}, {_RAIN}, {_MEMBERS}, {_DAILY}, {_MEANS}, n as (select m.*, name from matches m join heads using (sid)), twice as (select event_id from fixes union all select event_id from fixes where event_id % 45 = 0)
+select (select count(distinct user_id) from fixes) as tracks, (select count(distinct track_id) from fixes) as segments, (select count(*) from twice) as rows, (select count(*) from twice where event_id % 9 <> 0) as observed_rows, (select count(*) from twice where event_id % 9 = 0) as posterior_rows,
+(select count(*) from fixes where event_id % 45 = 0) as duplicates, (select cast(sum(n) as bigint) from (select count(distinct track_id) - 1 as n from fixes group by user_id)) as splits, (select count(*) from matches) as matched,
 (select count(*) from n where confidence <> 'low' and name <> 'UNNAMED') as named, (select count(distinct slug) from means) as regions, (select count(distinct track_id) from means where mean >= 0) as tracks_with_rain"""
 )
 def q15_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = fixtures.fixes(spark, sf_dir).withColumn("observed", F.lit(True))
+    points = fixtures.fixes(spark, sf_dir).withColumn("observed", F.col("event_id") % 9 != 0)
+    points = points.unionByName(points.filter("event_id % 45 = 0"))
     names = headers(spark, sf_dir).select("sid", fc.display_name(F.col("name")).alias("display"))
     tracks = points.groupBy("user_id").agg((F.count_distinct("track_id") - 1).alias("break_count"))
     means = regions.event_region_mean(points.select("track_id", F.dayofmonth("time").alias("d")), _daily(spark, sf_dir))
@@ -148,6 +149,33 @@ def r06_q02_release_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.document_gate(export.read_documents(spark, paths, schema, lines=True), "release/1", "1.2.3")
 
 
+_PUBLISHED = {
+    "manifest_schema": "0", "metadata_version": "0", "metadata_gates": "0", "qa_status": "0", "audit_status": "(select cast(count(*) > 0 as int) from orders where o_custkey % 2 = 0)",
+    "amendment_changes": "(select cast(count(*) > count(distinct o_custkey) as int) from orders)", "crosswalk_schema": "0", "crosswalk_version": "1", "digests_differ": "(select cast(count(*) <> count(distinct o_custkey) as int) from orders)",
+}
+
+
+@query(" union all ".join(_gate(n, v) for n, v in _PUBLISHED.items()))
+def q02_published_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a release's six documents, made from all orders, each into a folder of its own, reads them by path and holds them together."""
+    facts = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("m"), F.count_if(F.col("o_custkey") % 2 == 0).alias("even"))
+    digest = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("sha256")
+    documents = {
+        "manifest": [F.lit("m-1").alias("schema"), F.struct(F.col("n").alias("rows"), digest("n")).alias("catalogue")],
+        "metadata": [F.lit("1.2.3").alias("version"), F.struct((F.col("n") > 0).alias("all_release_gates_passed")).alias("qa"), digest("m")],
+        "qa": [F.when(F.col("n") >= F.col("m"), "pass").otherwise("fail").alias("status")],
+        "audit": [F.when(F.col("even") == 0, "pass").otherwise("open").alias("status")],
+        "amendment": [F.lit(False).alias("scientific_change"), (F.col("n") > F.col("m")).alias("catalogue_changed")],
+        "crosswalk": [F.lit("x-1").alias("schema"), F.lit("v1.2.2").alias("catalogue_version")],
+    }
+    read = []
+    for name, columns in documents.items():
+        path, rows = scratch.new_path(spark, name), facts.select(*columns)
+        rows.coalesce(1).write.json(path)
+        read.append(export.read_documents(spark, [path], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)))
+    return gates.published_gate(*read, {"manifest": "m-1", "crosswalk": "x-1"}, "v1.2.3")
+
+
 _LINE = "c_custkey || ':' || c_nationkey"
 
 
@@ -229,9 +257,11 @@ def d12_path_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.low_tail(release.path_efficiency(stepped(spark, sf_dir))).withColumn("rate", F.bround("rate", 6))
 
 
-@query(f"with {GAPS} {_gate('lat', '0')} union all {_gate('wind', '(select count(*) from filled)')} union all {_gate('category', '(select count(*) from filled)')}")
+@query(f"with {GAPS} {_gate('lat', '(select count(*) from full_ where h % 83 = 0)')} union all {_gate('wind', '(select count(*) from filled)')} union all {_gate('category', '(select count(*) from filled)')}")
 def d13_required_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.null_gate(full_series(spark, sf_dir), ["lat", "wind", "category"])
+    hour = F.rint(fc.epoch_hours(F.col("time"))).cast("long")
+    rows = full_series(spark, sf_dir).withColumn("lat", F.when(hour % 83 != 0, F.col("lat")))
+    return gates.null_gate(rows, ["lat", "wind", "category"])
 
 
 _UID = "case when event_id % 30 = 0 then null when event_id % 31 = 0 then event_id + 1 else event_id end"
@@ -319,8 +349,14 @@ def d19_release_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.compare_releases(measure(fixtures.fixes(spark, sf_dir), "track_id"), measure(new_release(spark, sf_dir), "nid"))
 
 
-_STAGE = "select 'blocks' as stage, (select count(*) from decided) as inputs, (select count(*) from decided where keep) as selected, (select count(*) from decided where not keep) as rejected, true as passed"
-_RECON = f"with {GAPS}, g as (select d.keep from filled f join decided d on d.track_id = f.track_id and d.block = f.block) {_STAGE} union all select 'rows', (select count(*) from filled), (select count(*) from g where keep), (select count(*) from g where not keep), true"
+_STAGES = {
+    "blocks": ("(select count(*) from decided)", "(select count(*) from decided where keep)", "(select count(*) from decided where not keep)"),
+    "rows": ("(select count(*) from filled)", "(select count(*) from g where keep)", "(select count(*) from g where not keep)"),
+    "published": ("(select count(*) from filled)", "(select count(*) from g where keep and k % 90 <> 7)", "(select count(*) from g where not keep)"),
+}
+_RECON = f"with {GAPS}, g as (select f.k, d.keep from filled f join decided d on d.track_id = f.track_id and d.block = f.block) " + " union all ".join(
+    f"select '{n}' as stage, {i} as inputs, {a} as selected, {b} as rejected, {i} = {a} + {b} as passed" for n, (i, a, b) in _STAGES.items()
+)
 
 
 @query(_RECON)
@@ -329,7 +365,7 @@ def d20_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = gaps.gap_decision(rows)
     kept = gaps.kept_rows(rows, judged)
     dropped = rows.join(judged.filter(~F.col("keep")).select("track_id", "block"), ["track_id", "block"], "left_semi")
-    return release.reconcile({"blocks": (judged, judged.filter("keep"), judged.filter(~F.col("keep"))), "rows": (rows, kept, dropped)})
+    return release.reconcile({"blocks": (judged, judged.filter("keep"), judged.filter(~F.col("keep"))), "rows": (rows, kept, dropped), "published": (rows, kept.filter("k % 90 <> 7"), dropped)})
 
 
 @query(f"with {GAPS}, n as (select count(*) as c from filled) select case when c > 0 then 1 else 3 end as passed, 3 as total, case when c > 0 then 'fail' else 'pass' end as status from n")
@@ -343,12 +379,12 @@ def d22_family_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {GAPS}, j as (select f.*, d.keep, d.longest_bad from filled f join decided d on d.track_id = f.track_id and d.block = f.block), x as (select count(*) filter (k % 50 = 0) as a, count(*) filter (k % 40 = 0) as m, count(*) filter (not keep) as r, count(*) filter (longest_bad > 4 and missing > 6) as l from j)
-select 'without_audit_id' as "check", a = 0 as passed, a as value, 0 as expected from x union all select 'method_not_allowed', m = 0, m, 0 from x union all select 'incomplete_fields', true, 0, 0 union all select 'in_rejected_block', r = 0, r, 0 from x union all select 'long_unsupported_run', l = 0, l, 0 from x"""
+    f"""with {GAPS}, j as (select f.*, d.keep, d.longest_bad from filled f join decided d on d.track_id = f.track_id and d.block = f.block), x as (select count(*) filter (k % 50 = 0) as a, count(*) filter (k % 40 = 0) as m, count(*) filter (not keep) as r, count(*) filter (longest_bad > 4 and missing > 6) as l, count(*) filter (k % 60 = 7) as n from j)
+select 'without_audit_id' as "check", a = 0 as passed, a as value, 0 as expected from x union all select 'method_not_allowed', m = 0, m, 0 from x union all select 'incomplete_fields', n = 0, n, 0 from x union all select 'in_rejected_block', r = 0, r, 0 from x union all select 'long_unsupported_run', l = 0, l, 0 from x"""
 )
 def d23_gap_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filled(spark, sf_dir)
-    marked = rows.withColumns({"audit_id": F.when(F.col("k") % 50 != 0, F.col("block")), "method": F.when(F.col("k") % 40 == 0, "guess").otherwise("linear")})
+    marked = rows.withColumns({"audit_id": F.when(F.col("k") % 50 != 0, F.col("block")), "method": F.when(F.col("k") % 40 == 0, "guess").otherwise("linear"), "vort": F.when(F.col("k") % 60 != 7, F.col("vort"))})
     return gates.gap_contract(marked, gaps.gap_decision(rows), ("linear",), ["lat", "lon", "vort", "deficit"], gaps.RUN_H)
 
 
@@ -435,8 +471,9 @@ def e10_query_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s_suppkey, 'v' || s_suppkey || '.' || (s_nationkey % 7) || case when s_suppkey % 2 = 0 then '.1' else '' end as version from supplier")
 def e11_catalogue_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.concat_ws(".", "s_suppkey", F.col("s_nationkey") % 7, F.when(F.col("s_suppkey") % 2 == 0, "1"))
-    name = F.concat(F.lit("lps_data/lps_v"), number, F.when(F.col("s_suppkey") % 3 == 0, "-era5").otherwise("_core"), F.lit(".parquet"))
+    number = F.concat(F.lit("lps_v"), F.concat_ws(".", "s_suppkey", F.col("s_nationkey") % 7, F.when(F.col("s_suppkey") % 2 == 0, "1")))
+    shapes = [("lps_data/", "-era5.parquet"), ("lps_v9.9/", "_core.parquet"), ("", "_lps_core.parquet"), ("a/old_lps_x_", "..2_lps_v8.8.parquet"), ("lps_v/lps_vx_", "")]
+    name = F.get(F.array(*(F.concat(F.lit(before), number, F.lit(after)) for before, after in shapes)), F.col("s_suppkey") % len(shapes))
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", export.catalogue_version(name).alias("version"))
 
 
