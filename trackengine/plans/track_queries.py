@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.functions.columns import epoch_hours
-from trackengine.operators import gaps, kinematics, ranks, strength, summary
+from trackengine.operators import gaps, kinematics, order_runs, ranks, strength, summary
 from trackengine.plans import fixtures
 from trackengine.plans.registry import query
+from trackengine.sources import scratch
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -362,3 +363,22 @@ def w07_top_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {SYS} select id, metric, row_number() over (order by metric desc, id) as rank from systems qualify rank <= 50")
 def w08_rank_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.rank_listing(systems(spark, sf_dir), "metric").select("id", "metric", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""with {SYS}, kept as (select id, case when id % 9 = 2 then metric * 0.5e0 else metric end as metric from systems where id % 7 <> 3),
+p as (select id, metric, rank() over (order by metric) as k, count(*) over (partition by metric) as ties, count(*) over () as n from kept)
+select id, cast(round_even(100.0*(k + (ties - 1)/cast(2 as double))/n, 0) as bigint) as metric_pct from p"""
+)
+def w01_ranks_after_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks after three releases that add, remove and change systems, from runs of counts."""
+    rows = systems(spark, sf_dir).select("id", "metric")
+    half = F.when(F.col("id") % 9 == 2, F.col("metric") * F.lit(0.5)).otherwise(F.col("metric"))
+    first = rows.filter("id % 4 <> 0")
+    runs = order_runs.OrderRuns.create(first, scratch.new_path(spark, "order"), "metric")
+    runs.apply(rows.filter("id % 4 = 0"), rows.filter("id % 4 <> 0 and id % 7 = 3"), "metric")
+    runs.apply(rows.limit(0), rows.filter("id % 4 = 0 and id % 7 = 3"), "metric")
+    kept = rows.filter("id % 7 <> 3")
+    changed = kept.filter("id % 9 = 2")
+    runs.apply(changed.withColumn("metric", half), changed, "metric")
+    return runs.rank_rows(kept.withColumn("metric", half), "metric", "metric_pct").select("id", F.col("metric_pct").cast("long").alias("metric_pct"))
