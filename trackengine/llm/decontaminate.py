@@ -15,7 +15,6 @@ judged one by one. Only ``doc_id``/``text`` and ``item_id``/``text`` are read, s
 
 from __future__ import annotations
 
-from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -28,10 +27,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 from trackengine.llm.common import HASHES, Workspace, alnum_words, filter_batches, map_batches, ngrams, slices, texts, whole_rows
 
 WINDOW, SHINGLE = 10, 3
-#: Words of the largest benchmark whose index is broadcast (some 100 bytes a word).
+#: Words of the largest benchmark whose index is broadcast (at most some 180 bytes a word in each worker).
 BROADCAST_WORDS = 500_000
 #: Bytes of all texts with a word and their ids in such a benchmark.
 BROADCAST_BYTES = 32 << 20
+#: Candidate windows of a document that are compared at a time (those of one place together).
+CANDIDATES = 1_000_000
 OUT = "array<struct<start:int,`end`:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -48,24 +49,80 @@ def _shingles(words: np.ndarray, size: int, base: int) -> np.ndarray:
     return np.where(known, key, -1)
 
 
+def _runs(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows ``which`` of a table whose row k lies at ``at[k]`` to ``at[k + 1]``: the positions of all their entries,
+    and for each the place in ``which`` that it belongs to."""
+    sizes = at[which + 1] - at[which]
+    owner = np.repeat(np.arange(len(which)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + at[which][owner], owner
+
+
 class Index:
-    """Windows of a benchmark, found by their rarest shingle."""
+    """Windows of a benchmark, found by their rarest shingle.
+
+    The items' words stand in one flat array of word numbers. A window is a place and a length in it, the first of equal
+    windows; its items, and the windows of a shingle, are rows of offsets and entries."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        items = [(item, words) for item, words in items if words]
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, words in items:
-            ids = [self.number.setdefault(w, len(self.number)) for w in words]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[k : k + window])].add(item)
+        self.words = np.fromiter((self.number.setdefault(w, len(self.number)) for _, words in items for w in words), np.int32)
         self.base = len(self.number) + 1
-        self.windows = [np.array(w, np.int64) for w in owners]
-        self.items = [sorted(x) for x in owners.values()]
+        self.names = sorted({item for item, _ in items})
+        named = {item: k for k, item in enumerate(self.names)}
+        item = np.fromiter((named[i] for i, _ in items), np.int64, len(items))
+        sizes = np.fromiter((len(words) for _, words in items), np.int64, len(items))
+
+        # every place where a window begins, and the windows of each length told apart
+        item_of = np.repeat(np.arange(len(items)), np.maximum(sizes - window, 0) + 1)
+        first = np.cumsum(np.maximum(sizes - window, 0) + 1) - np.maximum(sizes - window, 0) - 1
+        at = (np.cumsum(sizes) - sizes)[item_of] + np.arange(len(item_of)) - first[item_of]
+        lengths = np.minimum(sizes, window)[item_of]
+        starts, taken, pairs, known = [], [], [], 0
+        for length in np.unique(lengths).tolist():
+            chosen = np.flatnonzero(lengths == length)
+            _, begins, same = np.unique(self._names_of(at[chosen], length), return_index=True, return_inverse=True)
+            starts.append(at[chosen][begins])
+            taken.append(np.full(len(begins), length))
+            pairs.append((known + same) * len(self.names) + item[item_of[chosen]])
+            known += len(begins)
+        none = [np.empty(0, np.int64)]
+        self.start = np.concatenate(none + starts).astype(np.int32)
+        self.length = np.concatenate(none + taken).astype(np.int32)
+        owned = np.unique(np.concatenate(none + pairs))
+        self.owner = (owned % max(1, len(self.names))).astype(np.int32)
+        self.owner_at = np.searchsorted(owned, np.arange(known + 1) * len(self.names))
+
         #: of windows, by shingle size (smaller than SHINGLE only for items that short)
-        self.sizes = sorted({min(SHINGLE, len(w)) for w in self.windows})
-        self.keys = {s: np.unique(np.concatenate([_shingles(w, s, self.base) for w in self.windows if min(SHINGLE, len(w)) == s])) for s in self.sizes}
-        self.prefix: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.sizes = np.unique(np.minimum(SHINGLE, self.length)).tolist()
+        self.keys = {s: np.unique(np.concatenate([self._keys_of(*group) for group in self._groups(s)])) for s in self.sizes}
         self.prefix_keys: dict[int, np.ndarray] = {}
+        self.prefix_at: dict[int, np.ndarray] = {}
+        self.prefix_window: dict[int, np.ndarray] = {}
+        self.prefix_offset: dict[int, np.ndarray] = {}
+
+    def _names_of(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Numbers of the ``length`` words from each place, equal just where the words are: numbers of 1, 2, 4, ... words are
+        made of pairs of numbers of half as many; two that overlap make any other length."""
+        names, span = self.words.astype(np.int64), 1
+        paired = lambda a, b: a * (int(b.max(initial=0)) + 1) + b
+        while 2 * span <= length:
+            names = np.unique(paired(names, np.append(names[span:], np.zeros(span, np.int64))), return_inverse=True)[1]
+            span *= 2
+        return paired(names[at], names[at + length - span])
+
+    def _groups(self, size: int) -> list[tuple[np.ndarray, int, int]]:
+        """Windows of each length that has shingles of the size: their numbers, how many shingles they have, the size."""
+        lengths = np.unique(self.length).tolist()
+        return [(np.flatnonzero(self.length == n), n - size + 1, size) for n in lengths if min(SHINGLE, n) == size]
+
+    def _keys_of(self, windows: np.ndarray, count: int, size: int) -> np.ndarray:
+        """Keys of the shingles of windows of one length, a row each."""
+        places = self.start[windows].astype(np.int64)[:, None] + np.arange(count)
+        key = self.words[places].astype(np.int64)
+        for k in range(1, size):
+            key = key * self.base + self.words[places + k]
+        return key.ravel()
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
@@ -79,33 +136,55 @@ class Index:
         return at[same], found[same]
 
     def order(self, frequency: dict[int, np.ndarray]) -> None:
-        """Picks each window's rarest shingle (ties: the smaller key, then the first place)."""
-        for number, words in enumerate(self.windows):
-            size = min(SHINGLE, len(words))
-            keys = _shingles(words, size, self.base)
-            rank = frequency[size][np.searchsorted(self.keys[size], keys)]
-            first = min(range(len(keys)), key=lambda k: (rank[k], keys[k], k))
-            self.prefix.setdefault((size, int(keys[first])), []).append((number, first))
+        """Picks each window's rarest shingle (ties: the smaller key, then the first place). Keys are not needed after that."""
         for size in self.sizes:
-            self.prefix_keys[size] = np.array(sorted(k for s, k in self.prefix if s == size), np.int64)
+            keys = self.keys[size]
+            order = np.lexsort((keys, frequency[size]))
+            rank = np.empty(len(keys), np.int64)
+            rank[order] = np.arange(len(keys))
+            chosen = []
+            for windows, count, _ in self._groups(size):
+                ranks = rank[np.searchsorted(keys, self._keys_of(windows, count, size))].reshape(-1, count)
+                offset = ranks.argmin(axis=1)
+                chosen.append((windows, offset, order[ranks[np.arange(len(windows)), offset]]))
+            windows, offset, key = (np.concatenate(x) for x in zip(*chosen, strict=True))
+            by_key = np.argsort(key, kind="stable")
+            used = np.unique(key)
+            self.prefix_keys[size] = keys[used]
+            self.prefix_at[size] = np.append(np.searchsorted(key[by_key], used), len(key))
+            self.prefix_window[size], self.prefix_offset[size] = windows[by_key].astype(np.int32), offset[by_key].astype(np.int32)
+        self.keys = {}
 
     def hits(self, words: list[bytes]) -> tuple[list[dict[str, int]], list[str]]:
         """Ranges of hit words and the items whose windows occur."""
         doc = self.numbers(words)
-        hit, found = None, set()
+        edges, found = None, []
         for size in self.sizes:
-            sought = self.prefix_keys[size]
-            for place, k in zip(*self.places(_shingles(doc, size, self.base), sought), strict=True):
-                for number, offset in self.prefix[size, int(sought[k])]:
-                    window, start = self.windows[number], place - offset
-                    if start >= 0 and start + len(window) <= len(doc) and np.array_equal(doc[start : start + len(window)], window):
-                        hit = np.zeros(len(doc) + 2, np.int8) if hit is None else hit
-                        hit[start + 1 : start + len(window) + 1] = 1
-                        found.update(self.items[number])
-        if hit is None:
+            at, key = self.places(_shingles(doc, size, self.base), self.prefix_keys[size])
+            made = np.cumsum(np.diff(self.prefix_at[size])[key])
+            cuts = np.searchsorted(made, np.arange(CANDIDATES, made[-1], CANDIDATES), "right") if len(made) else []
+            for places, keys in zip(np.split(at, cuts), np.split(key, cuts), strict=True):
+                entries, owner = _runs(self.prefix_at[size], keys)
+                window, start = self.prefix_window[size][entries], places[owner] - self.prefix_offset[size][entries]
+                for k in range(-1, int(self.length[window].max(initial=0))):  # first the bounds, then word by word
+                    length = self.length[window]
+                    if k < 0:
+                        held = (start >= 0) & (start + length <= len(doc))
+                    else:
+                        held = length <= k
+                        held[~held] = doc[start[~held] + k] == self.words[self.start[window[~held]] + k]
+                    window, start = window[held], start[held]
+                if len(window):
+                    edges = np.zeros(len(doc) + 1, np.int64) if edges is None else edges
+                    np.add.at(edges, start, 1)
+                    np.add.at(edges, start + self.length[window], -1)
+                    found.append(np.unique(window))
+        if edges is None:
             return [], []
-        edge = np.diff(hit)
-        return [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)], sorted(found)
+        edge = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0)
+        items = np.unique(self.owner[_runs(self.owner_at, np.unique(np.concatenate(found)))[0]])
+        spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+        return spans, [self.names[k] for k in items]
 
 
 def _frequencies(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
@@ -224,7 +303,7 @@ def _doc_shingles(rows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def _window_shingles(windows: DataFrame) -> DataFrame:
-    """window, items, and offset, size and key of each shingle of a window."""
+    """id, and offset, size and key of each shingle of a window."""
 
     def make():
         def each(batch: pa.RecordBatch):
@@ -236,45 +315,45 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
                 offsets += range(len(found))
                 sizes += [size] * len(found)
                 keys += found
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(offsets, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())], ["window", "items", "offset", "size", "key"])
+            ids = batch.column("id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(offsets, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())], ["id", "offset", "size", "key"])
 
         return each
 
-    return map_batches(windows.select("window", "items"), make, "window array<string>, items array<string>, offset int, size int, key long")
+    return map_batches(windows.select("id", "window"), make, "id long, offset int, size int, key long")
 
 
 def _verified(met: DataFrame) -> DataFrame:
-    """row, spans and items of documents whose ``found`` (start, window, items) hold windows word by word."""
+    """row, spans and windows' ids of documents whose ``found`` (start, id, window) hold windows word by word."""
 
     def make():
         def each(batch: pa.RecordBatch):
             for piece in slices(batch):
                 out = []
                 for row, text, found in zip(piece.column("row").to_pylist(), texts(piece), piece.column("found").to_pylist(), strict=True):
-                    words, items = alnum_words(text), set()
+                    words, ids = alnum_words(text), set()
                     hit = np.zeros(len(words) + 2, np.int8)
                     for f in found:
                         start, window = f["start"], [w.encode() for w in f["window"]]
                         if words[start : start + len(window)] == window:
                             hit[start + 1 : start + len(window) + 1] = 1
-                            items.update(f["items"])
-                    if items:
+                            ids.add(f["id"])
+                    if ids:
                         edge = np.diff(hit)
-                        out.append((row, [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)], sorted(items)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], _SPANS), pa.array([r[2] for r in out], pa.list_(pa.string()))], ["row", "spans", "items"])
+                        out.append((row, [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)], list(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], _SPANS), pa.array([r[2] for r in out], pa.list_(pa.int64()))], ["row", "spans", "ids"])
 
         return each
 
-    return map_batches(met.select("row", "text", "found"), make, f"row long, spans {OUT}, items array<string>")
+    return map_batches(met.select("row", "text", "found"), make, f"row long, spans {OUT}, ids array<long>")
 
 
 def join_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The same result by shuffle joins, for a benchmark of any size.
 
     Shingles are 64-bit keys. Those of documents meet the benchmark's keys first, so that only what both have goes on; a
-    document's text is joined once, with all its candidate windows. A row number made once and written down tells
-    repeated documents apart."""
+    document's text is joined once, with all its candidate windows. Windows go by ids; the items of those that occur are joined
+    last. A row number made once and written down tells repeated documents apart."""
     spark = docs.sparkSession
     work = Workspace(spark, "decontaminate")
 
@@ -295,16 +374,21 @@ def join_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
         return each
 
     starts = F.expr(f"sequence(0, greatest(0, size(words) - {window}))")
-    windows = map_batches(items, tokens, "item_id string, words array<string>").select("item_id", F.explode(F.transform(starts, lambda k: F.slice("words", k + 1, window))).alias("window"))
-    windows = work.write(windows.groupBy("window").agg(F.collect_set("item_id").alias("items")), "windows")
+    cut = map_batches(items, tokens, "item_id string, words array<string>").select("item_id", F.explode(F.transform(starts, lambda k: F.slice("words", k + 1, window))).alias("window"))
+    cut = work.write(cut, "cut")
+    windows = work.write(cut.select("window").distinct().withColumn("id", F.monotonically_increasing_id()), "windows")
     places = work.write(_window_shingles(windows), "places")
     sizes = [r[0] for r in places.select("size").distinct().collect()]  # at most SHINGLE of them
     shared = work.write(_doc_shingles(rows, sizes).join(places.select("key").distinct(), "key", "left_semi"), "shared")
     seen = shared.groupBy("key", "row").agg(F.first("place")).groupBy("key").agg(F.count("*").alias("df"))
-    rarest = places.join(seen, "key", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "offset")).alias("first"), F.first("items").alias("items"))
-    prefix = work.write(rarest.filter("first.df > 0").select("first.key", "first.offset", "window", "items"), "prefix")
-    met = shared.join(prefix, "key").select("row", (F.col("place") - F.col("offset")).alias("start"), "window", "items").filter("start >= 0")
-    found = work.write(met.groupBy("row").agg(F.collect_list(F.struct("start", "window", "items")).alias("found")), "found")
-    hits = work.write(_verified(rows.select("row", "text").join(found, "row")), "hits")
+    rarest = places.join(seen, "key", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "offset")).alias("first"))
+    prefix = work.write(rarest.filter("first.df > 0").select("first.key", "first.offset", "id").join(windows, "id"), "prefix")
+    met = shared.join(prefix, "key").select("row", (F.col("place") - F.col("offset")).alias("start"), "id", "window").filter("start >= 0")
+    found = work.write(met.groupBy("row").agg(F.collect_list(F.struct("start", "id", "window")).alias("found")), "found")
+    verified = work.write(_verified(rows.select("row", "text").join(found, "row")), "verified")
+    owners = work.write(cut.join(windows, "window").select("id", "item_id").distinct(), "owners")
+    occurring = verified.select("row", F.explode("ids").alias("id")).join(owners, "id").select("row", "item_id").distinct()
+    named = work.write(occurring.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items")), "named")
+    hits = verified.select("row", "spans").join(named, "row")
     out = rows.join(hits, "row", "left")
     return out.select("doc_id", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {OUT})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
