@@ -49,6 +49,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def base_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op5's rules start from, and its base verdict."""
+    counted = quality_rules.base_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -76,6 +82,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's spans of plain texts, without those of decoded layers: a row each, start and end in code points."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", F.explode("spans").alias("s"))
+    return found.filter("s.kind <> 'decoded'").select("doc_id", "s.kind", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
 def _read_back(formatted: DataFrame) -> DataFrame:
     """Digests of turns and of the text under the loss mask, from the formatted text alone."""
 
@@ -138,10 +150,12 @@ def queries() -> dict[str, Query]:
         op3_token_counts,
         op4_benchmark_hits,
         op5_quality_rules,
+        base_text_statistics,
         op6_substring_dedup,
         op7_language_id,
         op8_quality_classifier,
         op9_secret_scan,
+        base_secret_spans,
         op10_chat_format,
         op11_token_alignment,
         op12_embedding_duplicates,
@@ -321,8 +335,45 @@ FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN counted c ON c.a =
 """
 
 
+_BASE_STATISTICS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), each_word AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM w
+), windows AS (SELECT * FROM (SELECT r, k, {'a': word, 'b': lead(word) OVER o, 'c': lead(word, 2) OVER o} AS three, lead(k, 2) OVER o AS last FROM each_word WINDOW o AS (PARTITION BY r ORDER BY k)) WHERE last IS NOT NULL
+), again AS (SELECT r, k FROM windows JOIN (SELECT r, three FROM windows GROUP BY r, three HAVING count(*) > 1) USING (r, three)
+), covered AS (SELECT r, count(DISTINCT k + j) AS n FROM again, (VALUES (0), (1), (2)) AS t(j) GROUP BY r
+), counted AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+"""
+
+def _cut_sql(kind: str, pattern: str, where: str = "true") -> str:
+    """Matches of a pattern; one begins after all pieces and matches before it."""
+    return f"""SELECT doc_id, '{kind}' AS kind, start, start + length(m) AS "end" FROM (
+  SELECT doc_id, found[k] AS m, list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (
+    SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS pieces FROM documents WHERE regexp_matches(text, '{pattern}')))
+) WHERE {where}"""
+
+
+_ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+# a run of 32 or more is the same as a run that has 32 or more
+_BASE_SECRETS = f"""SELECT doc_id, kind, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM (
+{_cut_sql("assign", _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 8")}
+UNION ALL {_cut_sql("access", "AKIA[A-Z0-9]+", "length(m) >= 16")}
+UNION ALL {_cut_sql("hex", "[0-9a-f]{32,}")})"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "base_text_statistics": _BASE_STATISTICS,
+        "base_secret_spans": _BASE_SECRETS,
         "op1_near_duplicates": _OP1,
         "op2_source_mix": _OP2,
         "op4_benchmark_hits": _OP4,
