@@ -1,5 +1,8 @@
 """Which rows near-dedup keeps, whichever way their ids are joined."""
 
+import random
+
+import numpy as np
 import pytest
 
 from trackengine.llm import near_dedup
@@ -17,3 +20,27 @@ def test_one_row_of_an_id_stays(spark, monkeypatch, most):
     assert ("7", 4) in got and ("None", 5) in got and dict(got)["9"] in (6, 7)
     again = near_dedup.deduplicated(spark.createDataFrame(rows[::-1], "doc_id long, text string, n int"), lower_words)
     assert sorted((str(r["doc_id"]), r["n"]) for r in again.collect()) == got
+
+
+def test_blocks_of_a_bucket_meet_each_other_and_themselves(spark, monkeypatch):
+    """Pages of one template, dealt into many small blocks, against all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 32)
+    draw = random.Random(7)
+    rows = [(k, " ".join(f"s{j}w{i}" for j in range(120) if draw.random() < 0.9 for i in range(4))) for k in range(240)]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows for w in [t.split()]}
+    label = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    assert 1 < len(set(label.values())) < 240
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), lower_words, 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == label
+
+
+def test_a_block_meets_itself_once():
+    draw = np.random.default_rng(2)
+    m, n = draw.integers(0, 3, (40, near_dedup.GROUPS)).astype(np.uint8), None
+    n = m.sum(1).astype(np.int64)
+    whole, once = (near_dedup.possible_pairs(m, m, n, n, 45, same) for same in (False, True))
+    assert (np.triu(whole, 1) == once).all() and once.any()

@@ -41,8 +41,9 @@ BASE, Q, _RATE = 1.001, 2**16 - 2, 20.0
 ROWS_IN_BAND = 6
 #: Estimates this many standard deviations below the threshold end a pair.
 DEVIATIONS = 5.0
-#: Hashed groups whose element counts bound intersections, and members of a block.
-GROUPS, BLOCK_ROWS = 256, 128
+#: Hashed groups whose element counts bound intersections, and members of a block (some 300 KB). Blocks are shipped to
+#: all their partners, so what M members ship is some 300 * M * M / BLOCK_ROWS bytes.
+GROUPS, BLOCK_ROWS = 256, 1024
 _LIST = pa.list_(pa.int64())
 
 
@@ -190,12 +191,15 @@ def _matrix(counts: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(c, np.uint8 if len(c) == GROUPS else np.int32).astype(np.int32) for c in counts])
 
 
-def possible_pairs(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Which members of two blocks may be linked: their group counts bound every intersection."""
-    out = np.empty((len(a), len(b)), bool)
+def possible_pairs(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, same: bool = False) -> np.ndarray:
+    """Which members of two blocks may be linked: their group counts bound every intersection. In a block that meets itself
+    (``same``) each two members are held against each other once."""
+    out = np.zeros((len(a), len(b)), bool)
     for k in range(len(a)):
-        most = np.minimum(a[k], b).sum(1, dtype=np.int64)
-        out[k] = 100 * most >= percent * (n_a[k] + n_b - most)
+        at = np.arange(k + 1 if same else 0, len(b))
+        at = at[100 * np.minimum(n_a[k], n_b[at]) >= percent * np.maximum(n_a[k], n_b[at])]  # sizes alone bound them too
+        most = np.minimum(a[k], b[at]).sum(1, dtype=np.int64)
+        out[k, at] = 100 * most >= percent * (n_a[k] + n_b[at] - most)
     return out
 
 
@@ -220,20 +224,25 @@ def _block_pairs(work: Workspace, members: DataFrame, sets: DataFrame, percent:
     both = both.filter("main_b or length_a < length_b or (length_a = length_b and block_a <= block_b)")
     both = work.write(both.select("key", "main_a", "length_a", "block_a", "main_b", "length_b", "block_b"), "block-pairs")
     held = lambda side: blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in at[1:]), F.col("rows").alias(f"rows_{side}"))
-    met = both.join(held("a"), ["key", "main_a", "length_a", "block_a"]).join(held("b"), ["key", "main_b", "length_b", "block_b"])
+    # a block meets itself where it lies; only other pairs are shipped
+    itself = (F.col("main_a") == F.col("main_b")) & (F.col("length_a") == F.col("length_b")) & (F.col("block_a") == F.col("block_b"))
+    alone = blocks.filter("not main").select(F.col("rows").alias("rows_a"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("rows_b"))
+    met = both.filter(~itself).join(held("a"), ["key", "main_a", "length_a", "block_a"]).join(held("b"), ["key", "main_b", "length_b", "block_b"])
 
     def make():
         def each(batch: pa.RecordBatch):
             for k in range(batch.num_rows):
                 a, b = (batch.column(c)[k].values for c in ("rows_a", "rows_b"))
+                same = b is None
+                b = a if same else b
                 n_a, n_b = (x.field("n").to_numpy(zero_copy_only=False) for x in (a, b))
-                found = possible_pairs(_matrix(a.field("counts").to_pylist()), _matrix(b.field("counts").to_pylist()), n_a, n_b, percent)
+                found = possible_pairs(*(_matrix(x.field("counts").to_pylist()) for x in (a, b)), n_a, n_b, percent, same)
                 i, j = (pa.array(x) for x in np.nonzero(found))
                 yield pa.RecordBatch.from_arrays([a.field("doc_id").take(i), b.field("doc_id").take(j), a.field("component").take(i), b.field("component").take(j)], ["a", "b", "c_a", "c_b"])
 
         return each
 
-    found = map_batches(met.select("rows_a", "rows_b"), make, f"a {kind}, b {kind}, c_a {kind}, c_b {kind}").filter("c_a <> c_b")
+    found = map_batches(met.select("rows_a", "rows_b").unionByName(alone), make, f"a {kind}, b {kind}, c_a {kind}, c_b {kind}").filter("c_a <> c_b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
