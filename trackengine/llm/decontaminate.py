@@ -32,7 +32,7 @@ BROADCAST_WORDS = 500_000
 #: Bytes of all texts with a word and their ids in such a benchmark.
 BROADCAST_BYTES = 32 << 20
 #: Candidate windows of a document that are compared at a time (those of one place together).
-CANDIDATES = 1_000_000
+CANDIDATES = 100_000
 OUT = "array<struct<start:int,`end`:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -161,24 +161,24 @@ class Index:
         edges, found = None, []
         for size in self.sizes:
             at, key = self.places(_shingles(doc, size, self.base), self.prefix_keys[size])
-            made = np.cumsum(np.diff(self.prefix_at[size])[key])
-            cuts = np.searchsorted(made, np.arange(CANDIDATES, made[-1], CANDIDATES), "right") if len(made) else []
-            for places, keys in zip(np.split(at, cuts), np.split(key, cuts), strict=True):
+            if not len(at):
+                continue
+            made = np.cumsum(self.prefix_at[size][key + 1] - self.prefix_at[size][key])
+            cuts = np.searchsorted(made, np.arange(CANDIDATES, made[-1], CANDIDATES), "right")
+            for places, keys in zip(np.split(at, cuts), np.split(key, cuts), strict=True) if len(cuts) else [(at, key)]:
                 entries, owner = _runs(self.prefix_at[size], keys)
                 window, start = self.prefix_window[size][entries], places[owner] - self.prefix_offset[size][entries]
-                for k in range(-1, int(self.length[window].max(initial=0))):  # first the bounds, then word by word
-                    length = self.length[window]
-                    if k < 0:
-                        held = (start >= 0) & (start + length <= len(doc))
-                    else:
-                        held = length <= k
-                        held[~held] = doc[start[~held] + k] == self.words[self.start[window[~held]] + k]
-                    window, start = window[held], start[held]
-                if len(window):
-                    edges = np.zeros(len(doc) + 1, np.int64) if edges is None else edges
-                    np.add.at(edges, start, 1)
-                    np.add.at(edges, start + self.length[window], -1)
-                    found.append(np.unique(window))
+                length = self.length[window]
+                inside = (start >= 0) & (start + length <= len(doc))
+                window, start, length = window[inside], start[inside], length[inside]
+                for n in set(length.tolist()):
+                    of = length == n
+                    alike = (doc[start[of][:, None] + np.arange(n)] == self.words[self.start[window[of]][:, None] + np.arange(n)]).all(1)
+                    if alike.any():
+                        edges = np.zeros(len(doc) + 1, np.int64) if edges is None else edges
+                        np.add.at(edges, start[of][alike], 1)
+                        np.add.at(edges, start[of][alike] + n, -1)
+                        found.append(np.unique(window[of][alike]))
         if edges is None:
             return [], []
         edge = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0)
