@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +331,33 @@ def test_ranks_of_groups_and_nulls(spark):
             place = q * (len(values) - 1)
             low = values[int(place)]
             assert abs(r[name] - (low + (values[min(int(place) + 1, len(values) - 1)] - low) * (place % 1))) < 1e-9
+
+
+def test_gap_decision_sorts_no_filled_rows(spark):
+    """Runs over the edges of what one number holds and hours of unknown support, as counted by hand; no row of an hour is sorted."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for block in range(60):
+        n = int(rng.choice([1, 4, 29, 30, 31, 59, 60, 95]))
+        marks = [{0: False, 1: True, 2: None}[int(v)] for v in rng.choice(3, n, p=[0.75, 0.15, 0.1])]
+        rows += [(1, block, k + 1, n, 7, 1.0, m) for k, m in enumerate(marks)]
+        run = longest = 0
+        for m in marks:
+            run = 0 if m else run + (m is False)
+            longest = max(longest, run)
+        want[block] = (sum(m is True for m in marks), longest)
+    filled = spark.createDataFrame(rows, "track_id long, block long, k long, missing long, h0 long, speed_ms double, supported boolean").repartition(3)
+    out = gaps.gap_decision(filled)
+    assert {r["block"]: (r["n_supported"], r["longest_bad"]) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan.replace("SortAggregate", "Sort").replace("sort_array", "")
+
+
+def test_filled_rows_are_not_sorted_for_joins(spark):
+    """Rows of hours meet blocks and tracks by hash; a persistent class sorts its hours once."""
+    filled = spark.range(20).selectExpr("id % 4 as track_id", "id % 2 as block", "id as k", "id as hour", "true as observed", "1 as category", "1.0 as lat", "id as audit_id", "'linear' as method", "1 as missing")
+    blocks = spark.range(8).selectExpr("id % 4 as track_id", "id % 2 as block", "id % 3 > 0 as keep", "id as longest_bad").distinct()
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    joined = gaps.kept_rows(filled, blocks), gates.gap_contract(filled, blocks, ("linear",), ["lat"], 4), export.fixes_table(filled, blocks, ["hour"])
+    assert all("ShuffledHashJoin" in plan(df) for df in joined)
+    executed = strength.persistent_class(filled)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Sort [") == 1

@@ -130,7 +130,8 @@ def uid_gate(points: DataFrame, uid: str, observed: Column) -> DataFrame:
 
 def gap_contract(filled: DataFrame, decisions: DataFrame, methods: tuple[str, ...], columns: list[str], most: int, key: str = "track_id") -> DataFrame:
     """Every published gap row has an audit id, an allowed method and complete fields, is in no rejected block, and the unsupported run is held."""
-    judged = filled.join(decisions.select(key, "block", "keep", "longest_bad"), [key, "block"], "left")
+    # a task's blocks are hashed, the rows, which are many more, are not sorted
+    judged = filled.join(decisions.select(key, "block", "keep", "longest_bad").hint("shuffle_hash"), [key, "block"], "left")
     nulls = F.lit(False)
     for c in columns:
         nulls |= F.col(c).isNull()
