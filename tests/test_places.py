@@ -86,3 +86,14 @@ def test_bitmaps_of_many_tracks(spark):
         want = {(0, int(r["lat"] * 2)): r["count"] for r in rows.filter(test).groupBy("lat").count().collect()}
         got = {(r["cell_x"], r["cell_y"]): r["n_tracks"] for r in bitmaps.density_of(made, months, cohort).collect()}
         assert got == want
+
+
+def test_bitmaps_of_far_apart_tracks(spark):
+    """Tracks of one cell whose numbers are far apart, also negative, take a few bytes each, and no bitmap is sorted."""
+    rows = spark.range(-500, 500).selectExpr("id * 32768 + 63 as track_no", "id as track_id", "0 as idx", "0.1D as lat", "0.1D as lon", "timestamp_ntz '2024-01-01' as time", "cast(null as boolean) as within_segment")
+    made = bitmaps.density_bitmaps(rows)
+    assert made.selectExpr("sum(octet_length(cast(bits as string))) as n").first()["n"] <= 1_000 * 64
+    few = bitmaps.cohort_bitmap(rows.filter("track_no < 0"))
+    for out, n in ((bitmaps.density_of(made, (1,)), 1_000), (bitmaps.density_of(made, None, few), 500)):
+        assert [tuple(r) for r in out.collect()] == [(0, 0, n)]
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()

@@ -2,8 +2,9 @@
 
 ``density_bitmaps`` passes over the points once: for each grid cell and each set of months that a sample needs (one month, or
 the two at the ends of a step) it keeps the bitmap of the tracks that were there. Months and cohorts are then chosen by
-filtering, uniting and intersecting bitmaps. A bitmap has 32,768 tracks; tracks are known by numbers from 0, dense numbers
-in the order of genesis make fewest bitmaps."""
+filtering, uniting and intersecting bitmaps. A bitmap is cut into words of 64 tracks and only words with a track have a row, so
+a few tracks of a cell never cost a bitmap of all, and words are united by hash. Tracks are known by whole numbers, dense
+numbers in the order of genesis make fewest words."""
 
 from __future__ import annotations
 
@@ -15,12 +16,20 @@ def _month_bit(time: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), F.month(time) - 1)
 
 
+def _word(number: str) -> Column:
+    return F.shiftright(F.col(number).cast("long"), 6)
+
+
+def _bit(number: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(number), F.lit(64)).cast("int"))
+
+
 def months_mask(months: tuple[int, ...]) -> int:
     return sum(1 << (m - 1) for m in set(months))
 
 
 def density_bitmaps(stepped: DataFrame, number: str = "track_no", cell: float = 0.5, parent: str = "track_id", clamp: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """(cell_x, cell_y, months, bucket, bits): the tracks that were in a cell, of samples that need exactly these months.
+    """(cell_x, cell_y, months, word, bits): the tracks that were in a cell, of samples that need exactly these months.
 
     Samples are those of ``spatial.track_density``: a step needs the months of both its ends; where these differ, its end also
     stands alone, for month sets that lack the beginning."""
@@ -37,25 +46,25 @@ def density_bitmaps(stepped: DataFrame, number: str = "track_no", cell: float =
     x, y = (F.floor(F.coalesce(F.col(a) + (F.col(b) - F.col(a)) * share, F.col(b)) / cell).cast("long") for a, b in (("lon0", "lon"), ("lat0", "lat")))
     if clamp:
         x, y = (F.greatest(F.lit(lo), F.least(F.lit(hi), v)) for v, lo, hi in ((x, clamp[0], clamp[1]), (y, clamp[2], clamp[3])))
-    placed = each.select(x.alias("cell_x"), y.alias("cell_y"), F.col("s.months").alias("months"), F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("at"))
-    return placed.groupBy("cell_x", "cell_y", "months", "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    placed = each.select(x.alias("cell_x"), y.alias("cell_y"), F.col("s.months").alias("months"), _word(number).alias("word"), _bit(number).alias("bit"))
+    return placed.groupBy("cell_x", "cell_y", "months", "word").agg(F.bit_or("bit").alias("bits"))
 
 
 def cohort_bitmap(tracks: DataFrame, number: str = "track_no") -> DataFrame:
-    """(bucket, bits) of a cohort's tracks."""
-    return tracks.select(F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    """(word, bits) of a cohort's tracks."""
+    return tracks.select(_word(number).alias("word"), _bit(number).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def density_of(bitmaps: DataFrame, months: tuple[int, ...] | None = None, cohort: DataFrame | None = None) -> DataFrame:
     """Distinct tracks in each cell, of some months and of a cohort's bitmap; points are not read. Cells without any have no row."""
-    place = ["cell_x", "cell_y", "bucket"]
+    place = ["cell_x", "cell_y", "word"]
     if months is not None:
         bitmaps = bitmaps.filter(F.col("months").bitwiseAND(F.lit(~months_mask(months))) == 0)
-    united = bitmaps.groupBy(*place).agg(F.bitmap_or_agg("bits").alias("bits"))
+    united = bitmaps.groupBy(*place).agg(F.bit_or("bits").alias("bits"))
     if cohort is not None:
-        met = united.join(cohort.select("bucket", F.col("bits").alias("chosen")), "bucket").select(*place, F.explode(F.array("bits", "chosen")).alias("bits"))
-        united = met.groupBy(*place).agg(F.bitmap_and_agg("bits").alias("bits"))
-    return united.groupBy("cell_x", "cell_y").agg(F.sum(F.bitmap_count("bits")).alias("n_tracks")).filter("n_tracks > 0")
+        met = united.join(cohort.select("word", F.col("bits").alias("chosen")), "word")
+        united = met.withColumn("bits", F.col("bits").bitwiseAND(F.col("chosen")))
+    return united.groupBy("cell_x", "cell_y").agg(F.sum(F.bit_count("bits")).alias("n_tracks")).filter("n_tracks > 0")
 
 
 def month_summaries(points: DataFrame, key: str = "track_id") -> DataFrame:
