@@ -61,3 +61,38 @@ def test_sketches_of_partitions(spark, tmp_path):
 def test_trigrams(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(search_index.trigrams(F.col("t")).alias("g")).first()["g"]
     assert sorted(got) == sorted({text[k : k + 3] for k in range(len(text) - 2)})
+
+
+def made_numbers(spark, n):
+    return spark.range(n).selectExpr("id as k", "concat('lps ', id * 7919 % 100003, ' ', id) as t")
+
+
+def test_many_sought_make_no_row_for_each_posting(spark, tmp_path):
+    """3,000 texts are sought in 9,000: the join of postings with sought texts had a row for each pair that shares a trigram."""
+    rows = made_numbers(spark, 9_000)
+    index = search_index.TrigramIndex.build(rows, f"file://{tmp_path}/i", "k", "t")
+    assert spark.read.parquet(f"{index.path}/postings").count() < 30 * 1_200  # a trigram and block, where a text had some 14
+    sought = [r["s"] for r in rows.filter("k % 3 = 1").selectExpr("substr(t, 4, 7) as s").collect()]
+    texts = [tuple(r) for r in rows.collect()]
+    want = sorted((s, k) for s in set(sought) for k, t in texts if s in t)
+    got = index.find(spark.createDataFrame([(s,) for s in sought], "any string"))
+    assert sorted(map(tuple, got.collect())) == want == sorted(map(tuple, index.find(sought).collect()))
+
+
+def test_small_blocks_and_pieces(spark, tmp_path, monkeypatch):
+    """Texts of a block in several pieces, more different characters than one number holds, and more trigrams than are named."""
+    import pyarrow as pa
+
+    texts = ["", "ab", "abc", "aaaa", "漢字漢字", "x😀y😀y", "", "abc", "字漢字漢"]
+    want = {(t[k : k + 3], j) for j, t in enumerate(texts) for k in range(len(t) - 2)}
+    for size, most in ((1 << 30, 2**63 - 1), (1, 2**63 - 1), (1 << 30, 3_000)):
+        monkeypatch.setattr(search_index, "BYTES", size)
+        monkeypatch.setattr(search_index, "MOST", most)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(65_530, 65_539)), pa.array(texts)], ["row", "text"])
+        out = [r for b in search_index._postings(iter([batch])) for r in b.to_pylist()]
+        got = [(r["gram"], (r["block"] << 16) + int.from_bytes(r["places"][k : k + 2], "little") - 65_530) for r in out for k in range(0, len(r["places"]), 2)]
+        assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(search_index, "FEW", 2)
+    index = search_index.TrigramIndex.build(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), f"file://{tmp_path}/i", "k", "t")
+    sought = ["abc", "aaa", "字漢字", "😀y", "b", "", "xyz", "字漢字漢"]
+    assert sorted(map(tuple, index.find(sought).collect())) == sorted((s, k) for s in sought for k, t in enumerate(texts) if s in t)

@@ -378,8 +378,8 @@ def f10_f11_trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring search by an index of trigrams, short texts by a scan."""
     rows = labelled_systems(spark, sf_dir)
     index = search_index.TrigramIndex.build(rows.select("id", cohort.search_text().alias("text")), scratch.new_path(spark, "trigrams"), "id", "text")
-    labels = [r["s"] for r in rows.filter("id % 300 = 7").select(F.lower("label").alias("s")).distinct().collect()]
-    return index.find([*_SOUGHT, *labels]).select("sought", F.col("key").alias("id"))
+    sought = spark.createDataFrame([(s,) for s in _SOUGHT], "sought string").unionByName(rows.filter("id % 300 = 7").select(F.lower("label").alias("sought")))
+    return index.find(sought).select("sought", F.col("key").alias("id"))
 
 
 @query(
